@@ -122,11 +122,18 @@ VIEW_SQL = {
 }
 
 
-def with_views(body: str, *names: str) -> str:
-    """Prefix an oracle query with the WITH clauses of the views it uses."""
-    used = names or tuple(n for n in VIEW_SQL if n in body)
+def with_views(body: str) -> str:
+    """Prefix an oracle query with the WITH clauses of the views it uses.
+
+    A body that starts with its own ``with`` gets the views in front of its
+    common table expressions.
+    """
+    used = [n for n in VIEW_SQL if n in body]
     ctes = ",\n".join(f"{n} as ({VIEW_SQL[n]})" for n in used)
-    return f"with {ctes}\n{body}"
+    text = body.strip()
+    if text[:5].lower() == "with ":
+        return f"with {ctes},\n{text[5:]}"
+    return f"with {ctes}\n{text}"
 
 
 __all__ = ["shop_tables", "VIEW_SQL", "with_views", "SCHEMAS"]
