@@ -305,3 +305,281 @@ from v_orders o left join v_discount_cards d on o.card_number = d.card_number"""
 def q_attach_card_percent(spark, d):
     t = _t(spark, d)
     return catalog.attach_card_percent(t["orders"], t["discount_cards"])
+
+
+# ---------------------------------------------------------------- change sets
+# Change sets are derived from the tables themselves (every request row comes
+# from a table row), so their size grows with the data.
+
+from overhaul.operators import changes as ch  # noqa: E402
+from overhaul.operators import integrity  # noqa: E402
+
+
+def material_changes(m: DataFrame) -> DataFrame:
+    """Save requests: rename every part (twice for Brand#13; the later one
+    wins), updates of unknown ids (ignored) and copies of non-parts as new
+    materials."""
+    cols = ["material_id", "material_name", "part", "measure", "article"]
+    rename = m.where("part").select(
+        "material_id", F.upper("material_name").alias("material_name"), "part", "measure", "article",
+        (F.col("material_id") * 4).alias("seq"))
+    again = m.where(F.col("part") & (F.col("article") == "Brand#13")).select(
+        "material_id", F.concat("material_name", F.lit(" v2")).alias("material_name"), "part",
+        F.lit("box").alias("measure"), "article", (F.col("material_id") * 4 + 1).alias("seq"))
+    unknown = m.where(F.col("article") == "Brand#22").select(
+        (F.col("material_id") + 1000000000).alias("material_id"), "material_name", "part", "measure",
+        "article", (F.col("material_id") * 4 + 2).alias("seq"))
+    new = m.where(~F.col("part")).select(
+        F.lit(0).cast("long").alias("material_id"), F.concat("material_name", F.lit(" new")).alias("material_name"),
+        "part", "measure", "article", (F.col("material_id") * 4 + 3).alias("seq"))
+    return rename.unionByName(again).unionByName(unknown).unionByName(new).select(*cols, "seq")
+
+
+@register("save_materials", """with changes as (
+  select material_id, upper(material_name) as material_name, part, measure, article, material_id * 4 as seq
+  from v_materials where part
+  union all select material_id, concat(material_name, ' v2'), part, 'box', article, material_id * 4 + 1
+  from v_materials where part and article = 'Brand#13'
+  union all select material_id + 1000000000, material_name, part, measure, article, material_id * 4 + 2
+  from v_materials where article = 'Brand#22'
+  union all select 0, concat(material_name, ' new'), part, measure, article, material_id * 4 + 3
+  from v_materials where not part),
+upd as (select * from (select *, row_number() over (partition by material_id order by seq desc) as rn
+                       from changes where material_id <> 0) where rn = 1)
+select m.material_id,
+  case when u.material_id is null then m.material_name else u.material_name end as material_name,
+  case when u.material_id is null then m.part else u.part end as part,
+  case when u.material_id is null then m.measure else u.measure end as measure,
+  case when u.material_id is null then m.article else u.article end as article
+from v_materials m left join upd u on m.material_id = u.material_id
+union all
+select (select max(material_id) from v_materials) + row_number() over (order by seq),
+  material_name, part, measure, article
+from changes where material_id = 0""")
+def q_save_materials(spark, d):
+    t = _t(spark, d)
+    return ch.apply_saves(t["materials"], material_changes(t["materials"]), "material_id")
+
+
+def card_inserts(t) -> DataFrame:
+    """Insert a card for every card number used by an order (existing ones are
+    rejected); urgent customers are requested twice (the second rejected)."""
+    used = t["orders"].select("card_number").distinct()
+    urgent = t["orders"].where(F.col("car") == "1-URGENT").select("card_number").distinct()
+    num = F.col("card_number").cast("long")
+    a = used.select("card_number", F.concat(F.lit("Client "), "card_number").alias("customer_name"),
+                    F.lit(None).cast("string").alias("customer_telephone"), F.lit(5).alias("percent_off"),
+                    (num * 2).alias("seq"))
+    b = urgent.select("card_number", F.concat(F.lit("Urgent "), "card_number").alias("customer_name"),
+                      F.lit(None).cast("string").alias("customer_telephone"), F.lit(10).alias("percent_off"),
+                      (num * 2 + 1).alias("seq"))
+    return a.unionByName(b)
+
+
+@register("insert_cards", """with changes as (
+  select card_number, concat('Client ', card_number) as customer_name, cast(null as varchar) as customer_telephone,
+    5 as percent_off, cast(card_number as bigint) * 2 as seq
+  from (select distinct card_number from v_orders)
+  union all
+  select card_number, concat('Urgent ', card_number), cast(null as varchar), 10, cast(card_number as bigint) * 2 + 1
+  from (select distinct card_number from v_orders where car = '1-URGENT')),
+firsts as (select * from (select *, row_number() over (partition by card_number order by seq) as rn
+                          from changes) where rn = 1)
+select card_number, customer_name, customer_telephone, percent_off from v_discount_cards
+union all
+select card_number, customer_name, customer_telephone, percent_off from firsts
+where card_number not in (select card_number from v_discount_cards)""")
+def q_insert_cards(spark, d):
+    t = _t(spark, d)
+    table, _rejected = ch.apply_inserts(t["discount_cards"], card_inserts(t), "card_number")
+    return table
+
+
+def card_updates(cards: DataFrame) -> DataFrame:
+    num = F.col("card_number").cast("long")
+    a = cards.where(F.col("percent_off") < 8).select(
+        "card_number", F.upper("customer_name").alias("customer_name"), "customer_telephone",
+        (F.col("percent_off") + 1).alias("percent_off"), (num * 2).alias("seq"))
+    b = cards.where(F.col("percent_off") == 3).select(
+        "card_number", "customer_name", F.lit(None).cast("string").alias("customer_telephone"),
+        F.lit(0).alias("percent_off"), (num * 2 + 1).alias("seq"))
+    c = cards.where(F.col("percent_off") == 15).select(
+        F.concat("card_number", F.lit("-x")).alias("card_number"), "customer_name", "customer_telephone",
+        F.lit(1).alias("percent_off"), (num * 2).alias("seq"))
+    return a.unionByName(b).unionByName(c)
+
+
+@register("update_cards", """with changes as (
+  select card_number, upper(customer_name) as customer_name, customer_telephone, percent_off + 1 as percent_off,
+    cast(card_number as bigint) * 2 as seq from v_discount_cards where percent_off < 8
+  union all select card_number, customer_name, cast(null as varchar), 0, cast(card_number as bigint) * 2 + 1
+  from v_discount_cards where percent_off = 3
+  union all select concat(card_number, '-x'), customer_name, customer_telephone, 1, cast(card_number as bigint) * 2
+  from v_discount_cards where percent_off = 15),
+upd as (select * from (select *, row_number() over (partition by card_number order by seq desc) as rn
+                       from changes) where rn = 1)
+select d.card_number,
+  case when u.card_number is null then d.customer_name else u.customer_name end as customer_name,
+  case when u.card_number is null then d.customer_telephone else u.customer_telephone end as customer_telephone,
+  case when u.card_number is null then d.percent_off else u.percent_off end as percent_off
+from v_discount_cards d left join upd u on d.card_number = u.card_number""")
+def q_update_cards(spark, d):
+    t = _t(spark, d)
+    return ch.apply_updates(t["discount_cards"], card_updates(t["discount_cards"]), "card_number")
+
+
+@register("delete_purchases", """select * from v_purchases
+where purchase_id not in (select purchase_id from v_purchases where trader = 'error')""")
+def q_delete_purchases(spark, d):
+    t = _t(spark, d)
+    keys = t["purchases"].where(F.col("trader") == "error").select("purchase_id")
+    return ch.apply_deletes(t["purchases"], keys, "purchase_id")
+
+
+_LONG_SQL = """select 'orders' as tbl, order_id, cast(null as integer) as order_line, cast(null as bigint) as item_id,
+  order_date, car, card_number, percent_off, cast(null as decimal(10,2)) as price,
+  cast(null as decimal(10,2)) as quantity, cast(null as integer) as ktu from {o}
+union all select 'order_services', order_id, order_line, service_id, cast(null as timestamp), cast(null as varchar),
+  cast(null as varchar), cast(null as integer), price, quantity, cast(null as integer) from {s}
+union all select 'order_materials', order_id, order_line, material_id, cast(null as timestamp), cast(null as varchar),
+  cast(null as varchar), cast(null as integer), cast(null as decimal(10,2)), quantity, cast(null as integer) from {m}
+union all select 'order_staffers', order_id, order_line, staffer_id, cast(null as timestamp), cast(null as varchar),
+  cast(null as varchar), cast(null as integer), cast(null as decimal(10,2)), cast(null as decimal(10,2)), ktu from {st}"""
+
+_LOW = "(select order_id from v_orders where car = '5-LOW')"
+
+
+@register("delete_orders_cascade", _LONG_SQL.format(
+    o=f"v_orders where order_id not in {_LOW}", s=f"v_order_services where order_id not in {_LOW}",
+    m=f"v_order_materials where order_id not in {_LOW}", st=f"v_order_staffers where order_id not in {_LOW}"))
+def q_delete_orders_cascade(spark, d):
+    t = _t(spark, d)
+    keys = t["orders"].where(F.col("car") == "5-LOW").select("order_id")
+    return ch.order_tables_long(ch.delete_orders(t, keys))
+
+
+@register("delete_materials_restricted", """select * from v_materials where material_id not in (
+  select material_id from v_materials where not part
+    and material_id not in (select material_id from v_purchases)
+    and material_id not in (select material_id from v_order_materials))""")
+def q_delete_materials_restricted(spark, d):
+    t = _t(spark, d)
+    keys = t["materials"].where(~F.col("part")).select("material_id")
+    table, _rejected = ch.delete_restricted(
+        t["materials"], keys, "material_id",
+        [(t["purchases"], "material_id"), (t["order_materials"], "material_id")])
+    return table
+
+
+SAVE_DAYS = {"update": ("1999-02-01", "1999-02-28"), "copy": ("1999-03-01", "1999-03-31"),
+             "unknown": ("1999-04-01", "1999-04-30")}
+
+
+def order_saves(t) -> DataFrame:
+    """Order documents to save: February orders re-saved with a changed car
+    and no staff, March orders copied as new orders, April orders sent with
+    ids that do not exist (rejected)."""
+    from overhaul.operators.orders import order_documents
+    docs = lambda key: order_documents(t, *SAVE_DAYS[key])
+    upd = docs("update").withColumn("car", F.concat("car", F.lit(" saved"))).withColumn(
+        "order_staffers", F.filter("order_staffers", lambda x: F.lit(False))).withColumn(
+        "seq", F.col("order_id") * 2)
+    new = docs("copy").withColumn("seq", F.col("order_id") * 2 + 1).withColumn("order_id", F.lit(0).cast("long"))
+    unknown = docs("unknown").withColumn("seq", F.col("order_id") * 2).withColumn(
+        "order_id", F.col("order_id") + 1000000000)
+    return upd.unionByName(new).unionByName(unknown)
+
+
+def _in_days_sql(col, key):
+    b, e = SAVE_DAYS[key]
+    return f"cast({col} as date) between date '{b}' and date '{e}'"
+
+
+@register("save_orders", f"""with feb as (select order_id from v_orders where {_in_days_sql('order_date', 'update')}),
+mar as (select order_id, (select max(order_id) from v_orders) + row_number() over (order by order_id * 2 + 1) as new_id
+        from v_orders where {_in_days_sql('order_date', 'copy')}),
+o_new as (
+  select order_id, order_date,
+    case when order_id in (select order_id from feb) then concat(car, ' saved') else car end as car,
+    card_number, percent_off from v_orders
+  union all select m.new_id, o.order_date, o.car, o.card_number, o.percent_off
+  from v_orders o join mar m on o.order_id = m.order_id),
+s_new as (select * from v_order_services
+  union all select m.new_id, s.order_line, s.service_id, s.price, s.quantity
+  from v_order_services s join mar m on s.order_id = m.order_id),
+m_new as (select * from v_order_materials
+  union all select m.new_id, s.order_line, s.material_id, s.quantity
+  from v_order_materials s join mar m on s.order_id = m.order_id),
+st_new as (select * from v_order_staffers where order_id not in (select order_id from feb)
+  union all select m.new_id, s.order_line, s.staffer_id, s.ktu
+  from v_order_staffers s join mar m on s.order_id = m.order_id)
+{_LONG_SQL.format(o='o_new', s='s_new', m='m_new', st='st_new')}""")
+def q_save_orders(spark, d):
+    t = _t(spark, d)
+    tables, _rejected = ch.save_orders(t, order_saves(t))
+    return ch.order_tables_long(tables)
+
+
+def faulty_tables(t):
+    """The tables with faults derived from their own rows: every 'error'
+    purchase duplicated onto a missing material, order materials of quantity
+    50 without material, gizmo services priced 100000 times higher."""
+    out = dict(t)
+    p = t["purchases"]
+    out["purchases"] = p.unionByName(
+        p.where(F.col("trader") == "error").withColumn("material_id", F.col("material_id") + 1000000))
+    om = t["order_materials"]
+    out["order_materials"] = om.withColumn(
+        "material_id", F.when(F.col("quantity") >= 50, F.lit(None).cast("long")).otherwise(F.col("material_id")))
+    s = t["services"]
+    out["services"] = s.withColumn(
+        "price", F.when(F.col("service_name").contains("gizmo"), F.col("price") * F.lit(100000))
+        .otherwise(F.col("price")).cast("decimal(20,2)"))
+    return out
+
+
+def _integrity_sql() -> str:
+    from overhaul.schema import KEYS, MONEY, REFERENCES, SCHEMAS
+    src = {n: f"v_{n}" for n in SCHEMAS}
+    src.update(purchases="f_purchases", order_materials="f_order_materials", services="f_services")
+
+    def ref(table):
+        if table in KEYS:
+            return f"cast({KEYS[table]} as varchar)"
+        return "concat_ws(':', cast(order_id as varchar), cast(order_line as varchar))"
+
+    parts = []
+    for table, schema in SCHEMAS.items():
+        for f in schema.fields:
+            if not f.nullable:
+                parts.append(f"select '{table}' as table_name, 'not_null' as rule, '{f.name}' as column_name, "
+                             f"{ref(table)} as value, cast(1 as bigint) as rows from {src[table]} "
+                             f"where {f.name} is null")
+        if table in KEYS:
+            k = KEYS[table]
+            parts.append(f"select '{table}', 'unique_key', '{k}', cast({k} as varchar), count(*) "
+                         f"from {src[table]} where {k} is not null group by {k} having count(*) > 1")
+    parts.append("select 'services', 'numeric_10_2', 'price', cast(service_id as varchar), cast(1 as bigint) "
+                 f"from f_services where abs(round(price, 2)) >= {10 ** (MONEY.precision - MONEY.scale)}")
+    for r in REFERENCES:
+        k = KEYS[r.parent]
+        parts.append(f"select '{r.child}', 'references_{r.parent}', '{r.column}', cast({r.column} as varchar), "
+                     f"count(*) from {src[r.child]} where {r.column} is not null and {r.column} not in "
+                     f"(select {k} from {src[r.parent]}) group by {r.column}")
+    return ("""with f_purchases as (
+  select * from v_purchases
+  union all select purchase_id, purchase_date, trader, material_id + 1000000, price, quantity, sum
+  from v_purchases where trader = 'error'),
+f_order_materials as (
+  select order_id, order_line, case when quantity >= 50 then null else material_id end as material_id, quantity
+  from v_order_materials),
+f_services as (
+  select service_id, service_name,
+    cast(case when service_name like '%gizmo%' then price * 100000 else price end as decimal(20,2)) as price
+  from v_services)
+""" + "\nunion all\n".join(parts))
+
+
+@register("integrity_violations", _integrity_sql())
+def q_integrity_violations(spark, d):
+    return integrity.check_tables(faulty_tables(_t(spark, d)))
