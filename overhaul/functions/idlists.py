@@ -6,6 +6,8 @@ there is none. A plain ``collect_set`` per group would merge every distinct id
 of a hot group in one task. Instead the lists are built in two aggregation
 rounds:
 
+0. group by (keys, list, chunk, id): de-duplicates ids and pre-sums, in a
+   code-generated hash aggregate;
 1. group by (keys, list, chunk) where chunk is the id text's first
    ``prefix_len`` characters; each chunk's ids are sorted and joined there;
 2. group by keys and concatenate the chunk strings in chunk order.
@@ -14,8 +16,8 @@ Text order is prefix-consistent (if the first k characters of a sort before
 those of b, then a sorts before b), so concatenating sorted chunks in chunk
 order yields the fully sorted list. Round 1 splits a hot group into up to
 ~10**prefix_len tasks; round 2 only moves one short string per chunk. The
-other aggregates (sum, count, max) are computed partially in round 1 and
-merged in round 2, so no join is needed.
+other aggregates (sum, count, max) are computed partially in round 0 and
+merged in rounds 1 and 2, so no join is needed.
 """
 
 from __future__ import annotations
@@ -46,9 +48,13 @@ def summarize_with_id_lists(df: DataFrame, keys: list[str], aggs: list[tuple[str
                        tag.alias("_tag"), ident.alias("_id"))
     staged = staged.withColumn("_chunk", F.substring("_id", 1, prefix_len))
 
-    round1 = staged.groupBy(*keys, "_tag", "_chunk").agg(
-        *[_PARTIAL[k](n).alias(n) for n, k, _ in aggs],
-        F.array_join(F.array_sort(F.collect_set("_id")), ",").alias("_ids"),
+    # Round 0: distinct ids per chunk with partial sums, in a plain (codegen)
+    # hash aggregate; collecting starts only from de-duplicated ids.
+    round0 = staged.groupBy(*keys, "_tag", "_chunk", "_id").agg(
+        *[_PARTIAL[k](n).alias(n) for n, k, _ in aggs])
+    round1 = round0.groupBy(*keys, "_tag", "_chunk").agg(
+        *[_MERGE[k](n).alias(n) for n, k, _ in aggs],
+        F.array_join(F.array_sort(F.collect_list("_id")), ",").alias("_ids"),
     )
     parts = F.collect_list(F.when(F.col("_tag").isNotNull(),
                                   F.struct("_tag", "_chunk", "_ids")))
