@@ -146,21 +146,28 @@ def salary(t: Tables, begin, end, coeff: int) -> DataFrame:
     Sorted by staffer, the subtotal first.
     """
     d = salary_details(t, begin, end, coeff)
-    details = d.select(
-        "order_id", "staffer_id", F.col("ktu").cast(KTU).alias("ktu"), "zp", "orders_sum",
-        F.lit("").alias("staffer_name"),
-    ).distinct()
-    staffers = t["staffers"].select("staffer_id", "staffer_name")
-    summary = (d.join(staffers, "staffer_id")
-               .groupBy("staffer_id")
-               .agg(F.sum(F.col("ktu").cast("long")).alias("ktu_sum"),
-                    F.count("ktu").alias("ktu_n"),
-                    F.sum("zp").alias("zp"),
-                    F.sum("orders_sum").alias("orders_sum"),
-                    F.max("staffer_name").alias("staffer_name"))
-               .select(F.lit(0).cast("long").alias("order_id"), "staffer_id",
-                       round_avg("ktu_sum", "ktu_n").cast(KTU).alias("ktu"),
-                       to_total("zp").alias("zp"), to_total("orders_sum").alias("orders_sum"),
-                       "staffer_name"))
-    return details.unionByName(summary).orderBy(
-        F.asc_nulls_last("staffer_id"), F.asc_nulls_last("order_id"))
+    # One aggregation with two grouping sets: grouping by all detail columns
+    # yields each distinct detail row once (the UNION's de-duplication);
+    # grouping by staffer sums the rows *before* de-duplication, as the
+    # subtotal of the original does. The inputs are scanned once.
+    cols = ["order_id", "staffer_id", "ktu", "zp", "orders_sum"]
+    agg = d.groupingSets([cols, ["staffer_id"]], *cols).agg(
+        F.grouping_id().alias("_gid"),
+        F.sum(F.col("ktu").cast("long")).alias("ktu_sum"),
+        F.count("ktu").alias("ktu_n"),
+        F.sum("zp").alias("zp_sum"),
+        F.sum("orders_sum").alias("orders_sum_sum"))
+    # Subtotals only for staffers present in the staffer table (inner join
+    # in the original); staffer_id is its key, so the join never fans out.
+    staffers = t["staffers"].select("staffer_id", "staffer_name", F.lit(True).alias("_known"))
+    detail = F.col("_gid") == 0
+    return (agg.join(staffers, "staffer_id", "left")
+            .where(detail | F.col("_known").isNotNull())
+            .select(
+                F.when(detail, F.col("order_id")).otherwise(F.lit(0).cast("long")).alias("order_id"),
+                "staffer_id",
+                F.when(detail, F.col("ktu").cast(KTU)).otherwise(round_avg("ktu_sum", "ktu_n")).alias("ktu"),
+                F.when(detail, F.col("zp")).otherwise(to_total("zp_sum")).alias("zp"),
+                F.when(detail, F.col("orders_sum")).otherwise(to_total("orders_sum_sum")).alias("orders_sum"),
+                F.when(detail, F.lit("")).otherwise(F.col("staffer_name")).alias("staffer_name"))
+            .orderBy(F.asc_nulls_last("staffer_id"), F.asc_nulls_last("order_id")))
