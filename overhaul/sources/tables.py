@@ -47,35 +47,43 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(out)
 
 
-def table_path(spark: SparkSession, root: str, name: str) -> str:
-    """Path of the current version of a table (or the plain dataset path)."""
+def table_path(spark: SparkSession, root: str, name: str, version: int | None = None) -> str:
+    """Path of a table version: the given one, else the latest written one,
+    else the plain dataset path."""
     base = f"{root.rstrip('/')}/{name}"
+    if version is not None:
+        return f"{base}/v={version}"
     versions = _versions(spark, base)
     if versions:
         return f"{base}/v={versions[-1]}"
     return base
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
     """Scan one table with its declared schema (never inferred)."""
-    return spark.read.schema(SCHEMAS[name]).parquet(table_path(spark, root, name))
+    return spark.read.schema(SCHEMAS[name]).parquet(table_path(spark, root, name, version))
 
 
 def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {name: read_table(spark, root, name) for name in SCHEMAS}
 
 
-def write_table(df: DataFrame, root: str, name: str, sort_within: list[str] | None = None) -> str:
-    """Write the next version of a table and return its path.
+def write_table(df: DataFrame, root: str, name: str, sort_within: list[str] | None = None,
+                version: int | None = None) -> str:
+    """Write the next version of a table (or the given one) and return its path.
+
+    Writing a given version overwrites it, which makes a re-run of the same
+    step idempotent.
 
     ``sort_within`` clusters rows inside each file (e.g. by date) so Parquet
     min/max statistics let date filters skip row groups.
     """
     spark = df.sparkSession
     base = f"{root.rstrip('/')}/{name}"
-    versions = _versions(spark, base)
-    nxt = (versions[-1] + 1) if versions else 1
-    path = f"{base}/v={nxt}"
+    if version is None:
+        versions = _versions(spark, base)
+        version = (versions[-1] + 1) if versions else 1
+    path = f"{base}/v={version}"
     out = conform(df, name)
     if sort_within:
         out = out.sortWithinPartitions(*sort_within)

@@ -1,0 +1,5 @@
+"""Continuous application of change requests with Structured Streaming."""
+
+from overhaul.streaming.changes import request_schema, start_change_stream
+
+__all__ = ["request_schema", "start_change_stream"]

@@ -1,0 +1,66 @@
+"""Apply save/delete requests as they arrive, as the service did per request.
+
+Requests land as Parquet files in a folder; a streaming query picks up new
+files and, per micro-batch, applies them to the table with the bulk
+change-set jobs of ``overhaul.operators.changes``. Micro-batch ``e`` reads
+table version ``e`` and overwrites version ``e + 1``: a batch that is re-run
+after a failure (Spark replays the same epoch with the same files) produces
+the same version again, so every request takes effect exactly once. The
+stream's progress lives in the checkpoint location on shared storage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from overhaul.operators import changes as ch
+from overhaul.schema import KEYS, SCHEMAS
+from overhaul.sources.tables import read_table, write_table
+
+
+def request_schema(table: str) -> T.StructType:
+    """Schema of save/delete requests for a table: its columns (key nullable:
+    NULL or 0 means "new"), the arrival order ``seq`` and ``op``
+    ('save' or 'delete')."""
+    fields = [T.StructField(f.name, f.dataType, True) for f in SCHEMAS[table].fields]
+    return T.StructType(fields + [T.StructField("seq", T.LongType(), False),
+                                  T.StructField("op", T.StringType(), False)])
+
+
+def apply_requests(current: DataFrame, batch: DataFrame, table: str) -> DataFrame:
+    """One micro-batch: deletes first drop their keys, then saves apply.
+
+    Within a batch a key that is both saved and deleted ends deleted only if
+    the delete is the later request. New ids continue after the largest key
+    *before* the deletes, as a sequence would (a caller that keeps its own
+    sequence across batches passes it through ``start``).
+    """
+    key = KEYS[table]
+    cols = current.columns
+    start = ch.max_key(current, key)
+    last_op = ch.latest(batch.where(F.col(key).isNotNull() & (F.col(key) != 0))
+                        .select(key, "op", "seq"), key)
+    deletes = last_op.where(F.col("op") == "delete").select(key)
+    kept = ch.apply_deletes(current, deletes, key)
+    saves = batch.where(F.col("op") == "save").join(deletes, key, "left_anti").select(*cols, "seq")
+    return ch.apply_saves(kept, saves, key, start=start)
+
+
+def start_change_stream(spark: SparkSession, requests_path: str, tables_root: str, table: str,
+                        checkpoint_location: str, available_now: bool = False) -> StreamingQuery:
+    """Start the stream. The table must exist as version 0 at
+    ``<tables_root>/<table>/v=0`` when the stream starts from scratch."""
+    requests = spark.readStream.schema(request_schema(table)).parquet(requests_path)
+
+    def per_batch(batch: DataFrame, epoch_id: int) -> None:
+        current = read_table(spark, tables_root, table, version=epoch_id)
+        write_table(apply_requests(current, batch, table), tables_root, table, version=epoch_id + 1)
+
+    writer = (requests.writeStream.foreachBatch(per_batch)
+              .option("checkpointLocation", checkpoint_location)
+              .queryName(f"apply_{table}_requests"))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
+    return writer.start()

@@ -1,0 +1,20 @@
+from overhaul.schema import MATERIALS
+from overhaul.sources.tables import read_table, write_table
+from overhaul.streaming import request_schema, start_change_stream
+
+
+def test_requests_applied_once_per_batch(spark, tmp_path):
+    root, req, ckpt = str(tmp_path / "tables"), str(tmp_path / "requests"), str(tmp_path / "ckpt")
+    base = spark.createDataFrame([(1, "Oil", True, "l", "a"), (2, "Nut", True, "pcs", "b")], MATERIALS)
+    write_table(base, root, "materials", version=0)
+    rows = [(0, "New", False, "pcs", "n", 1, "save"), (1, "Oil v2", True, "l", "a", 2, "save"),
+            (2, None, None, None, None, 3, "delete")]
+    spark.createDataFrame(rows, request_schema("materials")).write.mode("append").parquet(req)
+    q = start_change_stream(spark, req, root, "materials", ckpt, available_now=True)
+    q.awaitTermination(120)
+    out = {r.material_id: r.material_name for r in read_table(spark, root, "materials").collect()}
+    assert out == {1: "Oil v2", 3: "New"}
+    # restarting from the same checkpoint does not apply the files again
+    q = start_change_stream(spark, req, root, "materials", ckpt, available_now=True)
+    q.awaitTermination(120)
+    assert read_table(spark, root, "materials").count() == 2
