@@ -34,13 +34,40 @@ def _out(df: DataFrame, table: str, rule: str, column: str, value, rows) -> Data
                      rows.cast("long").alias("rows"))
 
 
-def not_null_violations(df: DataFrame, table: str) -> list[DataFrame]:
-    out = []
+def _money_too_large(df: DataFrame, name: str) -> F.Column | None:
+    """numeric(10,2) check for one column; None when its type cannot violate."""
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, T.DecimalType) and dtype.precision - dtype.scale <= MONEY.precision - MONEY.scale:
+        return None
+    v = F.col(name)
+    rounded = F.round(v.try_cast("decimal(38,6)"), 2)
+    return v.isNotNull() & (rounded.isNull() | (F.abs(rounded) >= F.lit(MONEY_LIMIT)))
+
+
+def row_violations(df: DataFrame, table: str) -> DataFrame | None:
+    """NOT NULL and numeric(10,2) violations, all rules in one scan.
+
+    Each row yields the list of rules it breaks; the list is exploded, so a
+    clean row produces nothing.
+    """
+    checks = []
     for f in SCHEMAS[table].fields:
-        if not f.nullable and f.name in df.columns:
-            bad = df.where(F.col(f.name).isNull())
-            out.append(_out(bad, table, "not_null", f.name, _row_ref(table), F.lit(1)))
-    return out
+        if f.name not in df.columns:
+            continue
+        if not f.nullable:
+            checks.append((F.col(f.name).isNull(), "not_null", f.name))
+        if f.dataType == MONEY:
+            bad = _money_too_large(df, f.name)
+            if bad is not None:
+                checks.append((bad, "numeric_10_2", f.name))
+    if not checks:
+        return None
+    broken = F.filter(F.array(*[F.when(c, F.struct(F.lit(r).alias("rule"), F.lit(n).alias("column_name")))
+                                 for c, r, n in checks]), lambda x: x.isNotNull())
+    found = df.select(_row_ref(table).alias("value"), F.explode(broken).alias("v"))
+    return found.select(F.lit(table).alias("table_name"), F.col("v.rule").alias("rule"),
+                        F.col("v.column_name").alias("column_name"), "value",
+                        F.lit(1).cast("long").alias("rows"))
 
 
 def key_violations(df: DataFrame, table: str) -> list[DataFrame]:
@@ -65,26 +92,6 @@ def reference_violations(t: Tables) -> list[DataFrame]:
     return out
 
 
-def range_violations(df: DataFrame, table: str) -> list[DataFrame]:
-    """numeric(10,2) columns whose value, rounded to cents, would not fit.
-
-    Only inputs of a wider type can violate; a decimal(10,2) column cannot.
-    """
-    out = []
-    limit = MONEY.precision - MONEY.scale
-    for f in SCHEMAS[table].fields:
-        if f.dataType != MONEY or f.name not in df.columns:
-            continue
-        dtype = df.schema[f.name].dataType
-        if isinstance(dtype, T.DecimalType) and dtype.precision - dtype.scale <= limit:
-            continue
-        v = F.col(f.name)
-        rounded = F.round(v.try_cast("decimal(38,6)"), 2)
-        bad = df.where(v.isNotNull() & (rounded.isNull() | (F.abs(rounded) >= F.lit(MONEY_LIMIT))))
-        out.append(_out(bad, table, "numeric_10_2", f.name, _row_ref(table), F.lit(1)))
-    return out
-
-
 def check_tables(t: Tables) -> DataFrame:
     """All violations of NOT NULL, primary keys, references and money ranges."""
     parts = []
@@ -92,9 +99,10 @@ def check_tables(t: Tables) -> DataFrame:
         if table not in t:
             continue
         df = t[table]
-        parts += not_null_violations(df, table)
+        rows = row_violations(df, table)
+        if rows is not None:
+            parts.append(rows)
         parts += key_violations(df, table)
-        parts += range_violations(df, table)
     parts += reference_violations(t)
     return reduce(DataFrame.unionByName, parts)
 
