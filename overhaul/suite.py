@@ -335,7 +335,7 @@ def material_changes(m: DataFrame) -> DataFrame:
     return rename.unionByName(again).unionByName(unknown).unionByName(new).select(*cols, "seq")
 
 
-@register("save_materials", """with changes as (
+_SAVE_MATERIALS_CTES = """with changes as (
   select material_id, upper(material_name) as material_name, part, measure, article, material_id * 4 as seq
   from v_materials where part
   union all select material_id, concat(material_name, ' v2'), part, 'box', article, material_id * 4 + 1
@@ -345,7 +345,8 @@ def material_changes(m: DataFrame) -> DataFrame:
   union all select 0, concat(material_name, ' new'), part, measure, article, material_id * 4 + 3
   from v_materials where not part),
 upd as (select * from (select *, row_number() over (partition by material_id order by seq desc) as rn
-                       from changes where material_id <> 0) where rn = 1)
+                       from changes where material_id <> 0) where rn = 1),
+saved as (
 select m.material_id,
   case when u.material_id is null then m.material_name else u.material_name end as material_name,
   case when u.material_id is null then m.part else u.part end as part,
@@ -355,7 +356,10 @@ from v_materials m left join upd u on m.material_id = u.material_id
 union all
 select (select max(material_id) from v_materials) + row_number() over (order by seq),
   material_name, part, measure, article
-from changes where material_id = 0""")
+from changes where material_id = 0)"""
+
+
+@register("save_materials", _SAVE_MATERIALS_CTES + "\nselect * from saved")
 def q_save_materials(spark, d):
     t = _t(spark, d)
     return ch.apply_saves(t["materials"], material_changes(t["materials"]), "material_id")
@@ -471,6 +475,22 @@ def q_delete_materials_restricted(spark, d):
     return table
 
 
+@register("save_then_delete_materials", _SAVE_MATERIALS_CTES + """
+select * from saved where material_id not in (
+  select material_id from saved where not part
+    and material_id not in (select material_id from v_purchases)
+    and material_id not in (select material_id from v_order_materials))""")
+def q_save_then_delete_materials(spark, d):
+    """Save requests, then a restricted delete of every non-part: the new
+    copies are unused and go, the used originals are refused and stay."""
+    t = _t(spark, d)
+    saved = ch.apply_saves(t["materials"], material_changes(t["materials"]), "material_id")
+    keys = saved.where(~F.col("part")).select("material_id")
+    table, _rejected = ch.delete_restricted(
+        saved, keys, "material_id", [(t["purchases"], "material_id"), (t["order_materials"], "material_id")])
+    return table
+
+
 SAVE_DAYS = {"update": ("1999-02-01", "1999-02-28"), "copy": ("1999-03-01", "1999-03-31"),
              "unknown": ("1999-04-01", "1999-04-30")}
 
