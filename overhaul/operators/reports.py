@@ -82,25 +82,45 @@ def materials_using(t: Tables, begin, end, only_available: bool = False) -> Data
 
     before = before_day("ts", b)
     during = in_days("ts", b, e)  # the end bound is implied by the pruning above
-    q_in_before = F.when(F.col("is_in") & before, F.col("quantity"))
-    q_out_before = F.when(~F.col("is_in") & before, F.col("quantity"))
-    q_in = F.when(F.col("is_in") & during, F.col("quantity"))
-    q_out = F.when(~F.col("is_in") & during, F.col("quantity"))
+    in_before, out_before = F.col("is_in") & before, ~F.col("is_in") & before
+    in_during, out_during = F.col("is_in") & during, ~F.col("is_in") & during
+    one = F.lit(1)
     sums = summarize_with_id_lists(
         moves, ["material_id"],
-        [("incoming_sum_begin", "sum", q_in_before), ("outgoing_sum_begin", "sum", q_out_before),
-         ("incoming_sum", "sum", q_in), ("outgoing_sum", "sum", q_out)],
-        {"purchase_ids": F.when(F.col("is_in") & during, F.col("ref_id")),
-         "order_ids": F.when(~F.col("is_in") & during, F.col("ref_id"))},
+        [("incoming_sum_begin", "sum", F.when(in_before, F.col("quantity"))),
+         ("outgoing_sum_begin", "sum", F.when(out_before, F.col("quantity"))),
+         ("incoming_sum", "sum", F.when(in_during, F.col("quantity"))),
+         ("outgoing_sum", "sum", F.when(out_during, F.col("quantity"))),
+         ("n_ib", "count", F.when(in_before, one)), ("n_ob", "count", F.when(out_before, one)),
+         ("n_i", "count", F.when(in_during, one)), ("n_o", "count", F.when(out_during, one))],
+        {"purchase_ids": F.when(in_during, F.col("ref_id")),
+         "order_ids": F.when(out_during, F.col("ref_id"))},
     )
-    mats = t["materials"].select("material_id", "material_name")
+    mats = t["materials"].select("material_id", "material_name", F.lit(True).alias("_known"))
     joined = mats.join(sums, "material_id", "full_outer")
+
+    # A material of the catalogue gets one row with all four parts. An id
+    # missing from the catalogue (impossible under the foreign keys, reported
+    # by the integrity check) gets one row per part it occurs in, as the
+    # original chain of full joins on the catalogue id produces.
+    parts = [("incoming_sum_begin", "n_ib", None), ("outgoing_sum_begin", "n_ob", None),
+             ("incoming_sum", "n_i", "purchase_ids"), ("outgoing_sum", "n_o", "order_ids")]
+    fields = [p[0] for p in parts] + ["purchase_ids", "order_ids"]
+
+    def piece(keep):
+        return F.struct(*[(F.col(f) if f in keep else F.lit(None).cast(joined.schema[f].dataType)).alias(f)
+                          for f in fields])
+
+    rows = F.when(F.col("_known").isNotNull(), F.array(piece(fields))).otherwise(F.filter(
+        F.array(*[F.when(F.col(n) > 0, piece({s, lst})) for s, n, lst in parts]), lambda x: x.isNotNull()))
+    flat = joined.select("material_name", F.explode(rows).alias("r")).select("material_name", "r.*")
+
     zero = F.lit(0).cast(TOTAL)
     ib = F.coalesce(to_total("incoming_sum_begin"), zero)
     ob = F.coalesce(to_total("outgoing_sum_begin"), zero)
     i = F.coalesce(to_total("incoming_sum"), zero)
     o = F.coalesce(to_total("outgoing_sum"), zero)
-    out = joined.select(
+    out = flat.select(
         "material_name", "purchase_ids", "order_ids",
         ib.alias("incoming_sum_begin"), ob.alias("outgoing_sum_begin"),
         (ib - ob).cast(TOTAL).alias("balance_begin"),

@@ -73,3 +73,19 @@ def test_pay_details_collapse_but_subtotal_counts_both(make_tables):
     assert d2.zp == D("0.00") and d2.orders_sum == D("0.00")   # order without services
     assert total.zp == D("123.46") and total.orders_sum == D("2469.00")
     assert total.ktu == D("50.33") and total.staffer_name == "Ann"
+
+
+def test_balance_orphan_ids_split_like_the_full_join_chain(make_tables):
+    t = make_tables(
+        materials=[(1, "Bolt", True, "pcs", "a")],
+        purchases=[(1, T("2024-01-01 09:00"), "t", 9, D(1), D(4), None),
+                   (2, T("2024-01-12 09:00"), "t", 9, D(1), D(6), None)],
+        orders=[(8, T("2024-01-15 08:00"), None, None, 0)],
+        order_materials=[(8, 1, 9, D(1))],
+    )
+    rows = materials_using(t, "2024-01-10", "2024-01-20").collect()
+    orphan = sorted([(r.incoming_sum_begin, r.incoming_sum, r.outgoing_sum, r.purchase_ids, r.order_ids)
+                     for r in rows if r.material_name is None])
+    assert orphan == sorted([(D(4), D(0), D(0), None, None), (D(0), D(6), D(0), "2", None),
+                             (D(0), D(0), D(1), None, "8")])
+    assert [r.balance_end for r in rows if r.material_name == "Bolt"] == [D(0)]
