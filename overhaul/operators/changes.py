@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from overhaul.schema import CHILD_TABLES, SCHEMAS
-from overhaul.session import ensure_checkpoint_dir
+from overhaul.session import materialize
 
 Tables = dict[str, DataFrame]
 
@@ -52,16 +52,13 @@ def assign_ids(rows: DataFrame, id_col: str, start: int, seq: str = "seq") -> Da
     No global window: rows are range-partitioned by ``seq``, each row gets its
     partition index and position inside the partition, and the per-partition
     row counts (one small row per partition, a proven size bound) are turned
-    into offsets that are broadcast back. The tagged rows are checkpointed to
+    into offsets that are broadcast back. The tagged rows are written once to
     the shared checkpoint folder so counting and numbering read the same
     partitions even if a task is re-run.
     """
-    spark = rows.sparkSession
-    ensure_checkpoint_dir(spark)
-    tagged = (rows.repartitionByRange(F.col(seq)).sortWithinPartitions(seq)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+    tagged = materialize(rows.repartitionByRange(F.col(seq)).sortWithinPartitions(seq)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()), "ids")
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",
@@ -171,6 +168,9 @@ def save_orders(t: Tables, docs: DataFrame, seq: str = "seq", start: int | None
     """
     header_cols = [f.name for f in SCHEMAS["orders"].fields]
     orders = t["orders"]
+    # Work on a fixed snapshot of the request batch (small next to the
+    # tables): every step below reads it instead of re-deriving it.
+    docs = materialize(docs, "order-requests")
     updates = latest(docs.where(~_is_new("order_id")), "order_id", seq)
     known = updates.join(orders.select("order_id"), "order_id", "left_semi")
     rejected = updates.join(orders.select("order_id"), "order_id", "left_anti")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators assume. ANSI mode makes decimal overflow and bad date
 # text raise, as the original database does; UTC keeps timestamp literals stable.
@@ -62,3 +63,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="overhaul-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
+
+
+def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Compute ``df`` once into a Parquet table in the shared checkpoint folder
+    and return a DataFrame reading it.
+
+    This cuts the lineage like ``checkpoint()`` but with a single computation
+    (a reliable RDD checkpoint of an unpersisted Dataset computes it twice),
+    and the files survive the loss of any executor.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/overhaul-{label}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

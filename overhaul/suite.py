@@ -500,14 +500,18 @@ def order_saves(t) -> DataFrame:
     and no staff, March orders copied as new orders, April orders sent with
     ids that do not exist (rejected)."""
     from overhaul.operators.orders import order_documents
-    docs = lambda key: order_documents(t, *SAVE_DAYS[key])
-    upd = docs("update").withColumn("car", F.concat("car", F.lit(" saved"))).withColumn(
-        "order_staffers", F.filter("order_staffers", lambda x: F.lit(False))).withColumn(
-        "seq", F.col("order_id") * 2)
-    new = docs("copy").withColumn("seq", F.col("order_id") * 2 + 1).withColumn("order_id", F.lit(0).cast("long"))
-    unknown = docs("unknown").withColumn("seq", F.col("order_id") * 2).withColumn(
-        "order_id", F.col("order_id") + 1000000000)
-    return upd.unionByName(new).unionByName(unknown)
+    docs = order_documents(t, SAVE_DAYS["update"][0], SAVE_DAYS["unknown"][1])
+    month = F.month("order_date")
+    feb, mar = month == 2, month == 3
+    return docs.select(
+        F.when(feb, F.col("order_id")).when(mar, F.lit(0).cast("long"))
+        .otherwise(F.col("order_id") + 1000000000).alias("order_id"),
+        "order_date",
+        F.when(feb, F.concat("car", F.lit(" saved"))).otherwise(F.col("car")).alias("car"),
+        "card_number", "percent_off", "order_services", "order_materials",
+        F.when(feb, F.filter("order_staffers", lambda x: F.lit(False))).otherwise(F.col("order_staffers"))
+        .alias("order_staffers"),
+        (F.col("order_id") * 2 + F.when(mar, 1).otherwise(0)).alias("seq"))
 
 
 def _in_days_sql(col, key):
