@@ -44,8 +44,12 @@ def card_list(t: Tables) -> DataFrame:
 
 def lookup(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of ``table`` whose ``key`` is among ``keys[key]`` (unknown keys
-    yield nothing; repeated keys do not repeat rows)."""
-    return table.join(keys.select(key), key, "left_semi")
+    yield nothing; repeated keys do not repeat rows).
+
+    The key set is de-duplicated first (partially, on the map side), so a key
+    repeated in a third of the requests is one row by the time it is joined.
+    """
+    return table.join(keys.select(key).distinct(), key, "left_semi")
 
 
 def attach_service_price(lines: DataFrame, services: DataFrame) -> DataFrame:

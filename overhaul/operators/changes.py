@@ -119,8 +119,8 @@ def apply_inserts(table: DataFrame, changes: DataFrame, key: str, seq: str = "se
 
 
 def apply_deletes(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """DELETE ... WHERE key IN keys."""
-    return table.join(keys.select(key), key, "left_anti")
+    """DELETE ... WHERE key IN keys (the key set de-duplicated first)."""
+    return table.join(keys.select(key).distinct(), key, "left_anti")
 
 
 def referenced_keys(key: str, children: list[tuple[DataFrame, str]]) -> DataFrame:

@@ -38,5 +38,5 @@ def purchase_list(t: Tables, material_id: int = 0, begin=None, end=None) -> Data
 
 def purchase_lookup(t: Tables, keys: DataFrame) -> DataFrame:
     """The purchase cards of the ids in ``keys.purchase_id``."""
-    p = t["purchases"].join(keys.select("purchase_id"), "purchase_id", "left_semi")
+    p = t["purchases"].join(keys.select("purchase_id").distinct(), "purchase_id", "left_semi")
     return _enrich(p, t["materials"])
