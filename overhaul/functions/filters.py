@@ -15,9 +15,6 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DayLike = "str | datetime.date | None"
-
-
 def day_of(value) -> dt.date | None:
     """Parse a day parameter; '' and None mean "not given"."""
     if value is None or value == "":

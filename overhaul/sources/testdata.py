@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from overhaul.schema import MONEY, SCHEMAS
+from overhaul.schema import MONEY
 from overhaul.sources.tables import conform
 
 SOURCE_TABLES = ("supplier", "customer", "part", "orders", "lineitem", "events")
@@ -136,4 +136,4 @@ def with_views(body: str) -> str:
     return f"with {ctes}\n{text}"
 
 
-__all__ = ["shop_tables", "VIEW_SQL", "with_views", "SCHEMAS"]
+__all__ = ["shop_tables", "VIEW_SQL", "with_views"]

@@ -14,7 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from overhaul.operators import catalog, orders, purchases, reports
+from overhaul.operators import catalog, integrity, orders, purchases, reports
+from overhaul.operators import changes as ch
+from overhaul.schema import KEYS, MONEY, REFERENCES, SCHEMAS
 from overhaul.sources.testdata import shop_tables, with_views
 
 # Fixed parameters of the registered queries.
@@ -311,8 +313,6 @@ def q_attach_card_percent(spark, d):
 # Change sets are derived from the tables themselves (every request row comes
 # from a table row), so their size grows with the data.
 
-from overhaul.operators import changes as ch  # noqa: E402
-from overhaul.operators import integrity  # noqa: E402
 
 
 def material_changes(m: DataFrame) -> DataFrame:
@@ -499,8 +499,7 @@ def order_saves(t) -> DataFrame:
     """Order documents to save: February orders re-saved with a changed car
     and no staff, March orders copied as new orders, April orders sent with
     ids that do not exist (rejected)."""
-    from overhaul.operators.orders import order_documents
-    docs = order_documents(t, SAVE_DAYS["update"][0], SAVE_DAYS["unknown"][1])
+    docs = orders.order_documents(t, SAVE_DAYS["update"][0], SAVE_DAYS["unknown"][1])
     month = F.month("order_date")
     feb, mar = month == 2, month == 3
     return docs.select(
@@ -563,7 +562,6 @@ def faulty_tables(t):
 
 
 def _integrity_sql() -> str:
-    from overhaul.schema import KEYS, MONEY, REFERENCES, SCHEMAS
     src = {n: f"v_{n}" for n in SCHEMAS}
     src.update(purchases="f_purchases", order_materials="f_order_materials", services="f_services")
 
