@@ -9,21 +9,46 @@ The same derivations appear as SQL ``WITH`` clauses in the DuckDB oracles
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from overhaul.schema import MONEY
-from overhaul.sources.tables import conform
 
-SOURCE_TABLES = ("supplier", "customer", "part", "orders", "lineitem", "events")
+# Schemas of the source tables used (declared, so no footer is read to infer them).
+SOURCE_SCHEMAS = {
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+SOURCE_TABLES = tuple(SOURCE_SCHEMAS)
+
+# Table definitions are lazy and immutable, so one set per session and folder
+# is shared by all queries (as views would be).
+_DEFINED: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def shop_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The nine shop tables as lazy DataFrames over ``sf_dir``."""
+    per_session = _DEFINED.setdefault(spark, {})
+    key = sf_dir.rstrip("/")
+    if key not in per_session:
+        per_session[key] = _define(spark, key)
+    return dict(per_session[key])
+
+
+def _define(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     src = {name: _read(spark, sf_dir, name) for name in SOURCE_TABLES}
     s, c, p, o, li, ev = (src[n] for n in SOURCE_TABLES)
     dec = lambda col: F.col(col).cast(MONEY)
@@ -89,9 +114,10 @@ def shop_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             F.lit(None).cast(MONEY).alias("sum"),
         ),
     }
-    # Keep the declared column types (nullability is not forced: Spark only
-    # enforces it on write, and the integrity check reports violations).
-    return {name: conform(df, name) for name, df in tables.items()}
+    # Each select yields exactly the declared column names and types
+    # (tests/test_testdata.py); nullability is not forced: Spark only
+    # enforces it on write, and the integrity check reports violations.
+    return tables
 
 
 # The same derivations in SQL, as WITH clauses for the DuckDB oracles.
