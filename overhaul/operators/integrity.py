@@ -78,18 +78,38 @@ def key_violations(df: DataFrame, table: str) -> list[DataFrame]:
     return [_out(dup, table, "unique_key", key, F.col(key).cast("string"), F.col("n"))]
 
 
-def reference_violations(t: Tables) -> list[DataFrame]:
-    out = []
-    for ref in REFERENCES:
-        child = t[ref.child]
-        used = (child.where(F.col(ref.column).isNotNull())
-                .groupBy(ref.column).agg(F.count(F.lit(1)).alias("n")))
-        parent_key = KEYS[ref.parent]
-        parents = t[ref.parent].select(F.col(parent_key).alias(ref.column))
-        missing = used.join(parents, ref.column, "left_anti")
-        out.append(_out(missing, ref.child, f"references_{ref.parent}", ref.column,
-                        F.col(ref.column).cast("string"), F.col("n")))
-    return out
+def reference_violations(t: Tables) -> DataFrame:
+    """Child values without a parent row, with the number of child rows.
+
+    Each child table is scanned once for all its references and each parent
+    once for all references to it: child values become (reference, value)
+    pairs counted per pair (a heavily used value collapses map-side), then
+    one anti join on (reference, value) against the parents' keys.
+    """
+    refs = list(enumerate(REFERENCES))
+    used = []
+    for child in dict.fromkeys(r.child for _, r in refs):
+        mine = [(i, r) for i, r in refs if r.child == child]
+        pairs = F.array(*[F.struct(F.lit(i).alias("ref"), F.col(r.column).cast("long").alias("value"))
+                          for i, r in mine])
+        used.append(t[child].select(F.explode(pairs).alias("p")).select("p.*"))
+    counted = (reduce(DataFrame.unionByName, used).where(F.col("value").isNotNull())
+               .groupBy("ref", "value").agg(F.count(F.lit(1)).alias("n")))
+    parents = []
+    for parent in dict.fromkeys(r.parent for _, r in refs):
+        idx = [i for i, r in refs if r.parent == parent]
+        parents.append(t[parent].select(F.explode(F.array(*[F.lit(i) for i in idx])).alias("ref"),
+                                        F.col(KEYS[parent]).cast("long").alias("value")))
+    missing = counted.join(reduce(DataFrame.unionByName, parents), ["ref", "value"], "left_anti")
+
+    def pick(attr):
+        return F.element_at(F.array(*[F.lit(attr(r)) for _, r in refs]), F.col("ref") + 1)
+
+    return missing.select(pick(lambda r: r.child).alias("table_name"),
+                          pick(lambda r: f"references_{r.parent}").alias("rule"),
+                          pick(lambda r: r.column).alias("column_name"),
+                          F.col("value").cast("string").alias("value"),
+                          F.col("n").cast("long").alias("rows"))
 
 
 def check_tables(t: Tables) -> DataFrame:
@@ -103,6 +123,6 @@ def check_tables(t: Tables) -> DataFrame:
         if rows is not None:
             parts.append(rows)
         parts += key_violations(df, table)
-    parts += reference_violations(t)
+    parts.append(reference_violations(t))
     return reduce(DataFrame.unionByName, parts)
 
