@@ -6,7 +6,7 @@ there is none. A plain ``collect_set`` per group would merge every distinct id
 of a hot group in one task. Instead the lists are built in two aggregation
 rounds:
 
-0. group by (keys, list, chunk, id): de-duplicates ids and pre-sums, in a
+0. group by (keys, list, id): de-duplicates ids and pre-sums, in a
    code-generated hash aggregate;
 1. group by (keys, list, chunk) where chunk is the id text's first
    ``prefix_len`` characters; each chunk's ids are sorted and joined there;
@@ -43,19 +43,18 @@ def summarize_with_id_lists(df: DataFrame, keys: list[str], aggs: list[tuple[str
     names = list(id_lists)
     tag = F.coalesce(*[F.when(e.isNotNull(), F.lit(i)) for i, e in enumerate(id_lists.values())],
                      F.lit(None).cast("int"))
-    ident = F.coalesce(*[e.cast("string") for e in id_lists.values()], F.lit(None).cast("string"))
-    staged = df.select(*keys, *[c.alias(n) for n, _, c in aggs],
-                       tag.alias("_tag"), ident.alias("_id"))
-    staged = staged.withColumn("_chunk", F.substring("_id", 1, prefix_len))
+    ident = F.coalesce(*id_lists.values())
+    staged = df.select(*keys, *[c.alias(n) for n, _, c in aggs], tag.alias("_tag"), ident.alias("_idv"))
 
-    # Round 0: distinct ids per chunk with partial sums, in a plain (codegen)
-    # hash aggregate; collecting starts only from de-duplicated ids.
-    round0 = staged.groupBy(*keys, "_tag", "_chunk", "_id").agg(
-        *[_PARTIAL[k](n).alias(n) for n, k, _ in aggs])
-    round1 = round0.groupBy(*keys, "_tag", "_chunk").agg(
-        *[_MERGE[k](n).alias(n) for n, k, _ in aggs],
-        F.array_join(F.array_sort(F.collect_list("_id")), ",").alias("_ids"),
-    )
+    # Round 0: distinct ids with partial sums, a plain (codegen) hash
+    # aggregate on the typed id; collecting starts only from distinct ids.
+    round0 = staged.groupBy(*keys, "_tag", "_idv").agg(*[_PARTIAL[k](n).alias(n) for n, k, _ in aggs])
+    text = F.col("_idv").cast("string")
+    round1 = (round0.select(*keys, "_tag", *[n for n, _, _ in aggs], text.alias("_id"),
+                            F.substring(text, 1, prefix_len).alias("_chunk"))
+              .groupBy(*keys, "_tag", "_chunk").agg(
+                  *[_MERGE[k](n).alias(n) for n, k, _ in aggs],
+                  F.array_join(F.array_sort(F.collect_list("_id")), ",").alias("_ids")))
     parts = F.collect_list(F.when(F.col("_tag").isNotNull(),
                                   F.struct("_tag", "_chunk", "_ids")))
     round2 = round1.groupBy(*keys).agg(
