@@ -25,17 +25,18 @@ def material_list(t: Tables, name: str = "", part: bool | None = None) -> DataFr
     m = t["materials"]
     part_pred = None if part is None else (F.col("part") == F.lit(bool(part)))
     return where_all(m, name_contains("material_name", name), part_pred).orderBy(
-        F.asc_nulls_last("material_name"))
+        F.asc_nulls_last("material_name"), "material_id")
 
 
 def service_list(t: Tables, name: str = "") -> DataFrame:
     return where_all(t["services"], name_contains("service_name", name)).orderBy(
-        F.asc_nulls_last("service_name"))
+        F.asc_nulls_last("service_name"), "service_id")
 
 
 def staffer_list(t: Tables, role: str = "") -> DataFrame:
     s = t["staffers"].select(*STAFFER_PUBLIC)
-    return where_all(s, equals_unless("role", role, "")).orderBy(F.asc_nulls_last("staffer_name"))
+    return where_all(s, equals_unless("role", role, "")).orderBy(
+        F.asc_nulls_last("staffer_name"), "staffer_id")
 
 
 def card_list(t: Tables) -> DataFrame:

@@ -44,7 +44,7 @@ def order_list(t: Tables, card_number: str = "", begin=None, end=None) -> DataFr
                     F.coalesce(F.col("order_lines"), F.lit(0).cast("long")).alias("order_lines"),
                     F.coalesce(to_total("total"), zero).alias("total"),
                     F.coalesce(to_total("discounted_total"), zero).alias("discounted_total"))
-            .orderBy(F.asc_nulls_last("order_date")))
+            .orderBy(F.asc_nulls_last("order_date"), "order_id"))
 
 
 def order_documents(t: Tables, begin=None, end=None, card_number: str = "",

@@ -33,7 +33,8 @@ def purchase_list(t: Tables, material_id: int = 0, begin=None, end=None) -> Data
     [begin, end]; sorted by purchase date."""
     p = where_all(t["purchases"], equals_unless("material_id", material_id, 0),
                   in_days("purchase_date", begin, end))
-    return _enrich(p, t["materials"]).orderBy(F.asc_nulls_last("purchase_date"))
+    return _enrich(p, t["materials"]).orderBy(
+        F.asc_nulls_last("purchase_date"), "purchase_id")
 
 
 def purchase_lookup(t: Tables, keys: DataFrame) -> DataFrame:

@@ -113,7 +113,8 @@ def materials_using(t: Tables, begin, end, only_available: bool = False) -> Data
 
     rows = F.when(F.col("_known").isNotNull(), F.array(piece(fields))).otherwise(F.filter(
         F.array(*[F.when(F.col(n) > 0, piece({s, lst})) for s, n, lst in parts]), lambda x: x.isNotNull()))
-    flat = joined.select("material_name", F.explode(rows).alias("r")).select("material_name", "r.*")
+    flat = joined.select("material_id", "material_name", F.explode(rows).alias("r")).select(
+        "material_id", "material_name", "r.*")
 
     zero = F.lit(0).cast(TOTAL)
     ib = F.coalesce(to_total("incoming_sum_begin"), zero)
@@ -121,7 +122,7 @@ def materials_using(t: Tables, begin, end, only_available: bool = False) -> Data
     i = F.coalesce(to_total("incoming_sum"), zero)
     o = F.coalesce(to_total("outgoing_sum"), zero)
     out = flat.select(
-        "material_name", "purchase_ids", "order_ids",
+        "material_id", "material_name", "purchase_ids", "order_ids",
         ib.alias("incoming_sum_begin"), ob.alias("outgoing_sum_begin"),
         (ib - ob).cast(TOTAL).alias("balance_begin"),
         i.alias("incoming_sum"), o.alias("outgoing_sum"),
@@ -129,7 +130,7 @@ def materials_using(t: Tables, begin, end, only_available: bool = False) -> Data
     )
     if only_available:
         out = out.where(F.col("balance_end") > 0)
-    return out.orderBy(F.asc_nulls_last("material_name"))
+    return out.orderBy(F.asc_nulls_last("material_name"), F.asc_nulls_last("material_id")).drop("material_id")
 
 
 def salary_details(t: Tables, begin, end, coeff: int) -> DataFrame:
