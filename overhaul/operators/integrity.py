@@ -3,7 +3,9 @@
 Spark does not enforce keys, NOT NULL or numeric(10,2) ranges, so a job
 that changes tables runs this check on the result. Each rule is a
 distributed scan, aggregation or anti join; all violations come back as one
-DataFrame (table, rule, column, value, rows) with nothing collected.
+DataFrame (table_name, rule, column_name, value, rows) with nothing
+collected. Rule expressions are written as SQL expressions, one per
+projection, so building the plan costs a handful of calls per table.
 """
 
 from __future__ import annotations
@@ -11,7 +13,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from overhaul.schema import KEYS, MONEY, REFERENCES, SCHEMAS
@@ -21,27 +22,24 @@ Tables = dict[str, DataFrame]
 MONEY_LIMIT = 10 ** (MONEY.precision - MONEY.scale)  # |value| must stay below 1e8
 
 
-def _row_ref(table: str) -> F.Column:
-    """Text that identifies a row: its key, or order_id:order_line for lines."""
-    if table in KEYS:
-        return F.col(KEYS[table]).cast("string")
-    return F.concat_ws(":", F.col("order_id").cast("string"), F.col("order_line").cast("string"))
+def _q(name: str) -> str:
+    return f"`{name}`"
 
 
-def _out(df: DataFrame, table: str, rule: str, column: str, value, rows) -> DataFrame:
-    return df.select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
-                     F.lit(column).alias("column_name"), value.alias("value"),
-                     rows.cast("long").alias("rows"))
+def _row_ref(table: str) -> str:
+    """SQL text that identifies a row: its key, or order_id:order_line."""
+    if table in KEYS:
+        return f"cast({_q(KEYS[table])} as string)"
+    return "concat_ws(':', cast(order_id as string), cast(order_line as string))"
 
 
-def _money_too_large(df: DataFrame, name: str) -> F.Column | None:
-    """numeric(10,2) check for one column; None when its type cannot violate."""
+def _money_too_large(df: DataFrame, name: str) -> str | None:
+    """numeric(10,2) test for one column; None when its type cannot violate."""
     dtype = df.schema[name].dataType
     if isinstance(dtype, T.DecimalType) and dtype.precision - dtype.scale <= MONEY.precision - MONEY.scale:
         return None
-    v = F.col(name)
-    rounded = F.round(v.try_cast("decimal(38,6)"), 2)
-    return v.isNotNull() & (rounded.isNull() | (F.abs(rounded) >= F.lit(MONEY_LIMIT)))
+    rounded = f"round(try_cast({_q(name)} as decimal(38,6)), 2)"
+    return f"({_q(name)} is not null and ({rounded} is null or abs({rounded}) >= {MONEY_LIMIT}))"
 
 
 def row_violations(df: DataFrame, table: str) -> DataFrame | None:
@@ -55,27 +53,30 @@ def row_violations(df: DataFrame, table: str) -> DataFrame | None:
         if f.name not in df.columns:
             continue
         if not f.nullable:
-            checks.append((F.col(f.name).isNull(), "not_null", f.name))
+            checks.append((f"{_q(f.name)} is null", "not_null", f.name))
         if f.dataType == MONEY:
             bad = _money_too_large(df, f.name)
             if bad is not None:
                 checks.append((bad, "numeric_10_2", f.name))
     if not checks:
         return None
-    broken = F.filter(F.array(*[F.when(c, F.struct(F.lit(r).alias("rule"), F.lit(n).alias("column_name")))
-                                 for c, r, n in checks]), lambda x: x.isNotNull())
-    found = df.select(_row_ref(table).alias("value"), F.explode(broken).alias("v"))
-    return found.select(F.lit(table).alias("table_name"), F.col("v.rule").alias("rule"),
-                        F.col("v.column_name").alias("column_name"), "value",
-                        F.lit(1).cast("long").alias("rows"))
+    cases = ", ".join(f"case when {c} then named_struct('rule', '{r}', 'column_name', '{n}') end"
+                      for c, r, n in checks)
+    return (df.selectExpr(f"{_row_ref(table)} as value",
+                          f"explode(filter(array({cases}), x -> x is not null)) as v")
+              .selectExpr(f"'{table}' as table_name", "v.rule as rule", "v.column_name as column_name",
+                          "value", "cast(1 as bigint) as rows"))
 
 
-def key_violations(df: DataFrame, table: str) -> list[DataFrame]:
+def key_violations(df: DataFrame, table: str) -> DataFrame | None:
+    """Key values held by more than one row, with the number of rows."""
     if table not in KEYS:
-        return []
-    key = KEYS[table]
-    dup = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return [_out(dup, table, "unique_key", key, F.col(key).cast("string"), F.col("n"))]
+        return None
+    key = _q(KEYS[table])
+    dup = df.selectExpr(f"{key} as k").where("k is not null").groupBy("k").count().where("count > 1")
+    return dup.selectExpr(f"'{table}' as table_name", "'unique_key' as rule",
+                          f"'{KEYS[table]}' as column_name", "cast(k as string) as value",
+                          "cast(count as bigint) as rows")
 
 
 def reference_violations(t: Tables) -> DataFrame:
@@ -89,40 +90,34 @@ def reference_violations(t: Tables) -> DataFrame:
     refs = list(enumerate(REFERENCES))
     used = []
     for child in dict.fromkeys(r.child for _, r in refs):
-        mine = [(i, r) for i, r in refs if r.child == child]
-        pairs = F.array(*[F.struct(F.lit(i).alias("ref"), F.col(r.column).cast("long").alias("value"))
-                          for i, r in mine])
-        used.append(t[child].select(F.explode(pairs).alias("p")).select("p.*"))
-    counted = (reduce(DataFrame.unionByName, used).where(F.col("value").isNotNull())
-               .groupBy("ref", "value").agg(F.count(F.lit(1)).alias("n")))
+        pairs = ", ".join(f"named_struct('ref', {i}, 'value', cast({_q(r.column)} as bigint))"
+                          for i, r in refs if r.child == child)
+        used.append(t[child].selectExpr(f"inline(array({pairs}))"))
+    counted = (reduce(DataFrame.unionByName, used).where("value is not null")
+               .groupBy("ref", "value").count())
     parents = []
     for parent in dict.fromkeys(r.parent for _, r in refs):
-        idx = [i for i, r in refs if r.parent == parent]
-        parents.append(t[parent].select(F.explode(F.array(*[F.lit(i) for i in idx])).alias("ref"),
-                                        F.col(KEYS[parent]).cast("long").alias("value")))
+        idx = ", ".join(str(i) for i, r in refs if r.parent == parent)
+        parents.append(t[parent].selectExpr(f"explode(array({idx})) as ref",
+                                            f"cast({_q(KEYS[parent])} as bigint) as value"))
     missing = counted.join(reduce(DataFrame.unionByName, parents), ["ref", "value"], "left_anti")
 
-    def pick(attr):
-        return F.element_at(F.array(*[F.lit(attr(r)) for _, r in refs]), F.col("ref") + 1)
+    def pick(values):
+        return "element_at(array(" + ", ".join(f"'{v}'" for v in values) + "), ref + 1)"
 
-    return missing.select(pick(lambda r: r.child).alias("table_name"),
-                          pick(lambda r: f"references_{r.parent}").alias("rule"),
-                          pick(lambda r: r.column).alias("column_name"),
-                          F.col("value").cast("string").alias("value"),
-                          F.col("n").cast("long").alias("rows"))
+    return missing.selectExpr(
+        f"{pick(r.child for _, r in refs)} as table_name",
+        f"{pick('references_' + r.parent for _, r in refs)} as rule",
+        f"{pick(r.column for _, r in refs)} as column_name",
+        "cast(value as string) as value", "cast(count as bigint) as rows")
 
 
 def check_tables(t: Tables) -> DataFrame:
     """All violations of NOT NULL, primary keys, references and money ranges."""
     parts = []
     for table in SCHEMAS:
-        if table not in t:
-            continue
-        df = t[table]
-        rows = row_violations(df, table)
-        if rows is not None:
-            parts.append(rows)
-        parts += key_violations(df, table)
+        if table in t:
+            parts += [p for p in (row_violations(t[table], table), key_violations(t[table], table))
+                      if p is not None]
     parts.append(reference_violations(t))
     return reduce(DataFrame.unionByName, parts)
-
