@@ -192,23 +192,26 @@ def save_orders(t: Tables, docs: DataFrame, seq: str = "seq", start: int | None
 
 def order_tables_long(t: Tables) -> DataFrame:
     """The four order tables as one long frame (for checks and digests)."""
-    null = lambda typ: F.lit(None).cast(typ)
-    o = t["orders"].select(F.lit("orders").alias("tbl"), "order_id", null("int").alias("order_line"),
-                           null("long").alias("item_id"), "order_date", "car", "card_number",
-                           "percent_off", null("decimal(10,2)").alias("price"),
-                           null("decimal(10,2)").alias("quantity"), null("int").alias("ktu"))
-    s = t["order_services"].select(F.lit("order_services").alias("tbl"), "order_id", "order_line",
-                                   F.col("service_id").alias("item_id"), null("timestamp_ntz").alias("order_date"),
-                                   null("string").alias("car"), null("string").alias("card_number"),
-                                   null("int").alias("percent_off"), "price", "quantity", null("int").alias("ktu"))
-    m = t["order_materials"].select(F.lit("order_materials").alias("tbl"), "order_id", "order_line",
-                                    F.col("material_id").alias("item_id"), null("timestamp_ntz").alias("order_date"),
-                                    null("string").alias("car"), null("string").alias("card_number"),
-                                    null("int").alias("percent_off"), null("decimal(10,2)").alias("price"),
-                                    "quantity", null("int").alias("ktu"))
-    st = t["order_staffers"].select(F.lit("order_staffers").alias("tbl"), "order_id", "order_line",
-                                    F.col("staffer_id").alias("item_id"), null("timestamp_ntz").alias("order_date"),
-                                    null("string").alias("car"), null("string").alias("card_number"),
-                                    null("int").alias("percent_off"), null("decimal(10,2)").alias("price"),
-                                    null("decimal(10,2)").alias("quantity"), "ktu")
-    return o.unionByName(s).unionByName(m).unionByName(st)
+    cols = {
+        "orders": ["order_id", "null:int order_line", "null:bigint item_id", "order_date", "car",
+                   "card_number", "percent_off", "null:decimal(10,2) price", "null:decimal(10,2) quantity",
+                   "null:int ktu"],
+        "order_services": ["order_id", "order_line", "service_id item_id", "null:timestamp_ntz order_date",
+                           "null:string car", "null:string card_number", "null:int percent_off", "price",
+                           "quantity", "null:int ktu"],
+        "order_materials": ["order_id", "order_line", "material_id item_id", "null:timestamp_ntz order_date",
+                            "null:string car", "null:string card_number", "null:int percent_off",
+                            "null:decimal(10,2) price", "quantity", "null:int ktu"],
+        "order_staffers": ["order_id", "order_line", "staffer_id item_id", "null:timestamp_ntz order_date",
+                           "null:string car", "null:string card_number", "null:int percent_off",
+                           "null:decimal(10,2) price", "null:decimal(10,2) quantity", "ktu"],
+    }
+
+    def expr(spec):
+        if spec.startswith("null:"):
+            typ, name = spec[5:].split(" ")
+            return f"cast(null as {typ}) as {name}"
+        return spec.replace(" ", " as ") if " " in spec else spec
+
+    parts = [t[name].selectExpr(f"'{name}' as tbl", *[expr(c) for c in specs]) for name, specs in cols.items()]
+    return reduce(DataFrame.unionByName, parts)

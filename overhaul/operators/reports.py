@@ -106,15 +106,16 @@ def materials_using(t: Tables, begin, end, only_available: bool = False) -> Data
     parts = [("incoming_sum_begin", "n_ib", None), ("outgoing_sum_begin", "n_ob", None),
              ("incoming_sum", "n_i", "purchase_ids"), ("outgoing_sum", "n_o", "order_ids")]
     fields = [p[0] for p in parts] + ["purchase_ids", "order_ids"]
+    types = {f: joined.schema[f].dataType.simpleString() for f in fields}
 
     def piece(keep):
-        return F.struct(*[(F.col(f) if f in keep else F.lit(None).cast(joined.schema[f].dataType)).alias(f)
-                          for f in fields])
+        return "named_struct(" + ", ".join(
+            f"'{f}', " + (f if f in keep else f"cast(null as {types[f]})") for f in fields) + ")"
 
-    rows = F.when(F.col("_known").isNotNull(), F.array(piece(fields))).otherwise(F.filter(
-        F.array(*[F.when(F.col(n) > 0, piece({s, lst})) for s, n, lst in parts]), lambda x: x.isNotNull()))
-    flat = joined.select("material_id", "material_name", F.explode(rows).alias("r")).select(
-        "material_id", "material_name", "r.*")
+    orphan = ", ".join(f"case when {n} > 0 then {piece({s, lst})} end" for s, n, lst in parts)
+    rows = (f"case when _known is not null then array({piece(fields)}) "
+            f"else filter(array({orphan}), x -> x is not null) end")
+    flat = joined.selectExpr("material_id", "material_name", f"inline({rows})")
 
     zero = F.lit(0).cast(TOTAL)
     ib = F.coalesce(to_total("incoming_sum_begin"), zero)
@@ -152,7 +153,7 @@ def salary_details(t: Tables, begin, end, coeff: int) -> DataFrame:
     return detail.select(
         "order_id", "staffer_id", "ktu",
         F.coalesce(to_total("orders_sum"), F.lit(0).cast(TOTAL)).alias("orders_sum"),
-        pay("ktu", F.lit(int(coeff)), "orders_sum").alias("zp"),
+        pay("ktu", coeff, "orders_sum").alias("zp"),
     )
 
 

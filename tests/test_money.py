@@ -29,7 +29,7 @@ def test_null_percent_gives_null_net(spark):
 
 def test_pay_exact(spark):
     r = _one(spark, [(50, D("1234.50")), (50, None)], "ktu int, s decimal(38,2)",
-             pay("ktu", F.lit(10), "s").alias("zp"))
+             pay("ktu", 10, "s").alias("zp"))
     assert r[0].zp == D("61.73")  # 61.725 rounds up
     assert r[1].zp == D("0.00")
 
