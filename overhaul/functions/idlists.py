@@ -22,50 +22,46 @@ merged in rounds 1 and 2, so no join is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_MERGE = {"sum": F.sum, "count": F.sum, "max": F.max}
-_PARTIAL = {"sum": F.sum, "count": F.count, "max": F.max}
+_MERGE = {"sum": "sum", "count": "sum", "max": "max"}
+_PARTIAL = {"sum": "sum", "count": "count", "max": "max"}
 
 
-def summarize_with_id_lists(df: DataFrame, keys: list[str], aggs: list[tuple[str, str, Column]],
-                            id_lists: dict[str, Column], prefix_len: int = 3) -> DataFrame:
+def summarize_with_id_lists(df: DataFrame, keys: list[str], aggs: list[tuple[str, str, str]],
+                            id_lists: dict[str, str], prefix_len: int = 3) -> DataFrame:
     """Group ``df`` by ``keys``.
 
-    aggs: (name, kind, column) with kind ``sum``, ``count`` (non-NULL values)
-        or ``max``.
-    id_lists: output name -> id expression; a row contributes its id to the
-        first list whose expression is not NULL (each row feeds at most one
-        list).
+    aggs: (name, kind, SQL expression) with kind ``sum``, ``count``
+        (non-NULL values) or ``max``.
+    id_lists: output name -> SQL expression of the id; a row contributes its
+        id to the first list whose expression is not NULL (each row feeds at
+        most one list).
     Returns keys, the aggregates and one string column per list.
+    Expressions are SQL text, so each step is built with one call.
     """
     names = list(id_lists)
-    tag = F.coalesce(*[F.when(e.isNotNull(), F.lit(i)) for i, e in enumerate(id_lists.values())],
-                     F.lit(None).cast("int"))
-    ident = F.coalesce(*id_lists.values())
-    staged = df.select(*keys, *[c.alias(n) for n, _, c in aggs], tag.alias("_tag"), ident.alias("_idv"))
+    exprs = list(id_lists.values())
+    tag = "coalesce(" + ", ".join(f"case when ({e}) is not null then {i} end" for i, e in enumerate(exprs)) \
+        + ", cast(null as int))"
+    ident = "coalesce(" + ", ".join(f"({e})" for e in exprs) + ")"
+    k = [f"`{c}`" for c in keys]
+    staged = df.selectExpr(*k, *[f"({e}) as `{n}`" for n, _, e in aggs], f"{tag} as _tag", f"{ident} as _idv")
 
     # Round 0: distinct ids with partial sums, a plain (codegen) hash
     # aggregate on the typed id; collecting starts only from distinct ids.
-    round0 = staged.groupBy(*keys, "_tag", "_idv").agg(*[_PARTIAL[k](n).alias(n) for n, k, _ in aggs])
-    text = F.col("_idv").cast("string")
-    round1 = (round0.select(*keys, "_tag", *[n for n, _, _ in aggs], text.alias("_id"),
-                            F.substring(text, 1, prefix_len).alias("_chunk"))
+    round0 = staged.groupBy(*keys, "_tag", "_idv").agg(
+        *[F.expr(f"{_PARTIAL[kind]}(`{n}`) as `{n}`") for n, kind, _ in aggs])
+    round1 = (round0.selectExpr(*k, "_tag", *[f"`{n}`" for n, _, _ in aggs], "cast(_idv as string) as _id",
+                                f"substring(cast(_idv as string), 1, {int(prefix_len)}) as _chunk")
               .groupBy(*keys, "_tag", "_chunk").agg(
-                  *[_MERGE[k](n).alias(n) for n, k, _ in aggs],
-                  F.array_join(F.array_sort(F.collect_list("_id")), ",").alias("_ids")))
-    parts = F.collect_list(F.when(F.col("_tag").isNotNull(),
-                                  F.struct("_tag", "_chunk", "_ids")))
+                  *[F.expr(f"{_MERGE[kind]}(`{n}`) as `{n}`") for n, kind, _ in aggs],
+                  F.expr("array_join(array_sort(collect_list(_id)), ',') as _ids")))
     round2 = round1.groupBy(*keys).agg(
-        *[_MERGE[k](n).alias(n) for n, k, _ in aggs],
-        F.array_sort(parts).alias("_parts"),
-    )
-    lists = [_joined_list("_parts", i).alias(name) for i, name in enumerate(names)]
-    return round2.select(*keys, *[n for n, _, _ in aggs], *lists)
-
-
-def _joined_list(parts: str, tag: int) -> Column:
-    # One-argument lambdas only: Spark reads a second parameter as the index.
-    mine = F.filter(parts, lambda p: p["_tag"] == F.lit(tag))
-    return F.nullif(F.array_join(F.transform(mine, lambda p: p["_ids"]), ","), F.lit(""))
+        *[F.expr(f"{_MERGE[kind]}(`{n}`) as `{n}`") for n, kind, _ in aggs],
+        F.expr("array_sort(collect_list(case when _tag is not null then "
+               "named_struct('_tag', _tag, '_chunk', _chunk, '_ids', _ids) end)) as _parts"))
+    lists = [f"nullif(array_join(transform(filter(_parts, p -> p._tag = {i}), p -> p._ids), ','), '') as `{name}`"
+             for i, name in enumerate(names)]
+    return round2.selectExpr(*k, *[f"`{n}`" for n, _, _ in aggs], *lists)

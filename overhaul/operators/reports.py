@@ -7,12 +7,16 @@ parameters and return a DataFrame sorted as the original service sorts it
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from overhaul.functions.filters import before_day, day_of, in_days, where_all
+from overhaul.functions.filters import day_of, in_days, where_all
 from overhaul.functions.idlists import summarize_with_id_lists
-from overhaul.functions.money import line_amount, line_amount_net, pay, round_avg, to_total
+from overhaul.functions.money import (
+    line_amount, line_amount_net_sql, line_amount_sql, pay, round_avg, to_total,
+)
 from overhaul.schema import KTU, TOTAL
 
 Tables = dict[str, DataFrame]
@@ -35,13 +39,13 @@ def executed_works(t: Tables, begin=None, end=None) -> DataFrame:
     joined = where_all(joined, in_days("order_date", begin, end))
     out = summarize_with_id_lists(
         joined, ["service_name"],
-        [("sum", "sum", line_amount("price", "quantity")),
-         ("orders", "count", F.col("o_order_id")),
-         ("pct_sum", "sum", F.col("percent_off").cast("long")),
-         ("pct_n", "count", F.col("percent_off")),
-         ("max_percent_off", "max", F.col("percent_off")),
-         ("discount_sum", "sum", line_amount_net("price", "quantity", "percent_off"))],
-        {"order_ids": F.col("o_order_id")},
+        [("sum", "sum", line_amount_sql("price", "quantity")),
+         ("orders", "count", "o_order_id"),
+         ("pct_sum", "sum", "cast(percent_off as bigint)"),
+         ("pct_n", "count", "percent_off"),
+         ("max_percent_off", "max", "percent_off"),
+         ("discount_sum", "sum", line_amount_net_sql("price", "quantity", "percent_off"))],
+        {"order_ids": "o_order_id"},
     )
     zero = F.lit(0).cast(TOTAL)
     return out.select(
@@ -80,21 +84,23 @@ def materials_using(t: Tables, begin, end, only_available: bool = False) -> Data
         F.lit(False).alias("is_in"), F.col("order_id").alias("ref_id"))
     moves = incoming.unionByName(outgoing)
 
-    before = before_day("ts", b)
-    during = in_days("ts", b, e)  # the end bound is implied by the pruning above
-    in_before, out_before = F.col("is_in") & before, ~F.col("is_in") & before
-    in_during, out_during = F.col("is_in") & during, ~F.col("is_in") & during
-    one = F.lit(1)
+    # Conditions on the movement kind and day, as SQL text for the aggregates.
+    b_lit, e_next = f"timestamp_ntz'{b} 00:00:00'", f"timestamp_ntz'{e + dt.timedelta(days=1)} 00:00:00'"
+    cond = {"in_before": f"is_in and ts < {b_lit}", "out_before": f"not is_in and ts < {b_lit}",
+            "in_during": f"is_in and ts >= {b_lit} and ts < {e_next}",
+            "out_during": f"not is_in and ts >= {b_lit} and ts < {e_next}"}
     sums = summarize_with_id_lists(
         moves, ["material_id"],
-        [("incoming_sum_begin", "sum", F.when(in_before, F.col("quantity"))),
-         ("outgoing_sum_begin", "sum", F.when(out_before, F.col("quantity"))),
-         ("incoming_sum", "sum", F.when(in_during, F.col("quantity"))),
-         ("outgoing_sum", "sum", F.when(out_during, F.col("quantity"))),
-         ("n_ib", "count", F.when(in_before, one)), ("n_ob", "count", F.when(out_before, one)),
-         ("n_i", "count", F.when(in_during, one)), ("n_o", "count", F.when(out_during, one))],
-        {"purchase_ids": F.when(in_during, F.col("ref_id")),
-         "order_ids": F.when(out_during, F.col("ref_id"))},
+        [("incoming_sum_begin", "sum", f"case when {cond['in_before']} then quantity end"),
+         ("outgoing_sum_begin", "sum", f"case when {cond['out_before']} then quantity end"),
+         ("incoming_sum", "sum", f"case when {cond['in_during']} then quantity end"),
+         ("outgoing_sum", "sum", f"case when {cond['out_during']} then quantity end"),
+         ("n_ib", "count", f"case when {cond['in_before']} then 1 end"),
+         ("n_ob", "count", f"case when {cond['out_before']} then 1 end"),
+         ("n_i", "count", f"case when {cond['in_during']} then 1 end"),
+         ("n_o", "count", f"case when {cond['out_during']} then 1 end")],
+        {"purchase_ids": f"case when {cond['in_during']} then ref_id end",
+         "order_ids": f"case when {cond['out_during']} then ref_id end"},
     )
     mats = t["materials"].select("material_id", "material_name", F.lit(True).alias("_known"))
     joined = mats.join(sums, "material_id", "full_outer")
