@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from overhaul.functions.filters import equals_unless, in_days, where_all
-from overhaul.functions.money import line_amount, line_amount_net, to_total
+from overhaul.functions.money import line_amount, line_amount_net, line_amount_sql, to_total
 from overhaul.schema import TOTAL
 
 Tables = dict[str, DataFrame]
@@ -63,28 +62,28 @@ def order_documents(t: Tables, begin=None, end=None, card_number: str = "",
         header = header.join(keys.select("order_id"), "order_id", "left_semi")
     ids = header.select("order_id")
 
-    svc = (t["order_services"].join(ids, "order_id", "left_semi")
-           .join(t["services"].select("service_id", "service_name"), "service_id", "left")
-           .select("order_id", F.struct(
-               "order_id", "order_line", "service_id", "price", "quantity", "service_name",
-               F.coalesce(line_amount("price", "quantity"), F.lit(0).cast("decimal(20,2)")).alias("sum"),
-           ).alias("item")))
-    mat = (t["order_materials"].join(ids, "order_id", "left_semi")
-           .join(t["materials"].select("material_id", "material_name"), "material_id", "left")
-           .select("order_id", F.struct(
-               "order_id", "order_line", "material_id", "quantity", "material_name").alias("item")))
-    stf = (t["order_staffers"].join(ids, "order_id", "left_semi")
-           .join(t["staffers"].select("staffer_id", "staffer_name"), "staffer_id", "left")
-           .select("order_id", F.struct(
-               "order_id", "order_line", "staffer_id", "ktu", "staffer_name").alias("item")))
-
+    # (child table, dimension, dimension key, SQL of the item struct)
+    children = {
+        "order_services": ("services", "service_id", "service_name",
+                           "named_struct('order_id', order_id, 'order_line', order_line, 'service_id', service_id, "
+                           "'price', price, 'quantity', quantity, 'service_name', service_name, 'sum', "
+                           f"coalesce({line_amount_sql('price', 'quantity')}, 0.00BD))"),
+        "order_materials": ("materials", "material_id", "material_name",
+                            "named_struct('order_id', order_id, 'order_line', order_line, "
+                            "'material_id', material_id, 'quantity', quantity, 'material_name', material_name)"),
+        "order_staffers": ("staffers", "staffer_id", "staffer_name",
+                           "named_struct('order_id', order_id, 'order_line', order_line, "
+                           "'staffer_id', staffer_id, 'ktu', ktu, 'staffer_name', staffer_name)"),
+    }
     doc = header
-    for name, child in (("order_services", svc), ("order_materials", mat), ("order_staffers", stf)):
-        arr = child.groupBy("order_id").agg(F.array_sort(F.collect_list("item")).alias(name))
-        item_type = child.schema["item"].dataType
+    for name, (dim, key, label, item) in children.items():
+        arr = (t[name].join(ids, "order_id", "left_semi")
+               .join(t[dim].select(key, label), key, "left")
+               .groupBy("order_id").agg(F.expr(f"array_sort(collect_list({item})) as {name}")))
+        array_type = arr.schema[name].dataType.simpleString()
         doc = doc.join(arr, "order_id", "left").withColumn(
-            name, F.coalesce(F.col(name), F.array().cast(T.ArrayType(item_type))))
-    return doc.select(*ORDER_COLUMNS, "order_services", "order_materials", "order_staffers")
+            name, F.expr(f"coalesce({name}, cast(array() as {array_type}))"))
+    return doc.select(*ORDER_COLUMNS, *children)
 
 
 def flatten_documents(docs: DataFrame) -> DataFrame:
@@ -94,19 +93,15 @@ def flatten_documents(docs: DataFrame) -> DataFrame:
     without children stay visible. Used to compare documents with a flat SQL
     oracle.
     """
-    head = [F.col(c) for c in ORDER_COLUMNS]
-
     def part(kind, arr, item_id, item_name, price, quantity, amount, ktu):
-        x = docs.select(*head, F.posexplode_outer(arr).alias("position", "it"))
-        return x.select(
-            *ORDER_COLUMNS, F.lit(kind).alias("kind"), F.col("position").cast("int").alias("position"),
-            F.col("it.order_line").alias("order_line"),
-            F.col(f"it.{item_id}").alias("item_id"), F.col(f"it.{item_name}").alias("item_name"),
-            (F.col(f"it.{price}") if price else F.lit(None).cast("decimal(10,2)")).alias("price"),
-            (F.col(f"it.{quantity}") if quantity else F.lit(None).cast("decimal(10,2)")).alias("quantity"),
-            (F.col(f"it.{amount}") if amount else F.lit(None).cast("decimal(20,2)")).alias("amount"),
-            (F.col(f"it.{ktu}") if ktu else F.lit(None).cast("int")).alias("ktu"),
-        )
+        def field(f, typ, out):
+            return f"it.{f} as {out}" if f else f"cast(null as {typ}) as {out}"
+        return (docs.selectExpr(*ORDER_COLUMNS, f"posexplode_outer({arr}) as (position, it)")
+                .selectExpr(*ORDER_COLUMNS, f"'{kind}' as kind", "cast(position as int) as position",
+                            "it.order_line as order_line", f"it.{item_id} as item_id",
+                            f"it.{item_name} as item_name", field(price, "decimal(10,2)", "price"),
+                            field(quantity, "decimal(10,2)", "quantity"), field(amount, "decimal(20,2)", "amount"),
+                            field(ktu, "int", "ktu")))
 
     return (part("service", "order_services", "service_id", "service_name", "price", "quantity", "sum", None)
             .unionByName(part("material", "order_materials", "material_id", "material_name",
