@@ -2,8 +2,11 @@
 
 Prints one JSON line: {"metric", "value" (total seconds), "unit", "queries",
 "sf", ...}. Each query is timed to full materialisation (a write to the noop
-sink, so nothing is gathered on the driver); one untimed warm-up pass loads
-the JVM and Parquet footers first.
+sink, so nothing is gathered on the driver). One untimed pass over all
+queries first warms the JVM (JIT, generated code); each query is then timed
+as the best of $BENCH_RUNS runs (default 2). Each run builds the query from
+scratch (plan construction is part of the time). $BENCH_CONF takes extra
+Spark settings as "key=value,key=value".
 """
 
 from __future__ import annotations
@@ -19,12 +22,12 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from overhaul import build_session, suite  # noqa: E402
 
 
-
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or list(suite.QUERIES)
-    spark = build_session(f"local[{cpus}]", int(cpus) * 2)
+    extra = dict(kv.split("=", 1) for kv in os.environ.get("BENCH_CONF", "").split(",") if kv)
+    spark = build_session(f"local[{cpus}]", int(cpus) * 2, extra=extra)
     spark.sparkContext.setLogLevel("ERROR")
     runs = int(os.environ.get("BENCH_RUNS", "2"))
 
