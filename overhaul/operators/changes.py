@@ -76,34 +76,54 @@ def max_key(table: DataFrame, key: str) -> int:
     return table.agg(F.max(key)).first()[0] or 0
 
 
-def apply_updates(table: DataFrame, changes: DataFrame, key: str, seq: str = "seq") -> DataFrame:
-    """UPDATE ... WHERE key = ?: the last request per key replaces every
-    value column of an existing row; unknown keys are ignored."""
+def apply_updates(table: DataFrame, changes: DataFrame, key: str, seq: str = "seq",
+                  columns: list[str] | None = None) -> DataFrame:
+    """UPDATE ... SET columns WHERE key = ?: the last request per key replaces
+    the written ``columns`` (default: every value column) of an existing row;
+    unknown keys are ignored."""
     values = [c for c in table.columns if c != key]
-    upd = latest(changes.select(key, *values, seq), key, seq).drop(seq)
-    upd = upd.select(key, *[F.col(c).alias(f"_u_{c}") for c in values], F.lit(True).alias("_hit"))
+    written = [c for c in (columns or values) if c != key]
+    upd = latest(changes.select(key, *written, seq), key, seq).drop(seq)
+    upd = upd.select(key, *[F.col(c).alias(f"_u_{c}") for c in written], F.lit(True).alias("_hit"))
     joined = table.join(upd, key, "left")
     return joined.select(key, *[
-        F.when(F.col("_hit"), F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c) for c in values
+        (F.when(F.col("_hit"), F.col(f"_u_{c}")).otherwise(F.col(c)) if c in written else F.col(c)).alias(c)
+        for c in values
     ]).select(*table.columns)
 
 
 def apply_saves(table: DataFrame, changes: DataFrame, key: str, seq: str = "seq",
-                start: int | None = None) -> DataFrame:
+                start: int | None = None, columns: list[str] | None = None) -> DataFrame:
     """Save requests (insert when the key is NULL/0, else update if present).
 
-    New rows get ids after ``start`` (default: the current largest key) in
-    request order.
+    ``columns`` are the columns a request writes (default: all); the others
+    keep their value on update and are NULL on insert. New rows get ids after
+    ``start`` (default: the current largest key) in request order.
     """
     cols = table.columns
+    written = [c for c in (columns or cols) if c != key]
     updates = changes.where(~_is_new(key))
     inserts = changes.where(_is_new(key))
-    updated = apply_updates(table, updates.select(*cols, seq), key, seq)
+    updated = apply_updates(table, updates, key, seq, written)
     base = max_key(table, key) if start is None else start
-    inserted = assign_ids(inserts.drop(key), key, base, seq).select(*cols)
+    fresh = inserts.select(*written, seq)
+    for c in cols:
+        if c != key and c not in written:
+            fresh = fresh.withColumn(c, F.lit(None).cast(table.schema[c].dataType))
+    inserted = assign_ids(fresh, key, base, seq).select(*cols)
     return updated.unionByName(inserted)
 
 
+# A purchase request carries a sum, but the service never stores it.
+PURCHASE_WRITTEN = ["purchase_date", "trader", "material_id", "price", "quantity"]
+
+
+def save_purchases(purchases: DataFrame, changes: DataFrame, seq: str = "seq") -> DataFrame:
+    """Save purchase requests; the stored ``sum`` is left as it is (NULL for
+    new purchases) whatever the request says."""
+    return apply_saves(purchases, changes, "purchase_id", seq, columns=PURCHASE_WRITTEN)
+
+
 def apply_inserts(table: DataFrame, changes: DataFrame, key: str, seq: str = "seq"):
     """INSERT with caller-supplied keys. Returns (new_table, rejected).
 

@@ -365,6 +365,38 @@ def q_save_materials(spark, d):
     return ch.apply_saves(t["materials"], material_changes(t["materials"]), "material_id")
 
 
+def purchase_saves(p: DataFrame) -> DataFrame:
+    """Save requests: every 'click' purchase re-priced (+1.00), every 'view'
+    purchase copied as a new one a day later; all requests carry a sum the
+    service ignores."""
+    upd = p.where(F.col("trader") == "click").selectExpr(
+        "purchase_id", "purchase_date", "trader", "material_id", "cast(price + 1 as decimal(10,2)) as price",
+        "quantity", "cast(999 as decimal(10,2)) as sum", "purchase_id * 2 as seq")
+    new = p.where(F.col("trader") == "view").selectExpr(
+        "cast(0 as bigint) as purchase_id", "purchase_date + interval 1 day as purchase_date",
+        "'copy' as trader", "material_id", "price", "quantity", "cast(1 as decimal(10,2)) as sum",
+        "purchase_id * 2 + 1 as seq")
+    return upd.unionByName(new)
+
+
+@register("save_purchases", """with changes as (
+  select purchase_id, purchase_date, trader, material_id, cast(price + 1 as decimal(10,2)) as price, quantity,
+    purchase_id * 2 as seq from v_purchases where trader = 'click'
+  union all
+  select 0, purchase_date + interval 1 day, 'copy', material_id, price, quantity, purchase_id * 2 + 1
+  from v_purchases where trader = 'view')
+select p.purchase_id, p.purchase_date, p.trader, p.material_id,
+  coalesce(c.price, p.price) as price, p.quantity, p.sum
+from v_purchases p left join changes c on p.purchase_id = c.purchase_id
+union all
+select (select max(purchase_id) from v_purchases) + row_number() over (order by seq),
+  purchase_date, trader, material_id, price, quantity, cast(null as decimal(10,2))
+from changes where purchase_id = 0""")
+def q_save_purchases(spark, d):
+    t = _t(spark, d)
+    return ch.save_purchases(t["purchases"], purchase_saves(t["purchases"]))
+
+
 def card_inserts(t) -> DataFrame:
     """Insert a card for every card number used by an order (existing ones are
     rejected); urgent customers are requested twice (the second rejected)."""
