@@ -89,3 +89,24 @@ def test_balance_orphan_ids_split_like_the_full_join_chain(make_tables):
     assert orphan == sorted([(D(4), D(0), D(0), None, None), (D(0), D(6), D(0), "2", None),
                              (D(0), D(0), D(1), None, "8")])
     assert [r.balance_end for r in rows if r.material_name == "Bolt"] == [D(0)]
+
+
+def test_works_hot_service_name_matches_brute_force(make_tables):
+    # one service name carries 95 % of the lines, spread over many orders
+    import datetime as dt
+    from decimal import Decimal as Dec
+    orders = [(i, T("2024-01-01 10:00") + dt.timedelta(hours=i % 500), None, None, (i % 9) or None)
+              for i in range(1, 1201)]
+    services = [(1, "Hot", D(1)), (2, "Cold", D(1))]
+    lines = [(1 + (i * 7) % 1200, i, 1 if i % 20 else 2, D(f"{i % 50}.25"), D("1.50")) for i in range(2000)]
+    t = make_tables(orders=orders, services=services, order_services=lines)
+    got = {r.service_name: r for r in executed_works(t, "2024-01-01", "2024-01-31").collect()}
+    pct = {o[0]: o[4] for o in orders}
+    day_ok = {o[0] for o in orders if o[1] < T("2024-02-01 00:00")}
+    for sid, name in ((1, "Hot"), (2, "Cold")):
+        mine = [ln for ln in lines if ln[2] == sid and ln[0] in day_ok]
+        ids = sorted({str(ln[0]) for ln in mine})
+        assert got[name].order_ids == ",".join(ids)
+        assert got[name].orders == len(mine)
+        gross = sum((ln[3] * ln[4]).quantize(Dec("0.01"), rounding="ROUND_HALF_UP") for ln in mine)
+        assert got[name].sum == gross
