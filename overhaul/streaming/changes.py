@@ -22,31 +22,49 @@ from overhaul.sources.tables import read_table, write_table
 
 
 def request_schema(table: str) -> T.StructType:
-    """Schema of save/delete requests for a table: its columns (key nullable:
-    NULL or 0 means "new"), the arrival order ``seq`` and ``op``
-    ('save' or 'delete')."""
+    """Schema of requests for a table: its columns (key nullable: NULL or 0
+    means "new" for tables with generated keys), the arrival order ``seq``
+    and ``op``: 'save' or 'delete', and for cards (caller-chosen keys)
+    'insert', 'update' or 'delete'."""
     fields = [T.StructField(f.name, f.dataType, True) for f in SCHEMAS[table].fields]
     return T.StructType(fields + [T.StructField("seq", T.LongType(), False),
                                   T.StructField("op", T.StringType(), False)])
 
 
+# Tables whose key the caller chooses (insert / update instead of save).
+CALLER_KEYS = {"discount_cards"}
+# Columns a save request writes, where not all of them.
+WRITTEN = {"purchases": ch.PURCHASE_WRITTEN}
+
+
 def apply_requests(current: DataFrame, batch: DataFrame, table: str) -> DataFrame:
-    """One micro-batch: deletes first drop their keys, then saves apply.
+    """One micro-batch of requests, with the effect of applying them in
+    ``seq`` order as far as rows are concerned:
 
-    Within a batch a key that is both saved and deleted ends deleted only if
-    the delete is the later request. New ids continue after the largest key
-    *before* the deletes, as a sequence would (a caller that keeps its own
-    sequence across batches passes it through ``start``).
+    * a deleted key is gone, and requests for it *before* its last delete
+      have no effect (later ones apply to the absent row: an update does
+      nothing, a card insert creates it again);
+    * saves (inserts with new ids after the largest key *before* the
+      deletes, as a sequence would; updates of existing rows, last wins),
+      or for cards inserts (first wins, existing keys rejected) followed
+      by updates.
     """
     key = KEYS[table]
     cols = current.columns
-    start = ch.max_key(current, key)
-    last_op = ch.latest(batch.where(F.col(key).isNotNull() & (F.col(key) != 0))
-                        .select(key, "op", "seq"), key)
-    deletes = last_op.where(F.col("op") == "delete").select(key)
-    kept = ch.apply_deletes(current, deletes, key)
-    saves = batch.where(F.col("op") == "save").join(deletes, key, "left_anti").select(*cols, "seq")
-    return ch.apply_saves(kept, saves, key, start=start)
+    is_keyed = F.col(key).isNotNull()
+    if table not in CALLER_KEYS:
+        is_keyed = is_keyed & (F.col(key) != 0)
+    deleted = (batch.where((F.col("op") == "delete") & is_keyed)
+               .groupBy(key).agg(F.max("seq").alias("_deleted_at")))
+    kept = ch.apply_deletes(current, deleted, key)
+    later = (batch.where(F.col("op") != "delete").join(deleted, key, "left")
+             .where(F.col("_deleted_at").isNull() | (F.col("seq") > F.col("_deleted_at")))
+             .select(*cols, "seq", "op"))
+    if table in CALLER_KEYS:
+        inserted, _rejected = ch.apply_inserts(kept, later.where(F.col("op") == "insert").drop("op"), key)
+        return ch.apply_updates(inserted, later.where(F.col("op") == "update").drop("op"), key)
+    saves = later.where(F.col("op") == "save").drop("op")
+    return ch.apply_saves(kept, saves, key, start=ch.max_key(current, key), columns=WRITTEN.get(table))
 
 
 def start_change_stream(spark: SparkSession, requests_path: str, tables_root: str, table: str,

@@ -18,3 +18,31 @@ def test_requests_applied_once_per_batch(spark, tmp_path):
     q = start_change_stream(spark, req, root, "materials", ckpt, available_now=True)
     q.awaitTermination(120)
     assert read_table(spark, root, "materials").count() == 2
+
+
+def test_card_requests_follow_arrival_order(spark, tmp_path):
+    from overhaul.schema import DISCOUNT_CARDS
+    from overhaul.streaming.changes import apply_requests
+    cards = spark.createDataFrame([("A", "Ann", None, 5), ("B", "Bob", None, 7)], DISCOUNT_CARDS)
+    reqs = spark.createDataFrame([
+        ("A", "Ann2", None, 6, 1, "update"),      # before A's delete: no effect
+        ("A", None, None, None, 2, "delete"),
+        ("A", "Ann3", None, 9, 3, "insert"),      # re-created after the delete
+        ("B", "Bob2", None, 8, 4, "insert"),      # existing key: rejected
+        ("B", "Bob3", None, 1, 5, "update"),
+        ("C", "Cy", None, 2, 6, "insert"),
+    ], request_schema("discount_cards"))
+    out = {r.card_number: (r.customer_name, r.percent_off) for r in apply_requests(cards, reqs, "discount_cards").collect()}
+    assert out == {"A": ("Ann3", 9), "B": ("Bob3", 1), "C": ("Cy", 2)}
+
+
+def test_purchase_requests_never_store_sum(spark):
+    from overhaul.schema import PURCHASES
+    from overhaul.streaming.changes import apply_requests
+    from tests.conftest import D, T
+    p = spark.createDataFrame([(1, T("2024-01-01 10:00"), "t", 1, D(1), D(1), None)], PURCHASES)
+    reqs = spark.createDataFrame([(0, T("2024-01-02 10:00"), "u", 1, D(2), D(3), D(99), 1, "save"),
+                                  (1, T("2024-01-01 10:00"), "t", 1, D(5), D(1), D(99), 2, "save")],
+                                 request_schema("purchases"))
+    out = {r.purchase_id: (r.price, r.sum) for r in apply_requests(p, reqs, "purchases").collect()}
+    assert out == {1: (D(5), None), 2: (D(2), None)}
