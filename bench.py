@@ -4,7 +4,7 @@ Prints one JSON line: {"metric", "value" (total seconds), "unit", "queries",
 "sf", ...}. Each query is timed to full materialisation (a write to the noop
 sink, so nothing is gathered on the driver). One untimed pass over all
 queries first warms the JVM (JIT, generated code); each query is then timed
-as the best of $BENCH_RUNS runs (default 2). Each run builds the query from
+as the best of $BENCH_RUNS runs (default 3). Each run builds the query from
 scratch (plan construction is part of the time). $BENCH_CONF takes extra
 Spark settings as "key=value,key=value".
 """
@@ -29,7 +29,7 @@ def main():
     extra = dict(kv.split("=", 1) for kv in os.environ.get("BENCH_CONF", "").split(",") if kv)
     spark = build_session(f"local[{cpus}]", int(cpus) * 2, extra=extra)
     spark.sparkContext.setLogLevel("ERROR")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
 
     def once(name):
         t0 = time.perf_counter()
