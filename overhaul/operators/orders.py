@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from overhaul.functions.filters import equals_unless, in_days, where_all
+from overhaul.functions.filters import equals_unless, in_days, key_range, where_all
 from overhaul.functions.money import line_amount, line_amount_net, line_amount_sql, to_total
 from overhaul.schema import TOTAL
 
@@ -29,8 +29,10 @@ def order_list(t: Tables, card_number: str = "", begin=None, end=None) -> DataFr
     """
     orders = select_orders(t, card_number, begin, end)
     pct = orders.select("order_id", "percent_off")
-    lines = (t["order_services"].select("order_id", "order_line", "price", "quantity")
-             .join(pct, "order_id")
+    lines = t["order_services"].select("order_id", "order_line", "price", "quantity")
+    if card_number or begin or end:
+        lines = lines.where(key_range(orders, "order_id"))
+    lines = (lines.join(pct, "order_id")
              .groupBy("order_id")
              .agg(F.count("order_line").alias("order_lines"),
                   F.sum(line_amount("price", "quantity")).alias("total"),
@@ -61,6 +63,7 @@ def order_documents(t: Tables, begin=None, end=None, card_number: str = "",
     if keys is not None:
         header = header.join(keys.select("order_id"), "order_id", "left_semi")
     ids = header.select("order_id")
+    in_range = key_range(ids, "order_id")
 
     # (child table, dimension, dimension key, SQL of the item struct)
     children = {
@@ -77,7 +80,7 @@ def order_documents(t: Tables, begin=None, end=None, card_number: str = "",
     }
     doc = header
     for name, (dim, key, label, item) in children.items():
-        arr = (t[name].join(ids, "order_id", "left_semi")
+        arr = (t[name].where(in_range).join(ids, "order_id", "left_semi")
                .join(t[dim].select(key, label), key, "left")
                .groupBy("order_id").agg(F.expr(f"array_sort(collect_list({item})) as {name}")))
         array_type = arr.schema[name].dataType.simpleString()

@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from overhaul.functions.filters import day_of, in_days, where_all
+from overhaul.functions.filters import day_of, in_days, key_range, where_all
 from overhaul.functions.idlists import summarize_with_id_lists
 from overhaul.functions.money import (
     line_amount, line_amount_net_sql, line_amount_sql, pay, round_avg, to_total,
@@ -32,11 +32,15 @@ def executed_works(t: Tables, begin=None, end=None) -> DataFrame:
     them.
     """
     lines = t["order_services"].select("order_id", "service_id", "price", "quantity")
+    days = in_days("order_date", begin, end)
+    if days is not None:
+        # lines of orders outside the days drop out anyway; prune them early
+        lines = lines.where(key_range(t["orders"].where(days), "order_id"))
     orders = t["orders"].select(F.col("order_id").alias("o_order_id"), "order_date", "percent_off")
     services = t["services"].select("service_id", "service_name")
     joined = (lines.join(orders, lines["order_id"] == orders["o_order_id"], "left")
               .join(services, "service_id", "left"))
-    joined = where_all(joined, in_days("order_date", begin, end))
+    joined = where_all(joined, days)
     out = summarize_with_id_lists(
         joined, ["service_name"],
         [("sum", "sum", line_amount_sql("price", "quantity")),
@@ -78,7 +82,7 @@ def materials_using(t: Tables, begin, end, only_available: bool = False) -> Data
         "material_id", F.col("purchase_date").alias("ts"), "quantity",
         F.lit(True).alias("is_in"), F.col("purchase_id").alias("ref_id"))
     orders = t["orders"].where(in_days("order_date", None, e)).select("order_id", "order_date")
-    om = t["order_materials"].select("order_id", "material_id", "quantity")
+    om = t["order_materials"].select("order_id", "material_id", "quantity").where(key_range(orders, "order_id"))
     outgoing = om.join(orders, "order_id").select(
         "material_id", F.col("order_date").alias("ts"), "quantity",
         F.lit(False).alias("is_in"), F.col("order_id").alias("ref_id"))
@@ -150,11 +154,12 @@ def salary_details(t: Tables, begin, end, coeff: int) -> DataFrame:
     if day_of(begin) is None or day_of(end) is None:
         raise ValueError("salary needs both begin and end")
     orders = t["orders"].where(in_days("order_date", begin, end)).select("order_id")
-    per_order = (t["order_services"].select("order_id", "price", "quantity")
+    ids = key_range(orders, "order_id")
+    per_order = (t["order_services"].select("order_id", "price", "quantity").where(ids)
                  .join(orders, "order_id")
                  .groupBy("order_id")
                  .agg(F.sum(line_amount("quantity", "price")).alias("orders_sum")))
-    staff = t["order_staffers"].select("order_id", "staffer_id", "ktu").join(orders, "order_id")
+    staff = t["order_staffers"].select("order_id", "staffer_id", "ktu").where(ids).join(orders, "order_id")
     detail = staff.join(per_order, "order_id", "left")
     return detail.select(
         "order_id", "staffer_id", "ktu",
