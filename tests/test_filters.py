@@ -31,3 +31,17 @@ def test_sentinels_mean_no_filter():
     assert equals_unless("x", 0, 0) is None
     assert equals_unless("x", "", "") is None
     assert equals_unless("x", None, 0) is None
+
+
+def test_key_range_is_exact_and_pushed(spark, tmp_path):
+    from overhaul.functions.filters import key_range
+    from overhaul.plans import scans
+    lines = spark.createDataFrame([(i, i % 7) for i in range(1, 101)], "order_id long, x int")
+    lines.write.parquet(str(tmp_path / "lines"))
+    stored = spark.read.parquet(str(tmp_path / "lines"))
+    chosen = spark.createDataFrame([(10,), (14,), (12,)], "order_id long")
+    pruned = stored.where(key_range(chosen, "order_id"))
+    assert sorted(r.order_id for r in pruned.join(chosen, "order_id").collect()) == [10, 12, 14]
+    assert "GreaterThanOrEqual(order_id,10)" in scans(pruned)[0].pushed_filters
+    none = spark.createDataFrame([], "order_id long")
+    assert stored.where(key_range(none, "order_id")).count() == 0
