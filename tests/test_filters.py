@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from overhaul.functions.filters import before_day, in_days, name_contains, where_all, equals_unless
 from tests.conftest import T
