@@ -1,6 +1,9 @@
 """Run every registered query in Spark and its SQL oracle in DuckDB and compare.
 
 Usage: python scripts/check_oracle.py [sf_dir] [name ...]
+$CHECK_CONF takes extra Spark settings as "key=value,key=value" (e.g.
+spark.sql.autoBroadcastJoinThreshold=-1 to check the sort-merge plans used
+at scale).
 Compares row count, column names and an order-insensitive hash of the values
 (columns sorted by name), like the driver's correctness gate.
 """
@@ -47,7 +50,8 @@ def digest(cols, rows):
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(suite.QUERIES)
-    spark = build_session("local[8]", 8)
+    extra = dict(kv.split("=", 1) for kv in os.environ.get("CHECK_CONF", "").split(",") if kv)
+    spark = build_session("local[8]", 8, extra=extra)
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for t in TABLES:
