@@ -60,3 +60,21 @@ def test_query_matches_oracle(spark, duck, name):
     ocols = [c[0] for c in cur.description]
     assert sorted(df.columns) == sorted(ocols)
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(ocols, cur.fetchall())
+
+
+@pytest.mark.parametrize("name", ["executed_works", "materials_using", "salary", "order_list",
+                                  "order_documents", "save_orders", "integrity_violations"])
+def test_query_matches_oracle_with_shuffle_joins(spark, duck, name):
+    """The same answers when no side is broadcast (the large-scale plans)."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        test_query_matches_oracle(spark, duck, name)
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
