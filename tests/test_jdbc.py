@@ -1,0 +1,13 @@
+from overhaul.sources.jdbc import read_options
+
+
+def test_partitioned_read_options():
+    o = read_options("jdbc:postgresql://db/shop", "orders", (1, 1000), 8, {"user": "u"})
+    assert o["partitionColumn"] == "order_id" and o["numPartitions"] == "8"
+    assert o["lowerBound"] == "1" and o["upperBound"] == "1001" and o["user"] == "u"
+    assert o["dbtable"].startswith("(select order_id, order_date, car, card_number, percent_off from orders)")
+
+
+def test_staffer_password_never_selected_and_cards_read_whole():
+    assert "password" not in read_options("u", "staffers", (1, 5), 4)["dbtable"]
+    assert "partitionColumn" not in read_options("u", "discount_cards", None, 4)
