@@ -90,3 +90,11 @@ def write_table(df: DataFrame, root: str, name: str, sort_within: list[str] | No
     out.write.mode("overwrite").parquet(path)
     return path
 
+
+
+def export_json(df: DataFrame, path: str) -> str:
+    """Deliver a result as JSON records (one object per row, column name ->
+    value), the shape the service returned; written in parallel, one file
+    per partition."""
+    df.write.mode("overwrite").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss").json(path)
+    return path

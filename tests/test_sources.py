@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from overhaul.sources.tables import read_table, table_path, write_table
-from tests.conftest import D
+from tests.conftest import D, T
 
 
 def test_write_coerces_money_and_versions(spark, tmp_path):
@@ -30,3 +30,13 @@ def test_write_keeps_only_declared_columns(spark, tmp_path):
     write_table(df.withColumn("material_id", F.col("material_id")), str(tmp_path), "materials")
     assert read_table(spark, str(tmp_path), "materials").columns == [
         "material_id", "material_name", "part", "measure", "article"]
+
+
+def test_export_json_records(spark, tmp_path):
+    import json
+    from overhaul.sources import export_json
+    df = spark.createDataFrame([(1, D("10.50"), T("2024-01-02 03:04:05"))], "id long, total decimal(38,2), ts timestamp_ntz")
+    out = export_json(df, str(tmp_path / "out"))
+    rows = [json.loads(line) for p in (tmp_path / "out").glob("part-*") for line in p.read_text().splitlines()]
+    assert rows == [{"id": 1, "total": 10.5, "ts": "2024-01-02T03:04:05"}]
+    assert out.endswith("out")
