@@ -40,3 +40,22 @@ def test_export_json_records(spark, tmp_path):
     rows = [json.loads(line) for p in (tmp_path / "out").glob("part-*") for line in p.read_text().splitlines()]
     assert rows == [{"id": 1, "total": 10.5, "ts": "2024-01-02T03:04:05"}]
     assert out.endswith("out")
+
+
+def test_saved_tables_are_range_clustered(spark, tmp_path):
+    import pyarrow.parquet as pq
+    from overhaul.operators.reports import executed_works
+    from overhaul.sources.tables import read_tables, save_tables
+    from overhaul.sources.testdata import shop_tables
+    src = shop_tables(spark, "/root/testdata/sf0.001")
+    paths = save_tables(src, str(tmp_path), files=4)
+    ranges = []
+    for f in sorted((tmp_path / "order_services").glob("v=1/part-*.parquet")):
+        ids = pq.read_table(f, columns=["order_id"]).column(0).to_pylist()
+        ranges.append((min(ids), max(ids)))
+    ranges.sort()
+    assert len(ranges) > 1 and all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
+    back = read_tables(spark, str(tmp_path))
+    assert paths["orders"].endswith("v=1")
+    assert sorted(executed_works(back, "1999-01-01", "1999-01-31").collect()) == \
+        sorted(executed_works(src, "1999-01-01", "1999-01-31").collect())
