@@ -20,10 +20,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from overhaul.schema import CHILD_TABLES, SCHEMAS
+from overhaul.functions.ranking import row_numbers
 from overhaul.session import materialize
 
 Tables = dict[str, DataFrame]
@@ -47,28 +48,10 @@ def latest(changes: DataFrame, key: str, seq: str = "seq") -> DataFrame:
 
 
 def assign_ids(rows: DataFrame, id_col: str, start: int, seq: str = "seq") -> DataFrame:
-    """Give ``rows`` dense new ids start+1, start+2, ... in ``seq`` order.
-
-    No global window: rows are range-partitioned by ``seq``, each row gets its
-    partition index and position inside the partition, and the per-partition
-    row counts (one small row per partition, a proven size bound) are turned
-    into offsets that are broadcast back. The tagged rows are written once to
-    the shared checkpoint folder so counting and numbering read the same
-    partitions even if a task is re-run.
-    """
-    tagged = materialize(rows.repartitionByRange(F.col(seq)).sortWithinPartitions(seq)
-                         .withColumn("_pid", F.spark_partition_id())
-                         .withColumn("_mid", F.monotonically_increasing_id()), "ids")
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_before"))
-    first_in_partition = F.col("_pid").cast("long") * F.lit(1 << 33)
-    numbered = tagged.join(F.broadcast(offsets), "_pid").withColumn(
-        id_col,
-        F.lit(int(start)) + F.coalesce(F.col("_before"), F.lit(0)) + (F.col("_mid") - first_in_partition) + 1)
-    return numbered.drop("_pid", "_mid", "_before")
+    """Give ``rows`` dense new ids start+1, start+2, ... in ``seq`` order,
+    without a global window (``functions.ranking.row_numbers``)."""
+    numbered = row_numbers(rows, [seq], "_row")
+    return numbered.withColumn(id_col, F.lit(int(start)) + F.col("_row") + 1).drop("_row")
 
 
 def max_key(table: DataFrame, key: str) -> int:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from overhaul.functions.filters import equals_unless, in_days, key_range, where_all
 from overhaul.functions.money import line_amount, line_amount_net, line_amount_sql, to_total
+from overhaul.functions.ranking import positions_within
 from overhaul.schema import TOTAL
 
 Tables = dict[str, DataFrame]
 
 ORDER_COLUMNS = ("order_id", "order_date", "car", "card_number", "percent_off")
+LINE_COLUMNS = ("kind", "position", "order_line", "item_id", "item_name", "price", "quantity", "amount", "ktu")
 
 
 def select_orders(t: Tables, card_number: str = "", begin=None, end=None) -> DataFrame:
@@ -111,3 +115,51 @@ def flatten_documents(docs: DataFrame) -> DataFrame:
                               None, "quantity", None, None))
             .unionByName(part("staffer", "order_staffers", "staffer_id", "staffer_name",
                               None, None, None, "ktu")))
+
+
+def document_lines(t: Tables, begin=None, end=None, card_number: str = "",
+                   keys: DataFrame | None = None) -> DataFrame:
+    """The order documents as lines, the same rows as
+    ``flatten_documents(order_documents(...))``, computed without gathering
+    any order in one task.
+
+    Each child line gets its position inside (order, kind) from a
+    distributed numbering (``functions.ranking.positions_within``), so an
+    order with a huge number of lines is spread over many tasks; lists that
+    are empty give one row of their kind with a NULL position.
+    """
+    header = select_orders(t, card_number, begin, end)
+    if keys is not None:
+        header = header.join(keys.select("order_id"), "order_id", "left_semi")
+    ids = header.select("order_id")
+    in_range = key_range(ids, "order_id")
+    null = "cast(null as {}) as {}".format
+    kinds = {
+        "service": ("order_services", "services", "service_id", "service_name",
+                    ["price", "quantity", f"coalesce({line_amount_sql('price', 'quantity')}, 0.00BD) as amount",
+                     null("int", "ktu")]),
+        "material": ("order_materials", "materials", "material_id", "material_name",
+                     [null("decimal(10,2)", "price"), "quantity", null("decimal(20,2)", "amount"),
+                      null("int", "ktu")]),
+        "staffer": ("order_staffers", "staffers", "staffer_id", "staffer_name",
+                    [null("decimal(10,2)", "price"), null("decimal(10,2)", "quantity"),
+                     null("decimal(20,2)", "amount"), "ktu"]),
+    }
+    parts = []
+    for kind, (child, dim, key, label, rest) in kinds.items():
+        parts.append(t[child].where(in_range).join(ids, "order_id", "left_semi")
+                     .join(t[dim].select(key, label), key, "left")
+                     .selectExpr("order_id", f"'{kind}' as kind", "order_line", f"{key} as item_id",
+                                 f"{label} as item_name", *rest))
+    lines = reduce(DataFrame.unionByName, parts)
+    ranked = positions_within(lines, ["order_id", "kind"],
+                              ["order_line", "item_id", "price", "quantity", "ktu", "item_name"])
+    present = lines.select("order_id", "kind").distinct()
+    empty = (ids.selectExpr("order_id", "explode(array('service', 'material', 'staffer')) as kind")
+             .join(present, ["order_id", "kind"], "left_anti")
+             .selectExpr("order_id", "kind", "cast(null as int) as position", "cast(null as int) as order_line",
+                         "cast(null as bigint) as item_id", "cast(null as string) as item_name",
+                         "cast(null as decimal(10,2)) as price", "cast(null as decimal(10,2)) as quantity",
+                         "cast(null as decimal(20,2)) as amount", "cast(null as int) as ktu"))
+    body = ranked.unionByName(empty)
+    return header.join(body, "order_id").select(*ORDER_COLUMNS, *LINE_COLUMNS)

@@ -225,6 +225,14 @@ def q_order_documents(spark, d):
     return orders.flatten_documents(orders.order_documents(_t(spark, d), *DOCUMENT_DAYS))
 
 
+@register("order_document_lines", _DOC_SQL.format(
+    b=DOCUMENT_DAYS[0], e=DOCUMENT_DAYS[1],
+    parts="\nunion all\n".join(_DOC_PART.format(kind=k, cte=c) for k, c in
+                               (("service", "svc"), ("material", "mat"), ("staffer", "stf")))))
+def q_order_document_lines(spark, d):
+    return orders.document_lines(_t(spark, d), *DOCUMENT_DAYS)
+
+
 # ---------------------------------------------------------------- purchases
 
 _PURCHASE_SQL = """select p.purchase_id, p.purchase_date, p.trader, m.material_id, p.price, p.quantity,

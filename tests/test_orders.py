@@ -37,3 +37,20 @@ def test_documents_sorted_lists_and_empty_arrays(make_tables):
     flat = flatten_documents(order_documents(_tables(make_tables))).collect()
     empty = [r for r in flat if r.order_id == 3]
     assert len(empty) == 3 and all(r.position is None for r in empty)
+
+
+def test_document_lines_equal_flattened_documents_with_a_hot_order(make_tables):
+    from overhaul.operators.orders import document_lines
+    t = make_tables(
+        services=[(1, "Wash", D(10)), (2, "Oil", D(5))],
+        staffers=[(5, "Ann", "mechanic", "ann")],
+        orders=[(1, T("2024-01-05 10:00"), "big", None, 0), (2, T("2024-01-06 10:00"), "small", None, 0),
+                (3, T("2024-01-07 10:00"), "empty", None, 0)],
+        order_services=[(1, i % 37, 1 + i % 2, D(i % 11), D(1)) for i in range(600)] + [(2, 1, 2, D(3), D(2))],
+        order_staffers=[(1, i % 5, 5, i % 3) for i in range(40)],
+    )
+    flat = flatten_documents(order_documents(t)).collect()
+    lines = document_lines(t).collect()
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted(map(key, lines)) == sorted(map(key, flat))
+    assert sorted(r.position for r in lines if r.order_id == 1 and r.kind == "service") == list(range(600))
