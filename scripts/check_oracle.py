@@ -41,6 +41,16 @@ def norm(v):
     return str(v)
 
 
+SPARK_TO_DUCKDB = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP",
+                   "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+def type_diff(df, rel):
+    mine = {c: SPARK_TO_DUCKDB.get(t, t.upper()) for c, t in df.dtypes}
+    theirs = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    return {c: (mine[c], theirs.get(c)) for c in mine if mine[c] != theirs.get(c)}
+
+
 def digest(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     lines = sorted("|".join(norm(r[i]) for i in order) for r in rows)
@@ -69,17 +79,18 @@ def main():
         if sql is None:
             print(f"{name:32s} rows={len(rows):7d} spark={ts:5.2f}s  (no oracle)")
             continue
+        types = type_diff(df, con.sql(sql))
         cur = con.execute(sql)
         ocols = [c[0] for c in cur.description]
         orows = cur.fetchall()
         h1, l1 = digest(cols, rows)
         h2, l2 = digest(ocols, orows)
-        ok = sorted(cols) == sorted(ocols) and len(rows) == len(orows) and h1 == h2
+        ok = sorted(cols) == sorted(ocols) and len(rows) == len(orows) and h1 == h2 and not types
         bad += not ok
         print(f"{name:32s} rows={len(rows):7d}/{len(orows):7d} cols={'ok' if sorted(cols) == sorted(ocols) else 'DIFF'}"
-              f" hash={'ok' if h1 == h2 else 'DIFF'} spark={ts:5.2f}s")
+              f" types={'ok' if not types else 'DIFF'} hash={'ok' if h1 == h2 else 'DIFF'} spark={ts:5.2f}s")
         if not ok:
-            print("   spark cols:", sorted(cols), "\n   oracle cols:", sorted(ocols))
+            print("   spark cols:", sorted(cols), "\n   oracle cols:", sorted(ocols), "\n   types:", types)
             s1, s2 = set(l1), set(l2)
             for x in sorted(s1 - s2)[:3]:
                 print("   only spark :", x[:300])
