@@ -1,7 +1,7 @@
 """Bucketed tables remove the shuffles of joins and aggregations on order_id."""
 
 from overhaul.operators.orders import order_list
-from overhaul.operators.reports import salary
+from overhaul.operators.reports import executed_works, materials_using, salary
 from overhaul.plans import count_nodes
 from overhaul.sources.layout import read_catalog_tables, save_catalog_tables
 from overhaul.sources.testdata import shop_tables
@@ -17,7 +17,10 @@ def test_bucketed_layout_plans_fewer_exchanges(spark, tmp_path):
         for op in (lambda t: order_list(t, begin="1999-01-01"),
                    lambda t: salary(t, "1999-01-01", "1999-03-31", 10)):
             assert count_nodes(op(bucketed), "Exchange") < count_nodes(op(plain), "Exchange")
-        assert sorted(order_list(bucketed, begin="1999-01-01").collect()) == \
-            sorted(order_list(plain, begin="1999-01-01").collect())
+        for op in (lambda t: order_list(t, begin="1999-01-01"),
+                   lambda t: salary(t, "1999-01-01", "1999-03-31", 10),
+                   lambda t: executed_works(t, "1999-01-01", "1999-01-31"),
+                   lambda t: materials_using(t, "1999-01-10", "1999-01-20")):
+            assert sorted(op(bucketed).collect()) == sorted(op(plain).collect())
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
