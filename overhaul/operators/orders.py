@@ -29,7 +29,11 @@ def order_list(t: Tables, card_number: str = "", begin=None, end=None) -> DataFr
     lines); sorted by order date.
 
     Lines are aggregated per order right after the join that brings the
-    order's percent, so the header is joined to one row per order.
+    order's percent, so the header is joined to one row per order. Cards are
+    aggregated per number (its partitioning serves the join, so this adds
+    no shuffle): should a number repeat, the telephone is the largest and the
+    counts and totals are multiplied by the number of copies, exactly as the
+    original join of orders, cards and lines counts them.
     """
     orders = select_orders(t, card_number, begin, end)
     pct = orders.select("order_id", "percent_off")
@@ -41,14 +45,17 @@ def order_list(t: Tables, card_number: str = "", begin=None, end=None) -> DataFr
              .agg(F.count("order_line").alias("order_lines"),
                   F.sum(line_amount("price", "quantity")).alias("total"),
                   F.sum(line_amount_net("price", "quantity", "percent_off")).alias("discounted_total")))
-    phones = t["discount_cards"].select("card_number", "customer_telephone")
-    zero = F.lit(0).cast(TOTAL)
+    phones = (t["discount_cards"].groupBy("card_number")
+              .agg(F.max("customer_telephone").alias("customer_telephone"), F.count(F.lit(1)).alias("_copies")))
     return (orders.join(phones, "card_number", "left")
             .join(lines, "order_id", "left")
-            .select(*ORDER_COLUMNS, "customer_telephone",
-                    F.coalesce(F.col("order_lines"), F.lit(0).cast("long")).alias("order_lines"),
-                    F.coalesce(to_total("total"), zero).alias("total"),
-                    F.coalesce(to_total("discounted_total"), zero).alias("discounted_total"))
+            .selectExpr(*ORDER_COLUMNS, "customer_telephone", "coalesce(_copies, 1) as _k",
+                        "order_lines", "total", "discounted_total")
+            .selectExpr(*ORDER_COLUMNS, "customer_telephone",
+                        "coalesce(order_lines, 0L) * _k as order_lines",
+                        f"cast(coalesce(total * cast(_k as decimal(20,0)), 0) as {TOTAL.simpleString()}) as total",
+                        f"cast(coalesce(discounted_total * cast(_k as decimal(20,0)), 0) as {TOTAL.simpleString()})"
+                        " as discounted_total")
             .orderBy(F.asc_nulls_last("order_date"), "order_id"))
 
 

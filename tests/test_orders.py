@@ -54,3 +54,13 @@ def test_document_lines_equal_flattened_documents_with_a_hot_order(make_tables):
     key = lambda r: tuple(str(v) for v in r)
     assert sorted(map(key, lines)) == sorted(map(key, flat))
     assert sorted(r.position for r in lines if r.order_id == 1 and r.kind == "service") == list(range(600))
+
+
+def test_order_list_counts_repeated_cards_like_the_join(make_tables):
+    t = make_tables(
+        discount_cards=[("C1", "Bob", "+1", 10), ("C1", "Bob", "+2", 10)],
+        orders=[(1, T("2024-01-05 10:00"), "car", "C1", 0)],
+        order_services=[(1, 1, 1, D("10"), D("1"))],
+    )
+    r = order_list(t).collect()[0]
+    assert (r.customer_telephone, r.order_lines, r.total) == ("+2", 2, D("20.00"))
