@@ -1,11 +1,14 @@
-"""Column-level building blocks (all built-in Spark expressions, no UDFs)."""
+"""Column-level building blocks (built-in Spark expressions, no UDFs)."""
 
-from overhaul.functions.money import line_amount, line_amount_net, pay, to_total
 from overhaul.functions.filters import (
-    name_contains, in_days, before_day, where_all, equals_unless, day_of,
+    before_day, day_of, equals_unless, in_days, key_range, name_contains, where_all,
 )
+from overhaul.functions.idlists import summarize_with_id_lists
+from overhaul.functions.money import line_amount, line_amount_net, pay, round_avg, to_total
+from overhaul.functions.ranking import positions_within, row_numbers
 
 __all__ = [
-    "line_amount", "line_amount_net", "pay", "to_total",
-    "name_contains", "in_days", "before_day", "where_all", "equals_unless", "day_of",
+    "before_day", "day_of", "equals_unless", "in_days", "key_range", "name_contains", "where_all",
+    "summarize_with_id_lists", "line_amount", "line_amount_net", "pay", "round_avg", "to_total",
+    "positions_within", "row_numbers",
 ]
