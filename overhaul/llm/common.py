@@ -23,31 +23,32 @@ def _workers_can_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [ROOT])
 
 
-def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn, schema: str, through: str | None = None) -> DataFrame:
     """``df.mapInArrow`` with importable functions and bounded batches.
 
     ``fn`` takes an iterator of record batches and yields dicts of column
-    name to list, numpy or Arrow array, in the order of ``schema``.
+    name to list, numpy or Arrow array, for the columns of ``schema``.
+    ``through`` names a column of ``df`` that comes out unchanged, as the last.
     """
     spark = df.sparkSession
     _workers_can_import(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     out = spark.createDataFrame([], schema).schema
-    arrow = pa.schema([(f.name, _arrow_type(f.dataType.simpleString())) for f in out])
-    return df.mapInArrow(_Mapped(fn, arrow), out)
+    types = {f.name: _arrow_type(f.dataType.simpleString()) for f in out}
+    if through:
+        out, types[through] = out.add(df.schema[through]), None
+    return df.mapInArrow(_Mapped(fn, types), out)
 
 
 class _Mapped:
-    def __init__(self, fn, schema):
-        self.fn, self.schema = fn, schema
+    def __init__(self, fn, types: dict):
+        self.fn, self.types = fn, types
 
     def __call__(self, batches):
         for columns in self.fn(batches):
-            arrays = [
-                columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type)
-                for f in self.schema
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, schema=self.schema)
+            yield pa.RecordBatch.from_arrays(
+                [c if isinstance(c := columns[n], pa.Array) else pa.array(c, t) for n, t in self.types.items()],
+                names=list(self.types))
 
 
 def _arrow_type(name: str) -> pa.DataType:
@@ -78,10 +79,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
     Cuts the lineage like a checkpoint, but stays columnar and survives lost
     executors. Folders live under the application's id; see ``drop_staged``.
+    The shuffle files that the written steps have used are of no more use;
+    Spark drops them once the driver has collected its garbage.
     """
     spark = df.sparkSession
     path = f"{_stage_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
