@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from overhaul.llm import bpe, near_dedup, packing, quality, substring_dedup
+from overhaul.llm import bpe, licenses, near_dedup, packing, quality, substring_dedup, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,14 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_pages(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
@@ -51,6 +59,8 @@ QUERIES = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op5_line_quality": op5_line_quality,
     "op7_near_dedup": op7_near_dedup,
+    "op8_url_filter": op8_url_filter,
+    "op9_license_scan": op9_license_scan,
     "op10_pack_windows": op10_pack_windows,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op9_license_scan": licenses.oracle()}
