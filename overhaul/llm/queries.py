@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from overhaul.llm import bpe, licenses, near_dedup, packing, quality, substring_dedup, urls
+from overhaul.llm import bpe, chat, html_text, licenses, near_dedup, packing, quality, substring_dedup, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +31,20 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.calls_from_turns(table(spark, sf_dir, "conversations"))
+    return chat.link(calls, results, chat.SCHEMAS).withColumn("errors", F.concat_ws("; ", "errors"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,7 +66,9 @@ def op10_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_html_text": op3_html_text,
     "op5_line_quality": op5_line_quality,
+    "op6_tool_calls": op6_tool_calls,
     "op7_near_dedup": op7_near_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_license_scan": op9_license_scan,
