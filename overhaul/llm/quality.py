@@ -189,10 +189,10 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> LineCr
     return fit(sequences, known)
 
 
-def score(docs: DataFrame, crf: LineCrf | None) -> DataFrame:
+def score(docs: DataFrame, crf: LineCrf | None, rows: bool = False) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_words, kept.
 
-    One row per input row. A null text is empty: no words, so base_failed. A
+    One row per input row; with ``rows``, the whole input row comes along as ``row``. A null text is empty: no words, so base_failed. A
     null doc_id is carried; repeated rows are judged each. Without a CRF (no
     labels of both kinds) every line is content. Other columns are ignored,
     whatever their names; an empty table gives an empty table.
@@ -200,11 +200,11 @@ def score(docs: DataFrame, crf: LineCrf | None) -> DataFrame:
 
     def judge(text):
         text = text or ""
-        rows, sizes, words, repeated_lines = document_lines(text)
+        features, sizes, words, repeated_lines = document_lines(text)
         n = len(words)
         again = repeated_words(words)
         failed = n < MIN_WORDS or 100 * again > 50 * n
-        marks = crf.viterbi(rows) if crf else [1] * len(rows)
+        marks = crf.viterbi(features) if crf else [1] * len(features)
         content = sum(size for size, mark in zip(sizes, marks) if mark)
         return (n, len(text) - sum(map(text.count, WHITE)), sum(map(text.count, SYMBOLS)), repeated_lines, again,
                 failed, content, not failed and content >= CONTENT_SHARE * n)
@@ -213,9 +213,10 @@ def score(docs: DataFrame, crf: LineCrf | None) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = [judge(t) for t in b.column("text").to_pylist()]
-            yield {"doc_id": b.column("doc_id")} | (dict(zip(names, zip(*rows))) if rows else {n: [] for n in names})
+            found = [judge(t) for t in b.column("text").to_pylist()]
+            out = {"doc_id": b.column("doc_id")} | (dict(zip(names, zip(*found))) if found else {n: [] for n in names})
+            yield out | ({"row": b.column("row")} if rows else {})
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run,
-                       "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-                       "n_repeat_words long, base_failed boolean, content_words long, kept boolean")
+    own = docs.select(F.col("doc_id").cast("long"), "text", *([F.struct("*").alias("row")] if rows else []))
+    return map_batches(own, run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+                       "n_repeat_words long, base_failed boolean, content_words long, kept boolean", "row" if rows else None)
