@@ -8,8 +8,10 @@ import numpy as np
 
 SEED = 0x9E3779B97F4A7C15
 CHUNK_BYTES = 1 << 20  # texts handled in one numpy pass, unless a single one is longer
-_GAP = np.zeros(256, bool)
-_GAP[[9, 10, 11, 12, 13, 32]] = True
+WHITE_GAP = np.zeros(256, bool)
+WHITE_GAP[[9, 10, 11, 12, 13, 32]] = True
+# All ASCII but letters and digits: terms are runs of these and of characters beyond ASCII.
+TERM_GAP = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 @lru_cache(maxsize=8)
@@ -51,14 +53,14 @@ def chunks(texts: list[bytes]):
         yield first, len(texts)
 
 
-def word_hashes(texts: list[bytes], seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], seed: int = SEED, gaps: np.ndarray = WHITE_GAP) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, in order, and where each text's words begin (one more entry than texts).
 
-    Words are maximal runs without ASCII white space, as ``bytes.split`` gives them.
+    Words are maximal runs without gap bytes; by default ASCII white space, as ``bytes.split`` gives them.
     """
     sizes = np.array([len(t) + 1 for t in texts])
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    gap = _GAP[data]
+    gap = gaps[data]
     edge = np.diff(gap.astype(np.int8), prepend=1)
     begins, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     bounds = np.searchsorted(begins, np.concatenate([[0], np.cumsum(sizes)]))

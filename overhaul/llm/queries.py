@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from overhaul.llm import bpe, chat, html_text, licenses, near_dedup, packing, quality, substring_dedup, urls
+from overhaul.llm import bpe, chat, html_text, licenses, near_dedup, packing, quality, search, substring_dedup, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op4_bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    queries = docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return search.search(docs, queries)
+
+
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -67,6 +73,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_html_text": op3_html_text,
+    "op4_bm25_top10": op4_bm25_top10,
     "op5_line_quality": op5_line_quality,
     "op6_tool_calls": op6_tool_calls,
     "op7_near_dedup": op7_near_dedup,
@@ -74,4 +81,4 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_pack_windows": op10_pack_windows,
 }
-ORACLES = {"op9_license_scan": licenses.oracle()}
+ORACLES = {"op4_bm25_top10": search.ORACLE, "op9_license_scan": licenses.oracle()}
