@@ -15,15 +15,20 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 def day_of(value) -> dt.date | None:
-    """Parse a day parameter; '' and None mean "not given"."""
+    """Parse a day parameter; '' and None mean "not given".
+
+    Text must be a whole ISO date or timestamp (a timestamp stands for its
+    day); anything else raises ValueError.
+    """
     if value is None or value == "":
         return None
     if isinstance(value, dt.datetime):
         return value.date()
     if isinstance(value, dt.date):
         return value
-    return dt.date.fromisoformat(str(value).strip()[:10])
+    return dt.datetime.fromisoformat(str(value).strip()).date()
 
 
 def _c(x) -> Column:
@@ -70,20 +75,3 @@ def where_all(df: DataFrame, *preds: Column | None) -> DataFrame:
     """Filter by the conjunction of the predicates that are not None."""
     given = [p for p in preds if p is not None]
     return df.where(reduce(and_, given)) if given else df
-
-
-def key_range(selected: DataFrame, key: str) -> Column:
-    """``key`` within [min, max] of ``selected[key]``, as literal bounds.
-
-    A necessary condition for a row of another table to join the selected
-    rows, so filtering that table with it first is exact. It costs one small
-    aggregate (two scalars to the driver) and reaches the other table's
-    Parquet scan as a pushed range: when keys grow with time (serial ids of
-    orders), a date-selected set of orders has a narrow id range and the scan
-    of their lines skips every row group outside it. With no row selected
-    the condition is false.
-    """
-    lo, hi = selected.agg(F.min(key), F.max(key)).first()
-    if lo is None:
-        return F.lit(False)
-    return (F.col(key) >= F.lit(lo)) & (F.col(key) <= F.lit(hi))

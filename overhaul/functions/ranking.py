@@ -12,7 +12,7 @@ proven size bound, the only broadcast — become offsets.
 ``positions_within`` turns that into a position inside each group: the
 group's first number comes from a partial (map-side) ``min`` aggregation
 and is joined back, so even a group holding a third of the rows is numbered
-by many tasks.
+by many tasks (``functions.joins.split_join``).
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from overhaul.functions.joins import split_join
 from overhaul.session import materialize
 
 
@@ -41,6 +42,6 @@ def positions_within(df: DataFrame, groups: list[str], order: list[str | Column]
     """0-based position of each row inside its group, in ``order``."""
     numbered = row_numbers(df, [*groups, *order], "_row")
     firsts = numbered.groupBy(*groups).agg(F.min("_row").alias("_first"))
-    return (numbered.join(firsts, groups)
+    return (split_join(numbered, firsts, groups)
             .withColumn(out, (F.col("_row") - F.col("_first")).cast("int"))
             .drop("_row", "_first"))

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from overhaul.functions.filters import equals_unless, in_days, key_range, where_all
+from overhaul.functions.filters import equals_unless, in_days, where_all
+from overhaul.functions.joins import split_join
 from overhaul.functions.money import line_amount, line_amount_net, line_amount_sql, to_total
 from overhaul.functions.ranking import positions_within
 from overhaul.schema import TOTAL
@@ -28,27 +29,29 @@ def order_list(t: Tables, card_number: str = "", begin=None, end=None) -> DataFr
     gross and discounted totals (lines rounded before summing; 0 without
     lines); sorted by order date.
 
-    Lines are aggregated per order right after the join that brings the
-    order's percent, so the header is joined to one row per order. Cards are
-    aggregated per number (its partitioning serves the join, so this adds
-    no shuffle): should a number repeat, the telephone is the largest and the
-    counts and totals are multiplied by the number of copies, exactly as the
-    original join of orders, cards and lines counts them.
+    Lines are summed per order in two steps (before and after the shuffle), so
+    the header is joined to one row per order. Cards are aggregated per number:
+    should a number repeat, the telephone is the largest and the counts and
+    totals are multiplied by the number of copies, exactly as the original join
+    of orders, cards and lines counts them. Orders without a card (NULL or '')
+    bypass the join with the cards; a hot card or order is split.
     """
     orders = select_orders(t, card_number, begin, end)
     pct = orders.select("order_id", "percent_off")
     lines = t["order_services"].select("order_id", "order_line", "price", "quantity")
-    if card_number or begin or end:
-        lines = lines.where(key_range(orders, "order_id"))
-    lines = (lines.join(pct, "order_id")
+    lines = (split_join(lines, pct, ["order_id"])
              .groupBy("order_id")
              .agg(F.count("order_line").alias("order_lines"),
                   F.sum(line_amount("price", "quantity")).alias("total"),
                   F.sum(line_amount_net("price", "quantity", "percent_off")).alias("discounted_total")))
     phones = (t["discount_cards"].groupBy("card_number")
               .agg(F.max("customer_telephone").alias("customer_telephone"), F.count(F.lit(1)).alias("_copies")))
-    return (orders.join(phones, "card_number", "left")
-            .join(lines, "order_id", "left")
+    no_card = F.coalesce(F.col("card_number") == "", F.lit(True))
+    without = orders.where(no_card).withColumns({
+        "customer_telephone": F.lit(None).cast("string"), "_copies": F.lit(None).cast("long")})
+    with_phones = (split_join(orders.where(~no_card), phones.where("card_number <> ''"), ["card_number"], "left")
+                   .unionByName(without))
+    return (with_phones.join(lines, "order_id", "left")
             .selectExpr(*ORDER_COLUMNS, "customer_telephone", "coalesce(_copies, 1) as _k",
                         "order_lines", "total", "discounted_total")
             .selectExpr(*ORDER_COLUMNS, "customer_telephone",
@@ -74,7 +77,6 @@ def order_documents(t: Tables, begin=None, end=None, card_number: str = "",
     if keys is not None:
         header = header.join(keys.select("order_id"), "order_id", "left_semi")
     ids = header.select("order_id")
-    in_range = key_range(ids, "order_id")
 
     # (child table, dimension, dimension key, SQL of the item struct)
     children = {
@@ -91,7 +93,7 @@ def order_documents(t: Tables, begin=None, end=None, card_number: str = "",
     }
     doc = header
     for name, (dim, key, label, item) in children.items():
-        arr = (t[name].where(in_range).join(ids, "order_id", "left_semi")
+        arr = (t[name].join(ids, "order_id", "left_semi")
                .join(t[dim].select(key, label), key, "left")
                .groupBy("order_id").agg(F.expr(f"array_sort(collect_list({item})) as {name}")))
         array_type = arr.schema[name].dataType.simpleString()
@@ -139,7 +141,6 @@ def document_lines(t: Tables, begin=None, end=None, card_number: str = "",
     if keys is not None:
         header = header.join(keys.select("order_id"), "order_id", "left_semi")
     ids = header.select("order_id")
-    in_range = key_range(ids, "order_id")
     null = "cast(null as {}) as {}".format
     kinds = {
         "service": ("order_services", "services", "service_id", "service_name",
@@ -154,7 +155,7 @@ def document_lines(t: Tables, begin=None, end=None, card_number: str = "",
     }
     parts = []
     for kind, (child, dim, key, label, rest) in kinds.items():
-        parts.append(t[child].where(in_range).join(ids, "order_id", "left_semi")
+        parts.append(t[child].join(ids, "order_id", "left_semi")
                      .join(t[dim].select(key, label), key, "left")
                      .selectExpr("order_id", f"'{kind}' as kind", "order_line", f"{key} as item_id",
                                  f"{label} as item_name", *rest))

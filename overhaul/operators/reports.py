@@ -12,8 +12,9 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from overhaul.functions.filters import day_of, in_days, key_range, where_all
+from overhaul.functions.filters import day_of, in_days, where_all
 from overhaul.functions.idlists import summarize_with_id_lists
+from overhaul.functions.joins import split_join
 from overhaul.functions.money import (
     line_amount, line_amount_net_sql, line_amount_sql, pay, round_avg, to_total,
 )
@@ -33,9 +34,6 @@ def executed_works(t: Tables, begin=None, end=None) -> DataFrame:
     """
     lines = t["order_services"].select("order_id", "service_id", "price", "quantity")
     days = in_days("order_date", begin, end)
-    if days is not None:
-        # lines of orders outside the days drop out anyway; prune them early
-        lines = lines.where(key_range(t["orders"].where(days), "order_id"))
     orders = t["orders"].select(F.col("order_id").alias("o_order_id"), "order_date", "percent_off")
     services = t["services"].select("service_id", "service_name")
     joined = (lines.join(orders, lines["order_id"] == orders["o_order_id"], "left")
@@ -64,6 +62,29 @@ def executed_works(t: Tables, begin=None, end=None) -> DataFrame:
     ).orderBy(F.asc_nulls_last("service_name"))
 
 
+def executed_work_ids(t: Tables, begin=None, end=None) -> DataFrame:
+    """The works report's id lists in long form: distinct (service_name, order_id).
+
+    No group is gathered anywhere, whatever its size.
+    """
+    lines = t["order_services"].select("order_id", "service_id")
+    orders = where_all(t["orders"], in_days("order_date", begin, end)).select("order_id")
+    named = t["services"].select("service_id", "service_name")
+    return (lines.join(orders, "order_id").join(named, "service_id", "left")
+            .select("service_name", "order_id").distinct())
+
+
+def material_move_ids(t: Tables, begin, end) -> DataFrame:
+    """The balance's id lists in long form: distinct (material_id, kind, id) of
+    the purchases and orders dated in [begin, end]."""
+    bought = where_all(t["purchases"], in_days("purchase_date", begin, end)).select(
+        "material_id", F.lit("purchase").alias("kind"), F.col("purchase_id").alias("id"))
+    orders = where_all(t["orders"], in_days("order_date", begin, end)).select("order_id")
+    used = t["order_materials"].join(orders, "order_id").select(
+        "material_id", F.lit("order").alias("kind"), F.col("order_id").alias("id"))
+    return bought.unionByName(used).distinct()
+
+
 def materials_using(t: Tables, begin, end, only_available: bool = False) -> DataFrame:
     """Material balance for the days [begin, end].
 
@@ -82,7 +103,7 @@ def materials_using(t: Tables, begin, end, only_available: bool = False) -> Data
         "material_id", F.col("purchase_date").alias("ts"), "quantity",
         F.lit(True).alias("is_in"), F.col("purchase_id").alias("ref_id"))
     orders = t["orders"].where(in_days("order_date", None, e)).select("order_id", "order_date")
-    om = t["order_materials"].select("order_id", "material_id", "quantity").where(key_range(orders, "order_id"))
+    om = t["order_materials"].select("order_id", "material_id", "quantity")
     outgoing = om.join(orders, "order_id").select(
         "material_id", F.col("order_date").alias("ts"), "quantity",
         F.lit(False).alias("is_in"), F.col("order_id").alias("ref_id"))
@@ -154,13 +175,11 @@ def salary_details(t: Tables, begin, end, coeff: int) -> DataFrame:
     if day_of(begin) is None or day_of(end) is None:
         raise ValueError("salary needs both begin and end")
     orders = t["orders"].where(in_days("order_date", begin, end)).select("order_id")
-    ids = key_range(orders, "order_id")
-    per_order = (t["order_services"].select("order_id", "price", "quantity").where(ids)
-                 .join(orders, "order_id")
+    per_order = (split_join(t["order_services"].select("order_id", "price", "quantity"), orders, ["order_id"])
                  .groupBy("order_id")
                  .agg(F.sum(line_amount("quantity", "price")).alias("orders_sum")))
-    staff = t["order_staffers"].select("order_id", "staffer_id", "ktu").where(ids).join(orders, "order_id")
-    detail = staff.join(per_order, "order_id", "left")
+    staff = t["order_staffers"].select("order_id", "staffer_id", "ktu").join(orders, "order_id")
+    detail = split_join(staff, per_order, ["order_id"], "left")
     return detail.select(
         "order_id", "staffer_id", "ktu",
         F.coalesce(to_total("orders_sum"), F.lit(0).cast(TOTAL)).alias("orders_sum"),

@@ -1,5 +1,8 @@
+import datetime as dt
 
-from overhaul.functions.filters import before_day, in_days, name_contains, where_all, equals_unless
+import pytest
+
+from overhaul.functions.filters import before_day, day_of, in_days, name_contains, where_all, equals_unless
 from tests.conftest import T
 
 
@@ -32,15 +35,8 @@ def test_sentinels_mean_no_filter():
     assert equals_unless("x", None, 0) is None
 
 
-def test_key_range_is_exact_and_pushed(spark, tmp_path):
-    from overhaul.functions.filters import key_range
-    from overhaul.plans import scans
-    lines = spark.createDataFrame([(i, i % 7) for i in range(1, 101)], "order_id long, x int")
-    lines.write.parquet(str(tmp_path / "lines"))
-    stored = spark.read.parquet(str(tmp_path / "lines"))
-    chosen = spark.createDataFrame([(10,), (14,), (12,)], "order_id long")
-    pruned = stored.where(key_range(chosen, "order_id"))
-    assert sorted(r.order_id for r in pruned.join(chosen, "order_id").collect()) == [10, 12, 14]
-    assert "GreaterThanOrEqual(order_id,10)" in scans(pruned)[0].pushed_filters
-    none = spark.createDataFrame([], "order_id long")
-    assert stored.where(key_range(none, "order_id")).count() == 0
+def test_bad_day_text_raises():
+    for text in ("2024-01-05garbage", "2024-01-0599", "2024-13-01", "yesterday", "2024-01-05 25:00"):
+        with pytest.raises(ValueError):
+            day_of(text)
+    assert day_of("2024-01-05") == day_of(" 2024-01-05T23:59:59 ") == day_of("2024-01-05 10:00:00") == dt.date(2024, 1, 5)
