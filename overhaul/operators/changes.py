@@ -10,8 +10,9 @@ Semantics kept from the service:
 
 * save: key NULL or 0 inserts with a new id (``serial``); any other key
   updates the row *if it exists* (an unknown key is a no-op);
-* several requests for one key: the last one (highest ``seq``) wins;
-* insert with a caller-supplied key: an existing key is rejected;
+* several requests for one key: the last one (highest ``seq``) wins, of equal
+  ``seq`` the one with the largest values, so a re-run decides alike;
+* insert with a caller-supplied key: an existing or NULL key is rejected;
 * delete of an order cascades to its lines; delete of a referenced
   material/service/staffer is refused.
 """
@@ -23,7 +24,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from overhaul.schema import CHILD_TABLES, SCHEMAS
+from overhaul.schema import CHILD_TABLES, KEYS, REFERENCES, SCHEMAS, not_null_columns
+from overhaul.functions.joins import split_join
 from overhaul.functions.ranking import row_numbers
 from overhaul.session import materialize
 
@@ -35,15 +37,15 @@ def _is_new(key: str):
 
 
 def latest(changes: DataFrame, key: str, seq: str = "seq") -> DataFrame:
-    """The last request per key (max ``seq``), one row per key.
+    """The last request per key (max ``seq``, then the largest values), one row per key.
 
-    ``max_by`` is aggregated partially on the map side, so a key that holds
+    The maximum is aggregated partially on the map side, so a key that holds
     a large share of the requests never gathers them in one task.
     """
     values = [c for c in changes.columns if c not in (key, seq)]
-    packed = F.struct(*[F.col(c) for c in values], F.col(seq))
+    packed = F.struct(F.col(seq), *[F.col(c) for c in values])
     return (changes.groupBy(key)
-            .agg(F.max_by(packed, F.col(seq)).alias("_last"))
+            .agg(F.max(packed).alias("_last"))
             .select(key, *[F.col(f"_last.{c}").alias(c) for c in values], F.col(f"_last.{seq}").alias(seq)))
 
 
@@ -110,15 +112,22 @@ def save_purchases(purchases: DataFrame, changes: DataFrame, seq: str = "seq") -
 def apply_inserts(table: DataFrame, changes: DataFrame, key: str, seq: str = "seq"):
     """INSERT with caller-supplied keys. Returns (new_table, rejected).
 
-    A key already in the table, or already inserted by an earlier request of
-    the batch, is rejected (a primary-key violation in the original).
+    A NULL key, a key already in the table, or one already inserted by an
+    earlier request of the batch (of equal ``seq``, by the one with the smallest
+    values) is rejected, as the original's primary key does. Every request is
+    either in the new table or among the rejected, equal requests one by one.
     """
     cols = table.columns
-    first = latest(changes.select(*cols, (-F.col(seq)).alias("_neg")), key, "_neg")
+    values = [c for c in cols if c != key]
+    request = F.struct(F.col(seq), *[F.col(c) for c in values])
+    first = changes.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(request).alias("_first"))
     accepted = first.join(table.select(key), key, "left_anti")
-    rejected = changes.join(
-        accepted.select(key, (-F.col("_neg")).alias(seq)), [key, seq], "left_anti")
-    return table.unionByName(accepted.select(*cols)), rejected
+    counted = changes.groupBy(*cols, seq).agg(F.count("*").cast("int").alias("_n"))
+    lost = (split_join(counted, accepted, [key], "left")
+            .withColumn("_n", F.col("_n") - F.when(request.eqNullSafe(F.col("_first")), 1).otherwise(0))
+            .where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), "_n"))))
+    inserted = accepted.select(key, *[F.col(f"_first.{c}").alias(c) for c in values])
+    return table.unionByName(inserted.select(*cols)), lost.select(*cols, seq)
 
 
 def apply_deletes(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -129,7 +138,7 @@ def apply_deletes(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def referenced_keys(key: str, children: list[tuple[DataFrame, str]]) -> DataFrame:
     """Distinct key values used by child tables (pre-aggregated per child, so
     a heavily used key is collapsed map-side before any join)."""
-    used = [c.select(F.col(col).alias(key)).distinct() for c, col in children]
+    used = [c.select(F.col(col).alias(key)) for c, col in children]
     return reduce(DataFrame.unionByName, used).distinct()
 
 
@@ -149,15 +158,53 @@ def delete_orders(t: Tables, keys: DataFrame) -> Tables:
     ids = keys.select("order_id").distinct()
     out = dict(t)
     for name in ("orders", *CHILD_TABLES):
-        out[name] = t[name].join(ids, "order_id", "left_anti")
+        out[name] = split_join(t[name], ids, ["order_id"], "left_anti")
     return out
 
 
-_CHILD_ARRAYS = {
-    "order_services": "order_services",
-    "order_materials": "order_materials",
-    "order_staffers": "order_staffers",
-}
+def delete_rows(t: Tables, name: str, keys: DataFrame):
+    """Delete from the table ``name`` by its key, as the references say.
+
+    Restricting children refuse the key, cascading ones lose their rows.
+    Returns (tables, rejected keys).
+    """
+    key = KEYS[name]
+    children = [r for r in REFERENCES if r.parent == name]
+    restricting = [(t[r.child], r.column) for r in children if r.on_delete == "restrict"]
+    requested = keys.select(key).where(F.col(key).isNotNull()).distinct()
+    rejected = requested.limit(0)
+    if restricting:
+        used = referenced_keys(key, restricting)
+        rejected, requested = requested.join(used, key, "left_semi"), requested.join(used, key, "left_anti")
+    out = dict(t)
+    out[name] = split_join(t[name], requested, [key], "left_anti")
+    for r in children:
+        if r.on_delete == "cascade":
+            gone = requested.withColumnRenamed(key, r.column)
+            out[r.child] = split_join(t[r.child], gone, [r.column], "left_anti")
+    return out, rejected
+
+
+def _order_lines(docs: DataFrame, table: str, keep: list[str]) -> DataFrame:
+    """The child rows of order documents, with the documents' columns ``keep``."""
+    cols = [f.name for f in SCHEMAS[table].fields if f.name != "order_id"]
+    lines = docs.select(*keep, F.explode(table).alias("_it"))
+    return lines.select(*keep, *[F.col(f"_it.{c}").alias(c) for c in cols])
+
+
+def faulty_documents(t: Tables, docs: DataFrame) -> DataFrame:
+    """Distinct ``_doc`` of documents that break a NOT NULL rule or refer to an
+    unknown service, material or staffer."""
+    required = [c for c in not_null_columns("orders") if c != "order_id"]
+    bad = docs.where(reduce(lambda x, y: x | y, [F.col(c).isNull() for c in required])).select("_doc")
+    for r in REFERENCES:
+        if r.child in CHILD_TABLES and r.parent != "orders":
+            lines = _order_lines(docs, r.child, ["_doc"])
+            nulls = [F.col(c).isNull() for c in not_null_columns(r.child) if c != "order_id"]
+            parents = t[r.parent].select(F.col(KEYS[r.parent]).alias(r.column))
+            bad = bad.unionByName(lines.where(reduce(lambda x, y: x | y, nulls)).select("_doc"))
+            bad = bad.unionByName(lines.select("_doc", r.column).join(parents, r.column, "left_anti").select("_doc"))
+    return bad.distinct()
 
 
 def save_orders(t: Tables, docs: DataFrame, seq: str = "seq", start: int | None = None):
@@ -167,29 +214,35 @@ def save_orders(t: Tables, docs: DataFrame, seq: str = "seq", start: int | None
     order); otherwise it replaces the header of the existing order and *all*
     its lines, even with empty lists. The child rows take the order id of
     their header. Several documents for one order: the last one wins. A
-    document for an unknown order is rejected.
+    document is rejected whole if its order is unknown, a required column is
+    NULL, or a line refers to an unknown service, material or staffer (the
+    database refuses each of these); the last one that is left wins.
     """
     header_cols = [f.name for f in SCHEMAS["orders"].fields]
     orders = t["orders"]
-    # Work on a fixed snapshot of the request batch (small next to the
-    # tables): every step below reads it instead of re-deriving it.
-    docs = materialize(docs, "order-requests")
-    updates = latest(docs.where(~_is_new("order_id")), "order_id", seq)
-    known = updates.join(orders.select("order_id"), "order_id", "left_semi")
-    rejected = updates.join(orders.select("order_id"), "order_id", "left_anti")
-    base = max_key(orders, "order_id") if start is None else start
-    created = assign_ids(docs.where(_is_new("order_id")).drop("order_id"), "order_id", base, seq)
-    saved = known.unionByName(created.select(*known.columns))
+    # A fixed snapshot of the request batch, then a small frame of what becomes
+    # of each document; the four tables are all driven by these two.
+    docs = materialize(docs.withColumn("_doc", F.monotonically_increasing_id()), "order-requests")
+    small = docs.select("_doc", "order_id", seq).join(faulty_documents(t, docs), "_doc", "left_anti")
+    created = assign_ids(small.where(_is_new("order_id")).select("_doc", seq), "new_id",
+                         max_key(orders, "order_id") if start is None else start, seq)
+    known = small.where(~_is_new("order_id")).join(orders.select("order_id"), "order_id", "left_semi")
+    last = known.groupBy("order_id").agg(F.max(F.struct(F.col(seq), "_doc")).alias("_last"))
+    fates = materialize(
+        created.select("_doc", F.col("new_id").alias("saved_id"), F.lit(False).alias("replaces"))
+        .unionByName(last.select(F.col("_last._doc").alias("_doc"), F.col("order_id").alias("saved_id"),
+                                 F.lit(True).alias("replaces"))), "order-fates")
+    passed = known.select("_doc").unionByName(created.select("_doc"))
+    rejected = docs.join(passed, "_doc", "left_anti").drop("_doc")
+    saved = docs.drop("order_id").join(fates.select("_doc", F.col("saved_id").alias("order_id")), "_doc")
+    replaced = fates.where("replaces").select(F.col("saved_id").alias("order_id"))
 
     out = dict(t)
-    new_headers = saved.select(*header_cols)
-    out["orders"] = orders.join(known.select("order_id"), "order_id", "left_anti").unionByName(new_headers)
-    for table, arr in _CHILD_ARRAYS.items():
+    out["orders"] = orders.join(replaced, "order_id", "left_anti").unionByName(saved.select(*header_cols))
+    for table in CHILD_TABLES:
         cols = [f.name for f in SCHEMAS[table].fields]
-        lines = saved.select("order_id", F.explode(arr).alias("_it")).select(
-            "order_id", *[F.col(f"_it.{c}").alias(c) for c in cols if c != "order_id"])
-        kept = t[table].join(known.select("order_id"), "order_id", "left_anti")
-        out[table] = kept.unionByName(lines.select(*cols))
+        kept = t[table].join(replaced, "order_id", "left_anti")
+        out[table] = kept.unionByName(_order_lines(saved, table, ["order_id"]).select(*cols))
     return out, rejected
 
 

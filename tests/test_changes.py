@@ -71,6 +71,7 @@ def test_save_order_with_empty_lists_removes_children(make_tables, spark):
     t = make_tables(
         orders=[(1, T("2024-01-05 10:00"), "old", None, 0)],
         order_services=[(1, 1, 1, D(1), D(1))], order_staffers=[(1, 1, 5, 10)],
+        services=[(7, "wash", D(2))], staffers=[(5, "Ann", "mechanic", "ann")],
     )
     docs = spark.createDataFrame(
         [(1, T("2024-01-06 10:00"), "new", None, 5, [], [], []),
