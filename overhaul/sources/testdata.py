@@ -59,7 +59,7 @@ def _define(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             F.when(F.col("s_suppkey") % 10 == 0, F.lit("manager")).otherwise(F.lit("mechanic")).alias("role"),
             F.concat(F.lit("user"), F.col("s_suppkey").cast("string")).alias("login"),
         ),
-        "discount_cards": c.where(F.col("c_mktsegment") != F.lit("HOUSEHOLD")).select(
+        "discount_cards": c.select(
             F.col("c_custkey").cast("string").alias("card_number"),
             F.col("c_name").alias("customer_name"),
             F.concat(F.lit("+"), F.lpad(F.col("c_custkey").cast("string"), 10, "0")).alias("customer_telephone"),
@@ -81,7 +81,9 @@ def _define(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             (F.col("o_orderkey") + 1).alias("order_id"),
             F.col("o_orderdate").alias("order_date"),
             F.col("o_orderpriority").alias("car"),
-            F.col("o_custkey").cast("string").alias("card_number"),
+            # one customer in eleven orders with a card number that no card has
+            (F.col("o_custkey") + F.when(F.col("o_custkey") % 11 == 0, 1000000000).otherwise(0))
+            .cast("string").alias("card_number"),
             F.when(F.col("o_custkey") % 7 == 0, F.lit(None)).otherwise(F.col("o_custkey") % 16)
             .cast("int").alias("percent_off"),
         ),
@@ -127,13 +129,13 @@ VIEW_SQL = {
         concat('user', cast(s_suppkey as varchar)) as login from supplier""",
     "v_discount_cards": """select cast(c_custkey as varchar) as card_number, c_name as customer_name,
         concat('+', lpad(cast(c_custkey as varchar), 10, '0')) as customer_telephone,
-        cast(c_custkey % 16 as integer) as percent_off from customer where c_mktsegment <> 'HOUSEHOLD'""",
+        cast(c_custkey % 16 as integer) as percent_off from customer""",
     "v_services": """select p_partkey + 1 as service_id, p_name as service_name,
         cast(p_retailprice as decimal(10,2)) as price from part""",
     "v_materials": """select p_partkey + 1 as material_id, p_name as material_name, p_size % 2 = 0 as part,
         'pcs' as measure, p_brand as article from part""",
     "v_orders": """select o_orderkey + 1 as order_id, o_orderdate as order_date, o_orderpriority as car,
-        cast(o_custkey as varchar) as card_number,
+        cast(o_custkey + case when o_custkey % 11 = 0 then 1000000000 else 0 end as varchar) as card_number,
         cast(case when o_custkey % 7 = 0 then null else o_custkey % 16 end as integer) as percent_off from orders""",
     "v_order_services": """select l_orderkey + 1 as order_id, l_linenumber as order_line, l_partkey + 1 as service_id,
         cast(l_extendedprice as decimal(10,2)) as price, cast(l_quantity as decimal(10,2)) as quantity

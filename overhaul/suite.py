@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from overhaul.operators import catalog, integrity, orders, purchases, reports
 from overhaul.operators import changes as ch
-from overhaul.schema import KEYS, MONEY, REFERENCES, SCHEMAS
 from overhaul.sources.testdata import shop_tables, with_views
 
 # Fixed parameters of the registered queries.
@@ -52,24 +51,32 @@ def _t(spark, d):
 
 # ---------------------------------------------------------------- reports
 
-_WORKS_SQL = """select cast(coalesce(sum(round(s.price * s.quantity, 2)), 0) as decimal(38,2)) as sum,
-  count(o.order_id) as orders,
-  avg(o.percent_off) as average_percent_off,
-  max(o.percent_off) as max_percent_off,
-  r.service_name,
-  string_agg(distinct cast(o.order_id as varchar), ',' order by cast(o.order_id as varchar)) as order_ids,
-  cast(coalesce(sum(round(s.price * s.quantity * cast(100 - o.percent_off as decimal(10,0))
-       * cast(0.01 as decimal(3,2)), 2)), 0) as decimal(38,2)) as discount_sum
-from v_order_services s
-left join v_orders o on o.order_id = s.order_id
-left join v_services r on s.service_id = r.service_id
-where true {where}
-group by r.service_name order by r.service_name"""
+_NET = "round({a}.price * {a}.quantity * cast(100 - {h}.percent_off as decimal(10,0)) * cast(0.01 as decimal(3,2)), 2)"
+
+_WORK_LINES = """with work as (
+  select v.service_name, h.order_id as done_id, h.percent_off as pct,
+    round(l.price * l.quantity, 2) as gross, """ + _NET.format(a="l", h="h") + """ as net
+  from v_order_services l
+    left join v_orders h on h.order_id = l.order_id
+    left join v_services v on v.service_id = l.service_id
+  {where})"""
+
+_WORKS_SQL = _WORK_LINES + """,
+named_ids as (
+  select service_name, array_to_string(list_sort(list_distinct(list(cast(done_id as varchar)))), ',') as order_ids
+  from work where done_id is not null group by service_name),
+totals as (
+  select service_name, sum(gross) as g, sum(net) as n, count(done_id) as c, avg(pct) as a, max(pct) as m
+  from work group by service_name)
+select t.service_name, i.order_ids, t.c as orders, t.a as average_percent_off, t.m as max_percent_off,
+  cast(coalesce(t.g, 0) as decimal(38,2)) as sum, cast(coalesce(t.n, 0) as decimal(38,2)) as discount_sum
+from totals t left join named_ids i on i.service_name is not distinct from t.service_name"""
+
+_WORKS_DAYS_SQL = (f"where cast(h.order_date as date) >= date '{WORKS_DAYS[0]}' "
+                   f"and cast(h.order_date as date) <= date '{WORKS_DAYS[1]}'")
 
 
-@register("executed_works", _WORKS_SQL.format(
-    where=f"and cast(o.order_date as date) >= date '{WORKS_DAYS[0]}' "
-          f"and cast(o.order_date as date) <= date '{WORKS_DAYS[1]}'"))
+@register("executed_works", _WORKS_SQL.format(where=_WORKS_DAYS_SQL))
 def q_executed_works(spark, d):
     return reports.executed_works(_t(spark, d), *WORKS_DAYS)
 
@@ -79,40 +86,42 @@ def q_executed_works_all(spark, d):
     return reports.executed_works(_t(spark, d))
 
 
-_BALANCE_SQL = """with incoming_begin as (
-  select material_id, sum(quantity) as incoming_sum_begin from v_purchases
-  where cast(purchase_date as date) < date '{b}' group by material_id),
-outgoing_begin as (
-  select om.material_id, sum(om.quantity) as outgoing_sum_begin
-  from v_order_materials om join v_orders o2 on om.order_id = o2.order_id
-  where cast(o2.order_date as date) < date '{b}' group by om.material_id),
-incoming as (
-  select material_id, sum(quantity) as incoming_sum,
-    string_agg(distinct cast(purchase_id as varchar), ',' order by cast(purchase_id as varchar)) as purchase_ids
-  from v_purchases where cast(purchase_date as date) between date '{b}' and date '{e}' group by material_id),
-outgoing as (
-  select om.material_id, sum(om.quantity) as outgoing_sum,
-    string_agg(distinct cast(om.order_id as varchar), ',' order by cast(om.order_id as varchar)) as order_ids
-  from v_order_materials om join v_orders o2 on om.order_id = o2.order_id
-  where cast(o2.order_date as date) between date '{b}' and date '{e}' group by om.material_id),
-bal as (
-  select m.material_name, i.purchase_ids, o.order_ids,
-    cast(coalesce(i_b.incoming_sum_begin, 0) as decimal(38,2)) as incoming_sum_begin,
-    cast(coalesce(o_b.outgoing_sum_begin, 0) as decimal(38,2)) as outgoing_sum_begin,
-    cast(coalesce(i.incoming_sum, 0) as decimal(38,2)) as incoming_sum,
-    cast(coalesce(o.outgoing_sum, 0) as decimal(38,2)) as outgoing_sum
-  from v_materials m
-  full join incoming_begin i_b on m.material_id = i_b.material_id
-  full join outgoing_begin o_b on m.material_id = o_b.material_id
-  full join incoming i on m.material_id = i.material_id
-  full join outgoing o on m.material_id = o.material_id)
-select material_name, purchase_ids, order_ids, incoming_sum_begin, outgoing_sum_begin,
-  cast(incoming_sum_begin - outgoing_sum_begin as decimal(38,2)) as balance_begin,
-  incoming_sum, outgoing_sum,
-  cast(incoming_sum_begin - outgoing_sum_begin + incoming_sum - outgoing_sum as decimal(38,2)) as balance_end
-from bal
-where {all_rows} or incoming_sum_begin - outgoing_sum_begin + incoming_sum - outgoing_sum > 0
-order by material_name"""
+@register("executed_work_ids", _WORK_LINES.format(where=_WORKS_DAYS_SQL) + """
+select distinct service_name, done_id as order_id from work where done_id is not null""")
+def q_executed_work_ids(spark, d):
+    return reports.executed_work_ids(_t(spark, d), *WORKS_DAYS)
+
+
+_MOVES_SQL = """with move as (
+  select material_id as mid, cast(purchase_date as date) as day, quantity as came, null as went,
+    purchase_id as bought, null as used_by
+  from v_purchases
+  union all
+  select m.material_id, cast(h.order_date as date), null, m.quantity, null, h.order_id
+  from v_orders h join v_order_materials m on m.order_id = h.order_id)"""
+
+_BALANCE_SQL = _MOVES_SQL + """,
+summed as (
+  select mid,
+    coalesce(sum(came) filter (where day < date '{b}'), 0) - coalesce(sum(went) filter (where day < date '{b}'), 0) as before,
+    coalesce(sum(came) filter (where day < date '{b}'), 0) as came_before,
+    coalesce(sum(went) filter (where day < date '{b}'), 0) as went_before,
+    coalesce(sum(came) filter (where day between date '{b}' and date '{e}'), 0) as came_now,
+    coalesce(sum(went) filter (where day between date '{b}' and date '{e}'), 0) as went_now,
+    list(distinct cast(bought as varchar)) filter (where bought is not null and day between date '{b}' and date '{e}') as pids,
+    list(distinct cast(used_by as varchar)) filter (where used_by is not null and day between date '{b}' and date '{e}') as oids
+  from move group by mid)
+select c.material_name,
+  nullif(array_to_string(list_sort(x.pids), ','), '') as purchase_ids,
+  nullif(array_to_string(list_sort(x.oids), ','), '') as order_ids,
+  cast(coalesce(x.came_before, 0) as decimal(38,2)) as incoming_sum_begin,
+  cast(coalesce(x.went_before, 0) as decimal(38,2)) as outgoing_sum_begin,
+  cast(coalesce(x.before, 0) as decimal(38,2)) as balance_begin,
+  cast(coalesce(x.came_now, 0) as decimal(38,2)) as incoming_sum,
+  cast(coalesce(x.went_now, 0) as decimal(38,2)) as outgoing_sum,
+  cast(coalesce(x.before + x.came_now - x.went_now, 0) as decimal(38,2)) as balance_end
+from v_materials c left join summed x on x.mid = c.material_id
+where {all_rows} or x.before + x.came_now - x.went_now > 0"""
 
 
 @register("materials_using", _BALANCE_SQL.format(b=BALANCE_DAYS[0], e=BALANCE_DAYS[1], all_rows="true"))
@@ -125,29 +134,31 @@ def q_materials_available(spark, d):
     return reports.materials_using(_t(spark, d), *BALANCE_DAYS, only_available=True)
 
 
-_PAY_SQL = """with orders_sum as (
-  select o.order_id, sum(round(sr.quantity * sr.price, 2)) as orders_sum
-  from v_order_services sr join v_orders o on o.order_id = sr.order_id
-  where cast(o.order_date as date) between date '{b}' and date '{e}' group by o.order_id),
-orders_staff as (
-  select st.order_id, st.staffer_id, st.ktu,
-    cast(coalesce(sm.orders_sum, 0) as decimal(38,2)) as orders_sum,
-    cast(round(cast(st.ktu * {coeff} as decimal(18,0)) * cast(coalesce(sm.orders_sum, 0) as decimal(18,2))
-               * cast(0.0001 as decimal(5,4)), 2) as decimal(38,2)) as zp
-  from v_order_staffers st
-  join v_orders o on o.order_id = st.order_id
-  left join orders_sum sm on st.order_id = sm.order_id
-  where cast(o.order_date as date) between date '{b}' and date '{e}')
-select order_id, staffer_id, cast(ktu as decimal(12,2)) as ktu, zp, orders_sum, '' as staffer_name
-from orders_staff
-union
-select cast(0 as bigint), st.staffer_id,
-  cast(cast((200 * sum(st.ktu) + count(st.ktu)) // (2 * count(st.ktu)) as decimal(18,0))
-       * cast(0.01 as decimal(3,2)) as decimal(12,2)),
-  cast(sum(st.zp) as decimal(38,2)), cast(sum(st.orders_sum) as decimal(38,2)), max(s.staffer_name)
-from orders_staff st join v_staffers s on st.staffer_id = s.staffer_id
-group by st.staffer_id
-order by staffer_id, order_id"""
+@register("material_move_ids", (_MOVES_SQL + """
+select distinct mid as material_id, case when bought is null then 'order' else 'purchase' end as kind,
+  coalesce(bought, used_by) as id
+from move where day between date '{b}' and date '{e}'""").format(b=BALANCE_DAYS[0], e=BALANCE_DAYS[1]))
+def q_material_move_ids(spark, d):
+    return reports.material_move_ids(_t(spark, d), *BALANCE_DAYS)
+
+
+_PAY_SQL = """with gross as (select order_id, sum(round(price * quantity, 2)) as amount from v_order_services group by order_id),
+share as (
+  select w.order_id, w.staffer_id, w.ktu, cast(coalesce(g.amount, 0) as decimal(38,2)) as base
+  from v_order_staffers w left join gross g on g.order_id = w.order_id
+  where w.order_id in (select order_id from v_orders where cast(order_date as date) between date '{b}' and date '{e}')),
+due as (
+  select *, cast(round(cast(ktu * {coeff} as decimal(18,0)) * cast(base as decimal(18,2)) * cast(0.0001 as decimal(5,4)), 2)
+                 as decimal(38,2)) as pay from share)
+select distinct order_id, staffer_id, cast(ktu as decimal(12,2)) as ktu, pay as zp, base as orders_sum, '' as staffer_name
+from due
+union all
+select 0, f.staffer_id,
+  cast(cast((200 * sum(due.ktu) + count(due.ktu)) // (2 * count(due.ktu)) as decimal(18,0)) * cast(0.01 as decimal(3,2))
+       as decimal(12,2)),
+  cast(sum(due.pay) as decimal(38,2)), cast(sum(due.base) as decimal(38,2)), any_value(f.staffer_name)
+from v_staffers f join due on due.staffer_id = f.staffer_id
+group by f.staffer_id"""
 
 
 @register("salary", _PAY_SQL.format(b=PAY_DAYS[0], e=PAY_DAYS[1], coeff=PAY_COEFF))
@@ -157,27 +168,25 @@ def q_salary(spark, d):
 
 # ---------------------------------------------------------------- orders
 
-_ORDER_LIST_SQL = """select o.order_id, o.order_date, o.car, o.card_number, o.percent_off,
-  max(d.customer_telephone) as customer_telephone,
-  count(s.order_line) as order_lines,
-  cast(coalesce(sum(round(s.price * s.quantity, 2)), 0) as decimal(38,2)) as total,
-  cast(coalesce(sum(round(s.price * s.quantity * cast(100 - o.percent_off as decimal(10,0))
-       * cast(0.01 as decimal(3,2)), 2)), 0) as decimal(38,2)) as discounted_total
-from v_orders o
-left join v_discount_cards d on o.card_number = d.card_number
-left join v_order_services s on o.order_id = s.order_id
-where true {where}
-group by o.order_id, o.order_date, o.car, o.card_number, o.percent_off
-order by o.order_date"""
+_ORDER_LIST_SQL = """with bill as (
+  select l.order_id, count(l.order_line) as n, sum(round(l.price * l.quantity, 2)) as gross,
+    sum(""" + _NET.format(a="l", h="h") + """) as net
+  from v_order_services l join v_orders h on h.order_id = l.order_id group by l.order_id),
+phone as (select card_number, max(customer_telephone) as tel from v_discount_cards group by card_number)
+select h.order_id, h.order_date, h.car, h.card_number, h.percent_off, phone.tel as customer_telephone,
+  coalesce(bill.n, 0) as order_lines, cast(coalesce(bill.gross, 0) as decimal(38,2)) as total,
+  cast(coalesce(bill.net, 0) as decimal(38,2)) as discounted_total
+from v_orders h left join phone on phone.card_number = h.card_number left join bill on bill.order_id = h.order_id
+where true {where}"""
 
 
 @register("order_list", _ORDER_LIST_SQL.format(
-    where=f"and cast(o.order_date as date) >= date '{ORDERS_FROM}'"))
+    where=f"and cast(h.order_date as date) >= date '{ORDERS_FROM}'"))
 def q_order_list(spark, d):
     return orders.order_list(_t(spark, d), begin=ORDERS_FROM)
 
 
-@register("order_list_by_card", _ORDER_LIST_SQL.format(where=f"and o.card_number = '{ONE_CARD}'"))
+@register("order_list_by_card", _ORDER_LIST_SQL.format(where=f"and h.card_number = '{ONE_CARD}'"))
 def q_order_list_by_card(spark, d):
     return orders.order_list(_t(spark, d), card_number=ONE_CARD)
 
@@ -439,6 +448,47 @@ def q_insert_cards(spark, d):
     return table
 
 
+def odd_card_inserts(t) -> DataFrame:
+    """``card_inserts``, some of them sent twice alike, some without a card number."""
+    asked = card_inserts(t)
+    num = F.col("card_number").cast("long")
+    return (asked.unionByName(asked.where(num % 3 == 0))
+            .unionByName(asked.where(num % 5 == 0).withColumn("card_number", F.lit(None).cast("string"))))
+
+
+_ODD_CARDS_SQL = """with asked as (
+  select card_number, concat('Client ', card_number) as customer_name, cast(null as varchar) as customer_telephone,
+    5 as percent_off, cast(card_number as bigint) * 2 as seq
+  from (select distinct card_number from v_orders)
+  union all
+  select card_number, concat('Urgent ', card_number), cast(null as varchar), 10, cast(card_number as bigint) * 2 + 1
+  from (select distinct card_number from v_orders where car = '1-URGENT')),
+changes as (
+  select * from asked
+  union all select * from asked where cast(card_number as bigint) % 3 = 0
+  union all select null, customer_name, customer_telephone, percent_off, seq from asked where cast(card_number as bigint) % 5 = 0),
+turns as (select *, row_number() over (partition by card_number order by seq, customer_name, percent_off) as turn from changes)
+"""
+
+
+@register("insert_cards_rejected", _ODD_CARDS_SQL + """select card_number, customer_name, customer_telephone, percent_off, seq
+from turns where card_number is null or turn > 1 or card_number in (select card_number from v_discount_cards)""")
+def q_insert_cards_rejected(spark, d):
+    t = _t(spark, d)
+    _table, rejected = ch.apply_inserts(t["discount_cards"], odd_card_inserts(t), "card_number")
+    return rejected
+
+
+@register("insert_odd_cards", _ODD_CARDS_SQL + """select * from v_discount_cards
+union all
+select card_number, customer_name, customer_telephone, percent_off from turns
+where turn = 1 and card_number not in (select card_number from v_discount_cards)""")
+def q_insert_odd_cards(spark, d):
+    t = _t(spark, d)
+    table, _rejected = ch.apply_inserts(t["discount_cards"], odd_card_inserts(t), "card_number")
+    return table
+
+
 def card_updates(cards: DataFrame) -> DataFrame:
     num = F.col("card_number").cast("long")
     a = cards.where(F.col("percent_off") < 8).select(
@@ -515,6 +565,75 @@ def q_delete_materials_restricted(spark, d):
     return table
 
 
+@register("delete_materials_rejected", """select material_id from v_materials where not part
+  and (material_id in (select material_id from v_purchases) or material_id in (select material_id from v_order_materials))""")
+def q_delete_materials_rejected(spark, d):
+    t = _t(spark, d)
+    _tables, rejected = ch.delete_rows(t, "materials", t["materials"].where(~F.col("part")).select("material_id"))
+    return rejected
+
+
+@register("delete_services_restricted", """select * from v_services where not (
+  service_id % 2 = 0 and service_id not in (select service_id from v_order_services))""")
+def q_delete_services_restricted(spark, d):
+    t = _t(spark, d)
+    tables, _rejected = ch.delete_rows(t, "services", t["services"].where(F.col("service_id") % 2 == 0))
+    return tables["services"]
+
+
+@register("delete_staffers_restricted", """select * from v_staffers where not (
+  role = 'manager' and staffer_id not in (select staffer_id from v_order_staffers))""")
+def q_delete_staffers_restricted(spark, d):
+    t = _t(spark, d)
+    tables, _rejected = ch.delete_rows(t, "staffers", t["staffers"].where(F.col("role") == "manager"))
+    return tables["staffers"]
+
+
+@register("save_services", """select service_id, case when price < 1500 then upper(service_name) else service_name end as service_name,
+  cast(case when price < 1500 then price + 1 else price end as decimal(10,2)) as price from v_services
+union all
+select (select max(service_id) from v_services) + row_number() over (order by service_id), concat(service_name, ' plus'), price
+from v_services where price >= 1500""")
+def q_save_services(spark, d):
+    """Cheap services renamed and raised by one, the others copied as new ones."""
+    s = _t(spark, d)["services"]
+    cheap = F.col("price") < 1500
+    asked = s.select(
+        F.when(cheap, F.col("service_id")).alias("service_id"),
+        F.when(cheap, F.upper("service_name")).otherwise(F.concat("service_name", F.lit(" plus"))).alias("service_name"),
+        F.when(cheap, F.col("price") + 1).otherwise(F.col("price")).cast("decimal(10,2)").alias("price"),
+        F.col("service_id").alias("seq"))
+    return ch.apply_saves(s, asked, "service_id")
+
+
+@register("save_staffers", """select staffer_id, staffer_name, case when role = 'manager' then 'head' else role end as role, login
+from v_staffers
+union all
+select (select max(staffer_id) from v_staffers) + row_number() over (order by staffer_id), staffer_name, 'helper', concat(login, 'x')
+from v_staffers where role = 'mechanic'""")
+def q_save_staffers(spark, d):
+    """Managers get a new role, every mechanic a new helper."""
+    s = _t(spark, d)["staffers"]
+    manager = F.col("role") == "manager"
+    asked = s.select(
+        F.when(manager, F.col("staffer_id")).otherwise(0).alias("staffer_id"), "staffer_name",
+        F.when(manager, "head").otherwise("helper").alias("role"),
+        F.when(manager, F.col("login")).otherwise(F.concat("login", F.lit("x"))).alias("login"), F.col("staffer_id").alias("seq"))
+    return ch.apply_saves(s, asked, "staffer_id")
+
+
+@register("lookup_services", "select * from v_services where service_id in (select service_id from v_order_services where quantity >= 49)")
+def q_lookup_services(spark, d):
+    t = _t(spark, d)
+    return catalog.lookup(t["services"], t["order_services"].where(F.col("quantity") >= 49), "service_id")
+
+
+@register("lookup_cards", "select * from v_discount_cards where card_number in (select card_number from v_orders where car = '5-LOW')")
+def q_lookup_cards(spark, d):
+    t = _t(spark, d)
+    return catalog.lookup(t["discount_cards"], t["orders"].where(F.col("car") == "5-LOW"), "card_number")
+
+
 @register("save_then_delete_materials", _SAVE_MATERIALS_CTES + """
 select * from saved where material_id not in (
   select material_id from saved where not part
@@ -532,18 +651,21 @@ def q_save_then_delete_materials(spark, d):
 
 
 SAVE_DAYS = {"update": ("1999-02-01", "1999-02-28"), "copy": ("1999-03-01", "1999-03-31"),
-             "unknown": ("1999-04-01", "1999-04-30")}
+             "unknown": ("1999-04-01", "1999-04-30"), "faulty": ("1999-05-01", "1999-05-31")}
 
 
 def order_saves(t) -> DataFrame:
     """Order documents to save: February orders re-saved with a changed car
     and no staff, March orders copied as new orders, April orders sent with
-    ids that do not exist (rejected)."""
-    docs = orders.order_documents(t, SAVE_DAYS["update"][0], SAVE_DAYS["unknown"][1])
+    ids that do not exist, May orders with services that do not exist (both
+    rejected; a May order without services is saved as it is)."""
+    docs = orders.order_documents(t, SAVE_DAYS["update"][0], SAVE_DAYS["faulty"][1])
     month = F.month("order_date")
-    feb, mar = month == 2, month == 3
+    feb, mar, may = month == 2, month == 3, month == 5
+    docs = docs.withColumn("order_services", F.when(may, F.transform(
+        "order_services", lambda x: x.withField("service_id", x["service_id"] + 1000000000))).otherwise(F.col("order_services")))
     return docs.select(
-        F.when(feb, F.col("order_id")).when(mar, F.lit(0).cast("long"))
+        F.when(feb | may, F.col("order_id")).when(mar, F.lit(0).cast("long"))
         .otherwise(F.col("order_id") + 1000000000).alias("order_id"),
         "order_date",
         F.when(feb, F.concat("car", F.lit(" saved"))).otherwise(F.col("car")).alias("car"),
@@ -583,6 +705,17 @@ def q_save_orders(spark, d):
     return ch.order_tables_long(tables)
 
 
+@register("save_orders_rejected", f"""select order_id + 1000000000 as order_id, order_id * 2 as seq from v_orders
+where {_in_days_sql('order_date', 'unknown')}
+union all
+select order_id, order_id * 2 from v_orders
+where {_in_days_sql('order_date', 'faulty')} and order_id in (select order_id from v_order_services)""")
+def q_save_orders_rejected(spark, d):
+    t = _t(spark, d)
+    _tables, rejected = ch.save_orders(t, order_saves(t))
+    return rejected.select("order_id", "seq")
+
+
 def faulty_tables(t):
     """The tables with faults derived from their own rows: every 'error'
     purchase duplicated onto a missing material, order materials of quantity
@@ -601,33 +734,52 @@ def faulty_tables(t):
     return out
 
 
+# The rules of the original tables, written out (table, column, key or line of the row).
+_LINE = "concat_ws(':', cast(order_id as varchar), cast(order_line as varchar))"
+_NOT_NULL = [
+    ("staffers", "staffer_id", "cast(staffer_id as varchar)"),
+    ("discount_cards", "card_number", "card_number"),
+    ("services", "service_id", "cast(service_id as varchar)"),
+    ("services", "service_name", "cast(service_id as varchar)"),
+    ("materials", "material_id", "cast(material_id as varchar)"),
+    ("materials", "material_name", "cast(material_id as varchar)"),
+    ("orders", "order_id", "cast(order_id as varchar)"),
+    ("orders", "order_date", "cast(order_id as varchar)"),
+    ("order_services", "order_id", _LINE),
+    ("order_services", "order_line", _LINE),
+    ("order_services", "service_id", _LINE),
+    ("order_materials", "order_id", _LINE),
+    ("order_materials", "order_line", _LINE),
+    ("order_materials", "material_id", _LINE),
+    ("order_staffers", "order_id", _LINE),
+    ("order_staffers", "order_line", _LINE),
+    ("order_staffers", "staffer_id", _LINE),
+    ("purchases", "purchase_id", "cast(purchase_id as varchar)"),
+    ("purchases", "purchase_date", "cast(purchase_id as varchar)"),
+    ("purchases", "material_id", "cast(purchase_id as varchar)"),
+]
+_UNIQUE = [("staffers", "staffer_id"), ("discount_cards", "card_number"), ("services", "service_id"),
+           ("materials", "material_id"), ("orders", "order_id"), ("purchases", "purchase_id")]
+_FOREIGN = [
+    ("order_services", "order_id", "orders"), ("order_services", "service_id", "services"),
+    ("order_materials", "order_id", "orders"), ("order_materials", "material_id", "materials"),
+    ("order_staffers", "order_id", "orders"), ("order_staffers", "staffer_id", "staffers"),
+    ("purchases", "material_id", "materials"),
+]
+
+
 def _integrity_sql() -> str:
-    src = {n: f"v_{n}" for n in SCHEMAS}
-    src.update(purchases="f_purchases", order_materials="f_order_materials", services="f_services")
-
-    def ref(table):
-        if table in KEYS:
-            return f"cast({KEYS[table]} as varchar)"
-        return "concat_ws(':', cast(order_id as varchar), cast(order_line as varchar))"
-
-    parts = []
-    for table, schema in SCHEMAS.items():
-        for f in schema.fields:
-            if not f.nullable:
-                parts.append(f"select '{table}' as table_name, 'not_null' as rule, '{f.name}' as column_name, "
-                             f"{ref(table)} as value, cast(1 as bigint) as rows from {src[table]} "
-                             f"where {f.name} is null")
-        if table in KEYS:
-            k = KEYS[table]
-            parts.append(f"select '{table}', 'unique_key', '{k}', cast({k} as varchar), count(*) "
-                         f"from {src[table]} where {k} is not null group by {k} having count(*) > 1")
+    def src(table):
+        return f"f_{table}" if table in ("purchases", "order_materials", "services") else f"v_{table}"
+
+    parts = [f"select '{t}' as table_name, 'not_null' as rule, '{c}' as column_name, {row} as value, "
+             f"cast(1 as bigint) as rows from {src(t)} where {c} is null" for t, c, row in _NOT_NULL]
+    parts += [f"select '{t}', 'unique_key', '{k}', cast({k} as varchar), count(*) from {src(t)} "
+              f"where {k} is not null group by {k} having count(*) > 1" for t, k in _UNIQUE]
     parts.append("select 'services', 'numeric_10_2', 'price', cast(service_id as varchar), cast(1 as bigint) "
-                 f"from f_services where abs(round(price, 2)) >= {10 ** (MONEY.precision - MONEY.scale)}")
-    for r in REFERENCES:
-        k = KEYS[r.parent]
-        parts.append(f"select '{r.child}', 'references_{r.parent}', '{r.column}', cast({r.column} as varchar), "
-                     f"count(*) from {src[r.child]} where {r.column} is not null and {r.column} not in "
-                     f"(select {k} from {src[r.parent]}) group by {r.column}")
+                 "from f_services where abs(round(price, 2)) >= 100000000")
+    parts += [f"select '{t}', 'references_{p}', '{c}', cast({c} as varchar), count(*) from {src(t)} "
+              f"where {c} is not null and {c} not in (select {c} from {src(p)}) group by {c}" for t, c, p in _FOREIGN]
     return ("""with f_purchases as (
   select * from v_purchases
   union all select purchase_id, purchase_date, trader, material_id + 1000000, price, quantity, sum
