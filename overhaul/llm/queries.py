@@ -81,4 +81,10 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_pack_windows": op10_pack_windows,
 }
-ORACLES = {"op4_bm25_top10": search.ORACLE, "op9_license_scan": licenses.oracle()}
+# The others cannot be expressed in SQL; tests/llm holds brute-force versions of them.
+ORACLES = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
+    "op4_bm25_top10": search.ORACLE,
+    "op7_near_dedup": near_dedup.ORACLE,
+    "op9_license_scan": licenses.oracle(),
+}

@@ -194,3 +194,21 @@ def deduplicate(docs: DataFrame, rows: bool = False) -> DataFrame:
 
     joined = own.join(marks, own["doc_id"] == marks["marked_id"], "left").drop("marked_id")
     return map_batches(joined, run, "doc_id long, n_words long, n_removed long, kept_text string", "row" if rows else None)
+
+
+ORACLE = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS key
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM words WHERE len(w) >= 50)),
+firsts AS (SELECT key, min(doc_id) AS first_doc FROM windows GROUP BY key),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS pos
+  FROM windows JOIN firsts USING (key) WHERE first_doc < doc_id),
+each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM words),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text
+  FROM each ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)"""
