@@ -9,6 +9,8 @@ work is done by built-in SQL functions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,6 +141,10 @@ RESERVED_LINE = r"(?m)^[ \t*#/;%>-]*all rights reserved[ \t.]*$"
 PUNCTUATION = r"[^\p{L}\p{N}]+"
 
 
+# Every known text holds one of these in lower case, whatever its spelling; others need no closer look.
+HINTS = ("licen", "permission", "redistribution")
+
+
 def canonical(text: Column) -> Column:
     """Canonical form of a text; empty if nothing but copyright lines and punctuation is there."""
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
@@ -156,21 +162,29 @@ def known_licences(spark: SparkSession) -> DataFrame:
     return known.select("licence", F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("digest")).distinct()
 
 
-def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def _hinted(text: Column, hints) -> Column:
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(h)) for h in hints])
+
+
+def scan(docs: DataFrame, known: DataFrame | None = None, hints: tuple[str, ...] = HINTS) -> DataFrame:
     """doc_id, licence, whole_text, n_paragraphs, n_lines: a row per document and licence found.
 
+    Pass other ``known`` licences (licence, digest) with their own ``hints``: lower-case
+    strings one of which every spelling of a known text holds (("",) for none).
     whole_text says that the document is nothing but that licence; the counts
     say how many of its paragraphs and lines are. A document without any has no
     row, nor has a null or empty text. A null doc_id is carried, its rows are
     counted together; repeated rows add up. Other columns are ignored, whatever
     their names; an empty table gives an empty table.
     """
-    known = known_licences(docs.sparkSession) if known is None else known
-    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.concat(
+    # The built-in table has a fixed size, so each task gets a copy; another is joined as Spark finds best.
+    known = F.broadcast(known_licences(docs.sparkSession)) if known is None else known
+    units = docs.where(_hinted(F.col("text"), hints)).select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.concat(
         F.array(F.struct(F.lit("text").alias("kind"), F.col("text").alias("unit"))),
         F.transform(F.split("text", r"\n[ \t\r]*\n\s*"), lambda p: F.struct(F.lit("paragraph").alias("kind"), p.alias("unit"))),
         F.transform(F.split("text", "\n"), lambda p: F.struct(F.lit("line").alias("kind"), p.alias("unit"))),
-    )).alias("part"))
+    )).alias("part")).where(_hinted(F.col("part.unit"), hints))
     form = canonical(F.col("part.unit"))
     digests = units.select("doc_id", "part.kind", F.sha2(form.cast("binary"), 256).alias("digest"))
     found = digests.join(known, "digest")
