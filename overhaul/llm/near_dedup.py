@@ -171,8 +171,9 @@ def joining_links(side: np.ndarray, node: np.ndarray, component: np.ndarray, set
     both = np.zeros((len(near), len(sets)), np.float32)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    width = max(1, (1 << 22) // max(1, len(sets)))
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+    n_columns = int(column[-1]) + 1 if len(column) else 0
+    width = min(n_columns, max(1, (1 << 22) // len(sets)))
+    for at in range(0, n_columns, max(1, width)):
         a, b = np.searchsorted(column, [at, at + width])
         part = np.zeros((len(sets), width), np.float32)
         part[row[a:b], column[a:b] - at] = 1
@@ -197,12 +198,17 @@ def joining_links(side: np.ndarray, node: np.ndarray, component: np.ndarray, set
 
 
 def _links_in_blocks(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links inside lists (key, node, component, home: the leader's component) that join components."""
+    """Links inside lists (key, node, component, home: the leader's component) that join components.
+
+    A list of two has nothing left to compare, and of lists with equal members one is enough.
+    """
     away = F.col("component") != F.col("home")
     counts = lists.groupBy("key").agg(
-        F.sum(F.when(away, 1).otherwise(0)).alias("n_away"), F.sum(F.when(away, 0).otherwise(1)).alias("n_home")
-    ).where("n_away > 0")
-    placed = lists.join(counts, "key").select(
+        F.sum(F.when(away, 1).otherwise(0)).alias("n_away"), F.sum(F.when(away, 0).otherwise(1)).alias("n_home"),
+        F.bit_xor(F.xxhash64("node")).alias("members"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("members_too"))
+    chosen = (counts.where("n_away > 0 AND n_away + n_home > 2")
+              .groupBy("members", "members_too", "n_away", "n_home").agg(F.min("key").alias("key")))
+    placed = lists.join(chosen.select("key", "n_away", "n_home"), "key").select(
         "key", "node", "component", away.alias("away"),
         F.ceil(F.col("n_away") / BLOCK).cast("int").alias("blocks_away"),
         F.ceil(F.col("n_home") / BLOCK).cast("int").alias("blocks_home"))
