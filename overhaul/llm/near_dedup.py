@@ -38,7 +38,8 @@ PERCENT = 85  # links have 100 * intersection >= PERCENT * union
 SKETCH = 32
 SHARED = 14  # values that sketches of similar sets have in common at least, if the union has SKETCH values
 KEYS = 10
-BLOCK = 512  # classes in a block of a long list
+BLOCK = 1024  # classes in a block of a long list,
+BLOCK_VALUES = 1 << 20  # and shingles of all of them, on average
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -83,10 +84,11 @@ def _values(classes: DataFrame) -> DataFrame:
             sketch = [np.frombuffer(x, "<u8") for x in b.column("sketch").to_pylist()]
             sizes = [len(x) for x in sketch]
             node = np.repeat(np.array(b.column("node").to_pylist(), np.int64), sizes)
-            yield {"node": node, "value": np.concatenate(sketch or [np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64),
+            n = np.repeat(np.array(b.column("n_shingles").to_pylist(), np.int64), sizes)
+            yield {"node": node, "n_shingles": n, "value": np.concatenate(sketch or [np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64),
                    "size": np.repeat(np.array(sizes, np.int64), sizes)}
 
-    return map_batches(classes.select("node", "sketch"), run, "node long, value long, size long")
+    return map_batches(classes.select("node", "sketch", "n_shingles"), run, "node long, n_shingles long, value long, size long")
 
 
 def _needed(size):
@@ -95,15 +97,15 @@ def _needed(size):
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """node, key, shared: the inverted lists."""
+    """node, n_shingles, key, shared: the inverted lists."""
     values = _values(classes)
     common = values.groupBy("value").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    mine = (values.join(common.select("value"), "value").groupBy("node", "size")
+    mine = (values.join(common.select("value"), "value").groupBy("node", "n_shingles", "size")
             .agg(F.sort_array(F.collect_list("value")).alias("values"))  # at most SKETCH of them
             .where(F.size("values") >= _needed(F.col("size"))))
     # Hash order is that of unsigned integers.
     ordered = F.concat(F.filter("values", lambda v: v >= 0), F.filter("values", lambda v: v < 0))
-    return mine.select("node", F.size("values").alias("shared"), F.explode(F.slice(ordered, 1, KEYS)).alias("key"))
+    return mine.select("node", "n_shingles", F.size("values").alias("shared"), F.explode(F.slice(ordered, 1, KEYS)).alias("key"))
 
 
 def _may_link(pairs: DataFrame) -> DataFrame:
@@ -198,20 +200,22 @@ def joining_links(side: np.ndarray, node: np.ndarray, component: np.ndarray, set
 
 
 def _links_in_blocks(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links inside lists (key, node, component, home: the leader's component) that join components.
+    """Links inside lists (key, node, n_shingles, component, home: the leader's component) that join components.
 
     A list of two has nothing left to compare, and of lists with equal members one is enough.
     """
     away = F.col("component") != F.col("home")
     counts = lists.groupBy("key").agg(
         F.sum(F.when(away, 1).otherwise(0)).alias("n_away"), F.sum(F.when(away, 0).otherwise(1)).alias("n_home"),
+        F.sum(F.when(away, F.col("n_shingles")).otherwise(0)).alias("values_away"),
+        F.sum(F.when(away, 0).otherwise(F.col("n_shingles"))).alias("values_home"),
         F.bit_xor(F.xxhash64("node")).alias("members"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("members_too"))
     chosen = (counts.where("n_away > 0 AND n_away + n_home > 2")
-              .groupBy("members", "members_too", "n_away", "n_home").agg(F.min("key").alias("key")))
-    placed = lists.join(chosen.select("key", "n_away", "n_home"), "key").select(
-        "key", "node", "component", away.alias("away"),
-        F.ceil(F.col("n_away") / BLOCK).cast("int").alias("blocks_away"),
-        F.ceil(F.col("n_home") / BLOCK).cast("int").alias("blocks_home"))
+              .groupBy("members", "members_too", *(sizes := ["n_away", "n_home", "values_away", "values_home"]))
+              .agg(F.min("key").alias("key")))
+    placed = lists.join(chosen.select("key", *sizes), "key").select("key", "node", "component", away.alias("away"), *(
+        F.ceil(F.greatest(F.col(f"n_{x}") / BLOCK, F.col(f"values_{x}") / BLOCK_VALUES)).cast("int").alias(f"blocks_{x}")
+        for x in ("away", "home")))
     mine = F.pmod(F.xxhash64("node"), F.when(F.col("away"), F.col("blocks_away")).otherwise(F.col("blocks_home"))).cast("int")
     # Block i of those away meets block j of those away (i <= j) and every block of the others.
     meets = F.when(
@@ -248,7 +252,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = stage(sketches(docs), "sketches")
     classes = (rows.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-               .groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")))
+               .groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"),
+                                     F.first("n_shingles").alias("n_shingles")))
     classes = stage(classes, "classes")
     lists = stage(_keys(classes), "lists")
     leaders = lists.groupBy("key").agg(
@@ -270,7 +275,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return df.join(known.select(F.col("node").alias(name), F.col("component").alias(out)), name, "left").withColumn(
             out, F.coalesce(out, name))
 
-    open_lists = at_home(at_home(led.select("key", "node", "leader"), "node", "component"), "leader", "home")
+    open_lists = at_home(at_home(led.select("key", "node", "n_shingles", "leader"), "node", "component"), "leader", "home")
     more = stage(_links_in_blocks(open_lists, sets), "links")
     final = known if more.isEmpty() else components(first.unionByName(more))
     by_class = classes.select("set_key", "node").join(final, "node", "left").select(
