@@ -7,11 +7,12 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-# Rows of one Arrow batch. Whole texts of any length pass through a batch, so
-# few rows keep a Python worker's memory near a few average texts.
+# Rows of one Arrow batch; Spark also bounds a batch in bytes (64 MB by default),
+# so long texts make it shorter.
 BATCH_ROWS = 1000
 
 
@@ -60,6 +61,18 @@ def _arrow_type(name: str) -> pa.DataType:
     }[name]
 
 
+def join_apart(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left.join(right, keys, how)`` where ``right`` is aggregated by ``keys`` (the first a long).
+
+    Spark splits the rows of a hot key only if both sides come straight from a
+    shuffle for the join. The first key's complement has another partitioning
+    than the aggregation, so its (smaller) result is shuffled once more.
+    """
+    a = left.withColumn("_apart", F.bitwise_not(keys[0]))
+    b = right.withColumn("_apart", F.bitwise_not(keys[0])).drop(keys[0])
+    return a.join(b, ["_apart", *keys[1:]], how).drop("_apart")
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names; a scratch folder only in local mode."""
     sc = spark.sparkContext

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from overhaul.llm.common import map_batches, stage
+from overhaul.llm.common import join_apart, map_batches, stage
 from overhaul.llm.components import components
 from overhaul.llm.hashing import chunks, run_hashes, word_hashes
 
@@ -100,7 +100,7 @@ def _keys(classes: DataFrame) -> DataFrame:
     """node, n_shingles, key, shared: the inverted lists."""
     values = _values(classes)
     common = values.groupBy("value").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    mine = (values.join(common.select("value"), "value").groupBy("node", "n_shingles", "size")
+    mine = (join_apart(values, common.select("value"), ["value"]).groupBy("node", "n_shingles", "size")
             .agg(F.sort_array(F.collect_list("value")).alias("values"))  # at most SKETCH of them
             .where(F.size("values") >= _needed(F.col("size"))))
     # Hash order is that of unsigned integers.
@@ -213,7 +213,7 @@ def _links_in_blocks(lists: DataFrame, sets: DataFrame) -> DataFrame:
     chosen = (counts.where("n_away > 0 AND n_away + n_home > 2")
               .groupBy("members", "members_too", *(sizes := ["n_away", "n_home", "values_away", "values_home"]))
               .agg(F.min("key").alias("key")))
-    placed = lists.join(chosen.select("key", *sizes), "key").select("key", "node", "component", away.alias("away"), *(
+    placed = join_apart(lists, chosen.select("key", *sizes), ["key"]).select("key", "node", "component", away.alias("away"), *(
         F.ceil(F.greatest(F.col(f"n_{x}") / BLOCK, F.col(f"values_{x}") / BLOCK_VALUES)).cast("int").alias(f"blocks_{x}")
         for x in ("away", "home")))
     mine = F.pmod(F.xxhash64("node"), F.when(F.col("away"), F.col("blocks_away")).otherwise(F.col("blocks_home"))).cast("int")
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leaders = lists.groupBy("key").agg(
         F.max(F.struct("shared", (-F.col("node")).alias("minus"))).alias("top"), F.count("*").alias("n")
     ).where("n > 1").select("key", (-F.col("top.minus")).alias("leader"))
-    led = lists.join(leaders, "key")
+    led = join_apart(lists, leaders, ["key"])
     pairs = (led.where("leader <> node").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
              .distinct())
     short = classes.select("node", "sketch").dropDuplicates(["node"])
