@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from overhaul.llm.common import map_batches, stage
+from overhaul.llm.common import join_apart, map_batches, stage
 from overhaul.llm.hashing import chunks, window_hashes, word_hashes
 
 WINDOW = 50
@@ -131,18 +131,18 @@ def repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     texts = stage(_texts(docs).where(F.col("n_words") >= WINDOW).select("doc_id", "text_key"), "texts")
     classes = texts.groupBy("text_key").agg(F.min("doc_id").alias("first_doc"))
-    copies = texts.join(classes, "text_key").where("doc_id > first_doc").select("doc_id", "text_key").distinct()
+    copies = join_apart(texts, classes, ["text_key"]).where("doc_id > first_doc").select("doc_id", "text_key").distinct()
 
     shared = (_anchors(docs, where=False).groupBy("anchor").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"))
               .where("low < high").select("anchor"))
-    places = stage(_anchors(docs, where=True).join(shared, "anchor").groupBy("text_key")
+    places = stage(join_apart(_anchors(docs, where=True), shared, ["anchor"]).groupBy("text_key")
                    .agg(F.collect_set("place").alias("places")), "places")
     hits = places.join(classes, "text_key").select(F.col("first_doc").alias("doc_id"), "text_key", "places")
     windows = _windows(stage(docs.join(hits, "doc_id"), "hits"))
     hashes = ["first_hash", "second_hash"]
     first = (windows.groupBy(*hashes).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
              .where("first_doc < last_doc").select(*hashes, "first_doc"))
-    later = (windows.join(first, hashes).where("doc_id > first_doc").groupBy("doc_id", "text_key")
+    later = (join_apart(windows, first, hashes).where("doc_id > first_doc").groupBy("doc_id", "text_key")
              .agg(F.collect_set("place").alias("places")))
     marks = later.unionByName(copies.withColumn("places", F.lit(None).cast("array<int>")))
     return stage(marks.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "places")).alias("marks")), "marks")
