@@ -28,7 +28,10 @@ HOLDS = 0.8  # share of the text that the slot must hold
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|title|svg|iframe|object|canvas|select|button"
+# Raw elements: their content is no text. An unclosed one of the first kind ends with the page, as in
+# browsers; an unclosed one of the second kind hides nothing.
+RAW_TO_END = frozenset("script style textarea title iframe noscript".split())
+RAW = RAW_TO_END | frozenset("template svg object canvas select button".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span"
     " strike strong sub sup time tt u var wbr".split())
@@ -45,12 +48,27 @@ MARKS = re.compile(
     r"|subscribe|toolbar|widget|widgets)(?:$|[-_ ])", re.I)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    rf"|<(?P<raw>{RAW})\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 WHITE = re.compile(r"\s+")
 
 
+def _tags(page: str):
+    """Matches of TOKEN outside raw elements, and where the text goes on after each."""
+    at, unclosed = 0, set()
+    while m := TOKEN.search(page, at):
+        at, name = m.end(), (m["name"] or "").lower()
+        if name in RAW and not m["end"] and not m["rest"].endswith("/") and name not in unclosed:
+            if end := RAW_END[name].search(page, at):
+                at = end.end()
+            elif name in RAW_TO_END:
+                at = len(page)
+            else:
+                unclosed.add(name)
+        yield m, at
+
+
 @lru_cache(maxsize=4096)
 def _element(name: str, rest: str) -> tuple[str, bool]:
     """An element's name in paths, and whether it is left out."""
@@ -90,16 +108,17 @@ def blocks(page: str):
         flush()
         del stack[to:]
 
-    for m in TOKEN.finditer(page):
+    for m, then in _tags(page):
         if m.start() > at and not (stack and stack[-1][2]):
             pending.append(page[at:m.start()])
-        at = m.end()
+        at = then
         name = m["name"]
         if name is None:
-            if m["raw"]:
-                pending.append(" ")
             continue
         name = name.lower()
+        if name in RAW and not m["end"] and (then > m.end() or name in RAW_TO_END or m["rest"].endswith("/")):
+            pending.append(" ")
+            continue
         if name in INLINE:
             # Inline elements do not nest the path; a left-out one hides its text.
             if m["end"]:

@@ -27,6 +27,16 @@ def test_odd_pages(page, text):
     assert html_text.main_text(page, None) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><p>a</p><svg-icon name=x></svg-icon><p>rest</p></article>", "a\nrest"),
+    ("<main><title-block>t</title-block><p>x</p><button-group><p>y</p></button-group><object-view></object-view>z", "t\nx\ny\nz"),
+    ("<main><p>a</p><button>go<p>b</p><svg><p>c</p>", "a\ngo\nb\nc"), ("a<select>b<svg/>c</select>d", "a d"),
+    ("<main><p>a</p><svg title='x>y'>no</svg><p>b</p><title>never closed<p>c", "a\nb"), ("a<SCRIPT>x</script >b<script/>c", "a b c"),
+])
+def test_custom_and_unclosed_raw_elements(page, text):
+    assert html_text.main_text(page, None) == text
+
+
 def article(page):
     inner = re.sub(r"</?(b|br)>", " ", page[page.index("<article>") + 9:page.index("</article>")])
     parts = [re.sub(r"\s+", " ", html.unescape(x)).strip() for x in re.split(r"</?(?:p|h1)>", inner)]
