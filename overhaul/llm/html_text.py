@@ -1,14 +1,12 @@
 """Main text of web pages by template deduction over the pages of a host.
 
 Tokens are the tag paths of a page (element names with class and id, from the
-root). Two tokens of a host are equivalent if their occurrence vectors are
-equal: they occur equally often in each of its pages. Vectors are compared by
-the sum, over pages, of a hash of page and count, which Spark adds up before it
-shuffles, so no host's pages meet in one task. The class of ``body`` is valid
-(its members enclose each other or stand side by side on every page) and is the
-host's template. Its deepest member that still holds nearly all text outside
-menus, notices and the like, widened to an enclosing article, is the slot that
-is extracted; pages that lack it are judged by their own single-page template.
+root) and the words of each block at their path, a block's words being one
+token. How often a token occurs, and on how many pages, is added up by host
+before and after the shuffle, so no host's pages meet in one task. The class of
+tokens that occur once on every page are the host's template. A place of the
+template whose text is the same on nearly all pages is boilerplate; all that
+the template leaves variable, every slot with its headings, is the text.
 """
 
 from __future__ import annotations
@@ -24,7 +22,9 @@ from pyspark.sql import functions as F
 from overhaul.llm.common import map_batches, stage
 from overhaul.llm.urls import host_and_path
 
-HOLDS = 0.8  # share of the text that the slot must hold
+HOLDS = 0.8  # share of a host's pages on which a text must be the same to be the template's
+LEAST_PAGES = 3  # different pages of a host, below which it has no template
+PAGE = 0  # the token of a page itself
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -155,88 +155,73 @@ def blocks(page: str):
     return found, counts
 
 
-def _above(path: str):
-    """The path and all it lies in."""
-    while path:
-        yield path
-        path = path.rpartition("/")[0]
+def _hash(token: str) -> int:
+    return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")) - 2**63
 
 
-def choose_slot(tokens: list[tuple[str, int]]) -> str:
-    """The slot among template tokens (path, text in it): deepest with nearly all text, widened to an article."""
-    most = max((size for _, size in tokens), default=0)
-    good = [path for path, size in tokens if size > 0 and size >= HOLDS * most]
-    if not good:
-        return ""
-    path = max(good, key=lambda p: (p.count("/"), p))
-    for outer in sorted(_above(path), key=len):
-        if re.match(r"(article|main)\b", outer.rpartition("/")[2]):
-            return outer
-    return path
-
-
-def _inside(path: str, slot: str) -> bool:
-    return not slot or path == slot or path.startswith(slot + "/")
-
-
-def _text_sizes(found) -> dict[str, int]:
-    sizes: dict[str, int] = {}
-    for path, text in found:
-        for p in _above(path):
-            sizes[p] = sizes.get(p, 0) + len(text)
-    return sizes
-
-
-def main_text(page: str, slot: str | None) -> str:
-    """Text of the slot; a page without it gets a slot by its own template."""
-    found, counts = blocks(page)
-    if not slot or not any(_inside(path, slot) for path, _ in found):
-        sizes = _text_sizes(found)
-        slot = choose_slot([(p, sizes.get(p, 0)) for p, n in counts.items() if n == 1])
-    return "\n".join(text for path, text in found if _inside(path, slot))
+def main_text(page: str, drop: frozenset[int] | None) -> str:
+    """Text of all blocks but those that the template drops; all blocks if that would leave none."""
+    found, _ = blocks(page)
+    kept = [text for path, text in found if _hash(path) not in drop] if drop else []
+    return "\n".join(kept or [text for _, text in found])
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """host, token, part (of its vector's sum), pages, size (text in it): summed over each batch."""
+    """host, token, place, pages, n: how many pages a token is on and how often, summed over each batch.
+
+    Tokens: the page itself (PAGE), each path that blocks lie at, and each
+    block's words at their path, which is the token's place. A page counts by
+    its weight.
+    """
 
     def run(batches):
         for b in batches:
-            sums: dict[tuple[str, str], list[int]] = {}
-            for host, key, page in zip(*(b.column(c).to_pylist() for c in ("host", "key", "html"))):
+            sums: dict[tuple[str, int, int | None], list[float]] = {}
+            for host, page, weight in zip(*(b.column(c).to_pylist() for c in ("host", "html", "weight"))):
                 found, counts = blocks(page)
-                sizes = _text_sizes(found)
-                for token, n in counts.items():
-                    s = sums.setdefault((host, token), [0, 0, 0])
-                    s[0] += xxhash.xxh3_64_intdigest(f"{key} {n}")
-                    s[1] += 1
-                    s[2] += sizes.get(token, 0)
-            rows = [(h, t, (v + 2**63) % 2**64 - 2**63, n, size) for (h, t), (v, n, size) in sums.items()]
-            names = ("host", "token", "part", "pages", "size")
+                places = {path: _hash(path) for path, _ in found}
+                tokens = {(PAGE, None): 1}
+                tokens.update(((places[path], None), counts.get(path, 1)) for path in places)
+                for path, text in found:
+                    key = _hash(f"{path}\0{text}"), places[path]
+                    tokens[key] = tokens.get(key, 0) + 1
+                for (token, place), n in tokens.items():
+                    s = sums.setdefault((host, token, place), [0.0, 0.0])
+                    s[0] += weight
+                    s[1] += weight * n
+            rows = [(*key, *s) for key, s in sums.items()]
+            names = ("host", "token", "place", "pages", "n")
             yield dict(zip(names, zip(*rows))) if rows else {n: [] for n in names}
 
-    return map_batches(pages, run, "host string, token string, part long, pages long, size long")
+    return map_batches(pages, run, "host string, token long, place long, pages double, n double")
+
+
+def dropped(members: list[dict], n_pages: float) -> list[int]:
+    """What a template of ``n_pages`` pages drops, of its tokens (token, place, pages, n) on most pages."""
+    each = n_pages - 1e-6
+    once = {m["token"] for m in members if m["place"] is None and m["pages"] >= each and m["n"] <= n_pages + 1e-6}
+    return sorted({m["place"] for m in members if m["place"] in once})
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, slot: the extracted slot of each host's template (pages: host, key, html)."""
-    # 64-bit sums wrap; they are taken in two halves, whose sums do not overflow.
-    low = F.col("part").bitwiseAND(F.lit(0xFFFFFFFF))
-    high = F.shiftright("part", 32)
-    tokens = occurrences(pages).groupBy("host", "token").agg(
-        F.sum(low).alias("low"), F.sum(high).alias("high"), F.sum("pages").alias("pages"), F.sum("size").alias("size"))
-    vector = F.struct(F.pmod(F.col("low") + F.shiftleft(F.pmod("high", F.lit(1 << 31)), 32), F.lit((1 << 62) - 57)), "pages")
-    tokens = stage(tokens.withColumn("vector", vector), "tokens")
-    body = tokens.where(F.col("token").rlike(r"^(html[^/]*/)?body[^/]*$")).groupBy("host").agg(
-        F.max(F.struct("pages", "vector")).alias("top")).select("host", F.col("top.vector").alias("vector"))
-    members = tokens.join(body, ["host", "vector"]).groupBy("host").agg(
-        F.collect_list(F.struct("token", "size")).alias("members"))  # of one class: no longer than a page
+    """host, drop: what each host's template drops (pages: host, key, html); hosts with too few pages have none."""
+    # Repeated pages say nothing about a template: together they count as one.
+    copies = stage(pages.groupBy("host", "key").count().where("count > 1"), "copies")
+    weighted = pages.join(copies, ["host", "key"], "left").select(
+        "host", "html", (F.lit(1.0) / F.coalesce("count", F.lit(1))).alias("weight"))
+    sums = occurrences(weighted).groupBy("host", "token", "place").agg(F.sum("pages").alias("pages"), F.sum("n").alias("n"))
+    tokens = stage(sums.where(F.col("pages") > LEAST_PAGES - 0.5), "tokens")
+    whole = tokens.where((F.col("token") == PAGE) & F.col("place").isNull()).select("host", F.col("pages").alias("n_pages"))
+    members = tokens.join(whole, "host").where(F.col("pages") >= HOLDS * F.col("n_pages") - 1e-6)
+    members = members.groupBy("host").agg(F.first("n_pages").alias("n_pages"), F.collect_list(  # no longer than some pages
+        F.struct("token", "place", "pages", "n")).alias("members"))
 
     def run(batches):
         for b in batches:
-            slots = [choose_slot([(m["token"], m["size"]) for m in ms]) for ms in b.column("members").to_pylist()]
-            yield {"host": b.column("host"), "slot": slots}
+            drop = [dropped(ms, n) for ms, n in zip(b.column("members").to_pylist(), b.column("n_pages").to_pylist())]
+            yield {"host": b.column("host"), "drop": drop}
 
-    return map_batches(members, run, "host string, slot string")
+    return map_batches(members, run, "host string, drop array<long>").where(F.size("drop") > 0)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -249,12 +234,13 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     host, _ = host_and_path(F.col("url"))
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    slots = stage(templates(own.select("host", F.xxhash64("page_id", "html").alias("key"), "html")), "slots")
+    found = stage(templates(own.select("host", F.xxhash64("html").alias("key"), "html")), "templates")
 
     def run(batches):
         for b in batches:
-            texts = [main_text(p, s) for p, s in zip(b.column("html").to_pylist(), b.column("slot").to_pylist())]
+            drops = (d and frozenset(d) for d in b.column("drop").to_pylist())
+            texts = [main_text(p, d) for p, d in zip(b.column("html").to_pylist(), drops)]
             yield {"page_id": b.column("page_id"), "url": b.column("url"), "text": texts}
 
-    joined = own.join(slots, "host", "left").select(F.col("page_id").cast("long"), "url", "html", "slot")
+    joined = own.join(found, "host", "left").select(F.col("page_id").cast("long"), "url", "html", "drop")
     return map_batches(joined, run, "page_id long, url string, text string")

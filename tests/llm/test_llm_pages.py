@@ -58,6 +58,27 @@ def test_host_template_decides(spark):
     assert out[9] == "short\ntale" and out[3] == ("story 3 " * 20).strip() + "\nend 3"
 
 
+def texts(spark, rows):
+    frame = spark.createDataFrame([(k, u, p) for k, (u, p) in enumerate(rows)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_text.extract(frame).collect()}
+
+
+def test_no_block_outside_the_longest_container_is_lost(spark):
+    page = "<body><h1>Title {0}</h1><div class=content><h2>Part {0}</h2><p>{1}</p></div><div class=end><p>End {0}</p></div></body>"
+    out = texts(spark, [("http://h.org/", page.format(k, f"long {k} " * 50)) for k in range(5)] + [
+        ("http://one.org/", page.format(7, "long " * 50)),
+        ("http://h.org/", "<body><h1>Other</h1><div class=x><p>most</p></div><div class=content><p>in</p></div></body>")])
+    for k in range(5):
+        assert out[k] == f"Title {k}\nPart {k}\n" + (f"long {k} " * 50).strip() + f"\nEnd {k}"
+    assert out[5] == "Title 7\nPart 7\n" + ("long " * 50).strip() + "\nEnd 7" and out[6] == "Other\nmost\nin"
+
+
+def test_copies_are_no_template(spark):
+    page = "<body><h1>Title</h1><p>{}</p></body>"
+    out = texts(spark, [("http://h.org/", page.format("same"))] * 10 + [("http://h.org/", page.format(k)) for k in "ab"])
+    assert [out[k] for k in (0, 9, 10, 11)] == ["same", "same", "a", "b"]
+
+
 def test_page_edges(spark):
     rows = [(None, None, None), (1, None, PAGE), (2, "no scheme", ""), (3, "http://h", PAGE), (3, "http://h", PAGE)]
     frame = spark.createDataFrame([(*r, "a", "b") for r in rows], "page_id long, url string, html string, host string, slot string")
