@@ -6,7 +6,9 @@ token. How often a token occurs, and on how many pages, is added up by host
 before and after the shuffle, so no host's pages meet in one task. The class of
 tokens that occur once on every page are the host's template. A place of the
 template whose text is the same on nearly all pages is boilerplate; all that
-the template leaves variable, every slot with its headings, is the text.
+the template leaves variable, every slot with its headings, is the text. Named
+parts (menus, notices and the like) are left out of it, but by their class or id
+only if they enclose no article and not most of the host's text.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from overhaul.llm.urls import host_and_path
 
 HOLDS = 0.8  # share of a host's pages on which a text must be the same to be the template's
 LEAST_PAGES = 3  # different pages of a host, below which it has no template
+MOST = 0.5  # an element with more of the text is no boilerplate for its class or id alone
 PAGE = 0  # the token of a page itself
 
 # Fixed values of HTML.
@@ -70,64 +73,90 @@ def _tags(page: str):
 
 
 @lru_cache(maxsize=4096)
-def _element(name: str, rest: str) -> tuple[str, bool]:
-    """An element's name in paths, and whether it is left out."""
-    name, out, path = name.lower(), name.lower() in LEFT_OUT, name.lower()
+def _element(name: str, rest: str) -> tuple[str, str]:
+    """An element's name in paths, and what speaks for leaving it out: head, part, only a hint, or nothing ("")."""
+    name, path, hint = name.lower(), name.lower(), name.lower() == "form"
+    out = name in LEFT_OUT and not hint
     if rest.strip(" /\n\t"):
         for m in ATTRIBUTE.finditer(re.sub(r"(?<![\w-])(?!class|id|role|hidden|aria-hidden)[\w:-]+\s*=\s*(\"[^\"]*\"|'[^']*')", " ", rest, flags=re.I)):
             key, value = m[1].lower(), next((g for g in m.groups()[1:] if g is not None), "")
             if key in ("class", "id"):
-                out |= name not in ("html", "body", "article", "main") and bool(MARKS.search(value))
+                hint |= name not in ("html", "body", "article", "main") and bool(MARKS.search(value))
                 path += f".{value}" if key == "class" else f"#{value}" if not any(map(str.isdigit, value)) else ""
             elif key == "role":
-                out |= value.lower() in ROLES
+                hint |= value.lower() == "form"
+                out |= value.lower() in ROLES - {"form"}
             else:
                 out |= key == "hidden" or value.lower() == "true"
-    return path, out
+    return path, "head" if name == "head" else "part" if out else "hint" if hint else ""
 
 
 def blocks(page: str):
-    """(path, text) of each block outside the parts left out, and the count of every tag path.
+    """The blocks of a page outside the head, as (path, parts), the count of every tag path, and what may be left out.
 
-    A block is text between block tags; white space in it is one space.
+    A block is text between block tags; its parts are (marks, text), where the
+    marks are the numbers of the enclosing elements that may be left out. Of
+    each such element comes its path, whether an article or main lies in it,
+    and whether only its class, its id or its being a form speaks against it.
     """
-    stack: list[tuple[str, str, bool]] = []  # name, path, left out
+    stack: list[tuple[str, str, tuple[int, ...] | None]] = []  # name, path, marks; None in the head
     counts: dict[str, int] = {}
-    found: list[tuple[str, str]] = []
-    pending: list[str] = []
+    found: list[tuple[str, list[tuple[tuple[int, ...], str]]]] = []
+    marked: list[list] = []
+    pending: list[tuple[tuple[int, ...], str]] = []
     at = 0
 
     def flush():
         if pending:
-            text = WHITE.sub(" ", html.unescape("".join(pending))).strip()
-            if text:
-                found.append((stack[-1][1] if stack else "", text))
+            if any(text.strip() for _, text in pending):
+                found.append((stack[-1][1] if stack else "", pending.copy()))
             pending.clear()
 
     def close(to: int):
         flush()
         del stack[to:]
 
+    def add(text: str):
+        marks = stack[-1][2] if stack else ()
+        if marks is None:
+            return
+        if pending and pending[-1][0] == marks:
+            pending[-1] = marks, pending[-1][1] + text
+        else:
+            pending.append((marks, text))
+
+    def marks_of(path: str, out: str):
+        marks = stack[-1][2] if stack else ()
+        if not out or marks is None:
+            return marks
+        if out == "head":
+            return None
+        marked.append([path, False, out == "hint"])
+        return (*marks, len(marked) - 1)
+
     for m, then in _tags(page):
-        if m.start() > at and not (stack and stack[-1][2]):
-            pending.append(page[at:m.start()])
+        if m.start() > at:
+            add(page[at:m.start()])
         at = then
         name = m["name"]
         if name is None:
             continue
         name = name.lower()
         if name in RAW and not m["end"] and (then > m.end() or name in RAW_TO_END or m["rest"].endswith("/")):
-            pending.append(" ")
+            add(" ")
             continue
         if name in INLINE:
             # Inline elements do not nest the path; a left-out one hides its text.
             if m["end"]:
-                if stack and stack[-1][0] == name and stack[-1][2]:
+                if stack and stack[-1][0] == name:
                     stack.pop()
             elif name == "br":
-                pending.append(" ")
-            elif name not in VOID and m["rest"] and _element(name, m["rest"])[1]:
-                stack.append((name, stack[-1][1] if stack else "", True))
+                add(" ")
+            elif name not in VOID and m["rest"]:
+                label, out = _element(name, m["rest"])
+                if out:
+                    path = stack[-1][1] if stack else ""
+                    stack.append((name, path, marks_of(f"{path}/{label}", out)))
             continue
         if m["end"]:
             for k in range(len(stack) - 1, -1, -1):
@@ -147,81 +176,128 @@ def blocks(page: str):
         label, out = _element(name, m["rest"])
         path = f"{stack[-1][1]}/{label}" if stack else label
         counts[path] = counts.get(path, 0) + 1
+        if name in ("article", "main") and stack:
+            for k in stack[-1][2] or ():
+                marked[k][1] = True
         if not m["rest"].endswith("/"):
-            stack.append((name, path, out or bool(stack and stack[-1][2])))
-    if at < len(page) and not (stack and stack[-1][2]):
-        pending.append(page[at:])
+            stack.append((name, path, marks_of(path, out)))
+    if at < len(page):
+        add(page[at:])
     flush()
-    return found, counts
+    return found, counts, marked
+
+
+def _words(parts) -> str:
+    return WHITE.sub(" ", html.unescape("".join(text for _, text in parts))).strip()
+
+
+def _sizes(found, counts, marked) -> tuple[int, dict[str, int]]:
+    """The text of a page without article and main, and the text in each path that only a hint speaks against."""
+    if any(re.match(r"(article|main)\b", path.rpartition("/")[2]) for path in counts):
+        return 0, {}
+    whole, sizes = 0, {}
+    for _, parts in found:
+        for marks, text in parts:
+            if all(marked[k][2] for k in marks):
+                size = len(text.strip())
+                whole += size
+                for path in {marked[k][0] for k in marks}:
+                    sizes[path] = sizes.get(path, 0) + size
+    return whole, sizes
 
 
 def _hash(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")) - 2**63
 
 
-def main_text(page: str, drop: frozenset[int] | None) -> str:
-    """Text of all blocks but those that the template drops; all blocks if that would leave none."""
-    found, _ = blocks(page)
-    kept = [text for path, text in found if _hash(path) not in drop] if drop else []
-    return "\n".join(kept or [text for _, text in found])
+def _holding(sizes: dict[str, int], whole: int) -> set[int]:
+    return {_hash(path) for path, size in sizes.items() if size > MOST * whole}
+
+
+def main_text(page: str, template: tuple[frozenset[int], frozenset[int]] | None) -> str:
+    """Text of all blocks but the parts left out and those that the template (drop, keep) drops.
+
+    If that would leave none, the page is judged by itself. An element is not
+    left out if an article or main lies in it; without these on the page, a
+    hint leaves none out that holds most of the host's text.
+    """
+    found, counts, marked = blocks(page)
+    whole, sizes = _sizes(found, counts, marked)
+    for drop, keep in [*([template] if template else []), (frozenset(), _holding(sizes, whole))]:
+        stays = [main or (hint and whole > 0 and _hash(path) in keep) for path, main, hint in marked]
+        texts = [_words([p for p in parts if all(stays[k] for k in p[0])])
+                 for path, parts in found if not drop or _hash(path) not in drop]
+        if any(texts):
+            return "\n".join(text for text in texts if text)
+    return ""
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """host, token, place, pages, n: how many pages a token is on and how often, summed over each batch.
+    """host, token, place, pages, n, size: how many pages a token is on, how often, and the text in it, summed over each batch.
 
-    Tokens: the page itself (PAGE), each path that blocks lie at, and each
-    block's words at their path, which is the token's place. A page counts by
-    its weight.
+    Tokens: the page itself (PAGE), each path that blocks lie at or that may be
+    left out, and each block's words at their path, which is the token's place.
+    A page counts by its weight; sizes are summed where no article or main is.
     """
 
     def run(batches):
         for b in batches:
             sums: dict[tuple[str, int, int | None], list[float]] = {}
             for host, page, weight in zip(*(b.column(c).to_pylist() for c in ("host", "html", "weight"))):
-                found, counts = blocks(page)
-                places = {path: _hash(path) for path, _ in found}
-                tokens = {(PAGE, None): 1}
-                tokens.update(((places[path], None), counts.get(path, 1)) for path in places)
-                for path, text in found:
-                    key = _hash(f"{path}\0{text}"), places[path]
-                    tokens[key] = tokens.get(key, 0) + 1
-                for (token, place), n in tokens.items():
-                    s = sums.setdefault((host, token, place), [0.0, 0.0])
+                found, counts, marked = blocks(page)
+                whole, sizes = _sizes(found, counts, marked)
+                places = {path: _hash(path) for path in {path for path, _ in found} | sizes.keys()}
+                tokens = {(PAGE, None): (1, whole)}
+                tokens.update(((places[path], None), (counts.get(path, 1), sizes.get(path, 0))) for path in places)
+                for path, parts in found:
+                    key = _hash(f"{path}\0{_words(parts)}"), places[path]
+                    tokens[key] = tokens.get(key, (0, 0))[0] + 1, 0
+                for (token, place), (n, size) in tokens.items():
+                    s = sums.setdefault((host, token, place), [0.0, 0.0, 0.0])
                     s[0] += weight
                     s[1] += weight * n
+                    s[2] += weight * size
             rows = [(*key, *s) for key, s in sums.items()]
-            names = ("host", "token", "place", "pages", "n")
+            names = ("host", "token", "place", "pages", "n", "size")
             yield dict(zip(names, zip(*rows))) if rows else {n: [] for n in names}
 
-    return map_batches(pages, run, "host string, token long, place long, pages double, n double")
+    return map_batches(pages, run, "host string, token long, place long, pages double, n double, size double")
 
 
 def dropped(members: list[dict], n_pages: float) -> list[int]:
-    """What a template of ``n_pages`` pages drops, of its tokens (token, place, pages, n) on most pages."""
+    """What a template of ``n_pages`` pages drops, of its tokens (token, place, pages, n) on nearly all pages."""
+    members = [m for m in members if m["pages"] >= HOLDS * n_pages - 1e-6]
     each = n_pages - 1e-6
     once = {m["token"] for m in members if m["place"] is None and m["pages"] >= each and m["n"] <= n_pages + 1e-6}
     return sorted({m["place"] for m in members if m["place"] in once})
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, drop: what each host's template drops (pages: host, key, html); hosts with too few pages have none."""
+    """host, drop, keep: what each host's template drops, and what no hint leaves out (pages: host, key, html).
+
+    Hosts with too few pages have no template.
+    """
     # Repeated pages say nothing about a template: together they count as one.
     copies = stage(pages.groupBy("host", "key").count().where("count > 1"), "copies")
     weighted = pages.join(copies, ["host", "key"], "left").select(
         "host", "html", (F.lit(1.0) / F.coalesce("count", F.lit(1))).alias("weight"))
-    sums = occurrences(weighted).groupBy("host", "token", "place").agg(F.sum("pages").alias("pages"), F.sum("n").alias("n"))
-    tokens = stage(sums.where(F.col("pages") > LEAST_PAGES - 0.5), "tokens")
-    whole = tokens.where((F.col("token") == PAGE) & F.col("place").isNull()).select("host", F.col("pages").alias("n_pages"))
-    members = tokens.join(whole, "host").where(F.col("pages") >= HOLDS * F.col("n_pages") - 1e-6)
-    members = members.groupBy("host").agg(F.first("n_pages").alias("n_pages"), F.collect_list(  # no longer than some pages
-        F.struct("token", "place", "pages", "n")).alias("members"))
+    sums = occurrences(weighted).groupBy("host", "token", "place").agg(*(F.sum(n).alias(n) for n in ("pages", "n", "size")))
+    # An element on few pages can hold most of the text, words on few pages are not the template's.
+    tokens = stage(sums.where((F.col("pages") > LEAST_PAGES - 0.5) | (F.col("size") > 0)), "tokens")
+    whole = tokens.where((F.col("token") == PAGE) & F.col("place").isNull() & (F.col("pages") > LEAST_PAGES - 0.5)).select(
+        "host", F.col("pages").alias("n_pages"), F.col("size").alias("whole"))
+    members = tokens.where((F.col("token") != PAGE) | F.col("place").isNotNull()).join(whole, "host").where(
+        (F.col("pages") >= HOLDS * F.col("n_pages") - 1e-6) | (F.col("size") > MOST * F.col("whole")))
+    members = members.groupBy("host").agg(F.first("n_pages").alias("n_pages"), F.first("whole").alias("whole"), F.collect_list(
+        F.struct("token", "place", "pages", "n", "size")).alias("members"))  # no longer than some pages
 
     def run(batches):
         for b in batches:
-            drop = [dropped(ms, n) for ms, n in zip(b.column("members").to_pylist(), b.column("n_pages").to_pylist())]
-            yield {"host": b.column("host"), "drop": drop}
+            ms, n, whole = (b.column(c).to_pylist() for c in ("members", "n_pages", "whole"))
+            yield {"host": b.column("host"), "drop": [dropped(m, k) for m, k in zip(ms, n)],
+                   "keep": [[x["token"] for x in m if x["size"] > MOST * w] for m, w in zip(ms, whole)]}
 
-    return map_batches(members, run, "host string, drop array<long>").where(F.size("drop") > 0)
+    return map_batches(members, run, "host string, drop array<long>, keep array<long>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -238,9 +314,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            drops = (d and frozenset(d) for d in b.column("drop").to_pylist())
-            texts = [main_text(p, d) for p, d in zip(b.column("html").to_pylist(), drops)]
+            columns = (b.column(c).to_pylist() for c in ("html", "drop", "keep"))
+            texts = [main_text(p, None if d is None else (frozenset(d), frozenset(k))) for p, d, k in zip(*columns)]
             yield {"page_id": b.column("page_id"), "url": b.column("url"), "text": texts}
 
-    joined = own.join(found, "host", "left").select(F.col("page_id").cast("long"), "url", "html", "drop")
+    joined = own.join(found, "host", "left").select(F.col("page_id").cast("long"), "url", "html", "drop", "keep")
     return map_batches(joined, run, "page_id long, url string, text string")

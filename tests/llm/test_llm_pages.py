@@ -73,6 +73,22 @@ def test_no_block_outside_the_longest_container_is_lost(spark):
     assert out[5] == "Title 7\nPart 7\n" + ("long " * 50).strip() + "\nEnd 7" and out[6] == "Other\nmost\nin"
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<div class="content-sidebar-wrap"><article><p>a</p></article><div class="sidebar">s</div></div>', "a"),
+    ('<div class="layout has-sidebar"><p>the text of the page</p><div class="sidebar">s</div></div>', "the text of the page"),
+    ('<body><form id="f"><div class="no-sidebar"><h1>h</h1><main>b</main></div></form><div class="share">s</div>', "h\nb"),
+    ('<p>hello <span class="share">no</span> world<div hidden><div class="page-header-fixed">x</div></div>', "hello world"),
+])
+def test_wrappers_with_marked_names(page, text):
+    assert html_text.main_text(page, None) == text
+
+
+def test_hosts_decide_on_marked_names(spark):
+    page = "<body><div class='has-sidebar'><p>{0} a long text of the host</p></div><div class='comments'><p>{1}</p></div></body>"
+    out = texts(spark, [("http://h.org/", page.format(k, "hey " * (30 if k == 4 else 1))) for k in range(9)])
+    assert all(out[k] == f"{k} a long text of the host" for k in range(9))
+
+
 def test_copies_are_no_template(spark):
     page = "<body><h1>Title</h1><p>{}</p></body>"
     out = texts(spark, [("http://h.org/", page.format("same"))] * 10 + [("http://h.org/", page.format(k)) for k in "ab"])
