@@ -4,8 +4,9 @@ Tokens are the tag paths of a page (element names with class and id, from the
 root) and the words of each block at their path, a block's words being one
 token. How often a token occurs, and on how many pages, is added up by host
 before and after the shuffle, so no host's pages meet in one task. The class of
-tokens that occur once on every page are the host's template. A place of the
-template whose text is the same on nearly all pages is boilerplate; all that
+tokens that occur once on every page are the host's template. Words that stand
+at the same path on nearly all pages are boilerplate, and so is all else that
+lies directly at a place of the template with such words; all that
 the template leaves variable, every slot with its headings, is the text. Named
 parts (menus, notices and the like) are left out of it, but by their class or id
 only if they enclose no article and not most of the host's text.
@@ -225,8 +226,8 @@ def main_text(page: str, template: tuple[frozenset[int], frozenset[int]] | None)
     whole, sizes = _sizes(found, counts, marked)
     for drop, keep in [*([template] if template else []), (frozenset(), _holding(sizes, whole))]:
         stays = [main or (hint and whole > 0 and _hash(path) in keep) for path, main, hint in marked]
-        texts = [_words([p for p in parts if all(stays[k] for k in p[0])])
-                 for path, parts in found if not drop or _hash(path) not in drop]
+        texts = [_words([p for p in parts if all(stays[k] for k in p[0])]) for path, parts in found
+                 if not drop or _hash(path) not in drop and _hash(f"{path}\0{_words(parts)}") not in drop]
         if any(texts):
             return "\n".join(text for text in texts if text)
     return ""
@@ -269,7 +270,8 @@ def dropped(members: list[dict], n_pages: float) -> list[int]:
     members = [m for m in members if m["pages"] >= HOLDS * n_pages - 1e-6]
     each = n_pages - 1e-6
     once = {m["token"] for m in members if m["place"] is None and m["pages"] >= each and m["n"] <= n_pages + 1e-6}
-    return sorted({m["place"] for m in members if m["place"] in once})
+    words = [m for m in members if m["place"] is not None]
+    return sorted({m["token"] for m in words} | {m["place"] for m in words if m["place"] in once})
 
 
 def templates(pages: DataFrame) -> DataFrame:

@@ -89,6 +89,14 @@ def test_hosts_decide_on_marked_names(spark):
     assert all(out[k] == f"{k} a long text of the host" for k in range(9))
 
 
+def test_repeated_words_inside_the_slot_are_dropped(spark):
+    page = ("<body><article><h1>T {0}</h1><div class=x7>Call us now</div><ul class=m3><li>Start<li>Shop</ul>"
+            "<p>story {0}</p><p>All rights by us</p><p>more {0}</p></article></body>")
+    out = texts(spark, [("http://h.org/", page.format(k)) for k in range(6)] + [("http://two.org/", page.format(k)) for k in (6, 7)])
+    assert all(out[k] == f"T {k}\nstory {k}\nmore {k}" for k in range(6))
+    assert "Call us now" in out[6]  # two pages are no template
+
+
 def test_copies_are_no_template(spark):
     page = "<body><h1>Title</h1><p>{}</p></body>"
     out = texts(spark, [("http://h.org/", page.format("same"))] * 10 + [("http://h.org/", page.format(k)) for k in "ab"])
