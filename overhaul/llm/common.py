@@ -106,6 +106,15 @@ def _stage_root(spark: SparkSession) -> str:
     return f"{_shared_folder(spark)}/overhaul-llm-{spark.sparkContext.applicationId}"
 
 
+def unstage(df: DataFrame) -> None:
+    """Delete the folder of a frame that ``stage`` gave (with columns added or not), which nothing reads any more."""
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = hadoop(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete what ``stage`` wrote in this application, once results are stored."""
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stage_root(spark))

@@ -4,7 +4,8 @@ A rule fits its host and all subdomains; the longest that fits decides. Pages
 without a rule are judged by their host: trust starts at hosts whose pages the
 rules allow and follows links; distrust starts at hosts whose pages they block
 and runs against the links (who links to a bad host is less trusted). Both are
-personalised PageRanks, computed in rounds of joins over host edges.
+personalised PageRanks, computed in rounds of joins over host edges until no
+host's score changes by more than a tiny share of itself.
 
 Edges are links between hosts in the pages, and the tie between a host and its
 parent domain when both have pages.
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from overhaul.llm.common import stage
+from overhaul.llm.common import stage, unstage
 
 # The production rules (verdict, host, path).
 RULES = [
@@ -26,7 +27,9 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 DAMPING = 0.85
-ROUNDS = 12  # the rest of a walk after these has a weight of 0.85 ** 12
+ROUNDS = 100  # no cap: a walk has weight 0.85 ** 100 left after these, and that share of a score is the tolerance
+TOLERANCE = DAMPING ** ROUNDS
+STEPS = 8  # rounds between two looks at the scores
 # A host is blocked from this share of distrust in trust and distrust together.
 BLOCK_SHARE = 0.5
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
@@ -78,7 +81,9 @@ def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """host, trust, distrust from seeds (host, trust, distrust) over edges (a, b, n).
 
     Trust follows an edge in proportion to its count among those that leave,
-    distrust runs back in proportion among those that arrive.
+    distrust runs back in proportion among those that arrive. Rounds go on until
+    none adds more than TOLERANCE of its new score to any host's trust or
+    distrust, so also until no further host is reached.
     """
     leave = edges.groupBy("a").agg(F.sum("n").alias("total"))
     arrive = edges.groupBy("b").agg(F.sum("n").alias("total"))
@@ -91,14 +96,24 @@ def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
         F.struct(F.lit("distrust").alias("kind"), F.col("distrust").alias("score")))).alias("s")).select("host", "s.kind", "s.score")
     start = stage(start.where("score > 0").withColumn("score", F.col("score") * (1 - DAMPING)), "seeds")
     moves = stage(moves, "moves")
-    scores, walk = start, start
-    if not moves.isEmpty():
-        for _ in range(ROUNDS):
-            walk = stage(walk.join(moves, ["host", "kind"]).groupBy(F.col("to").alias("host"), "kind").agg(
-                (F.sum(F.col("score") * F.col("share")) * DAMPING).alias("score")), "walk")
-            scores = scores.unionByName(walk)
-            if walk.isEmpty():
-                break
+    # walk is what the last round has added to the score. A host without a move stays: each round takes the
+    # scores along by a join with moves and stays, so rounds can follow each other in one plan.
+    scores = start.withColumn("walk", F.col("score"))
+    more = not moves.isEmpty()
+    if more:
+        stays = moves.select("host", "kind").unionByName(moves.select(F.col("to").alias("host"), "kind")).unionByName(
+            start.select("host", "kind")).distinct().withColumns({"to": F.col("host"), "share": F.lit(None).cast("double")})
+        moves = stage(moves.unionByName(stays), "steps")
+    while more:
+        before = scores
+        for _ in range(STEPS):
+            step = F.coalesce(F.col("walk") * F.col("share") * DAMPING, F.lit(0.0))
+            scores = scores.join(moves, ["host", "kind"]).where("share IS NULL OR walk > 0").select(
+                F.col("to").alias("host"), "kind", F.when(F.col("share").isNull(), F.col("score")).otherwise(step).alias("score"),
+                step.alias("walk")).groupBy("host", "kind").agg(F.sum("score").alias("score"), F.sum("walk").alias("walk"))
+        scores = stage(scores, "scores")
+        unstage(before)
+        more = not scores.where(F.col("walk") > TOLERANCE * F.col("score")).isEmpty()
     both = scores.groupBy("host").agg(*(
         F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")))
     return both

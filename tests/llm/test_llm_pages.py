@@ -179,3 +179,23 @@ def test_links_carry_distrust_against_their_direction(spark):
             (3, "http://good.com/1", "<a href='https://nice.org/'>"), (4, "http://nice.org/2", ""), (5, "http://alone.org/", None)]
     out = {r.page_id: r.verdict for r in urls.filter_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
+
+
+def test_propagation_solves_the_linear_system(spark):
+    import numpy as np
+
+    names = [f"h{k:02}" for k in range(22)]
+    edges = [(names[k], names[k + 1], 1) for k in range(19)] + [("h20", "h21", 2), ("h21", "h20", 1), ("h20", "h03", 1)]
+    seeds = {"h19": (0.0, 1.0), "h20": (1.0, 0.0), "h00": (0.0, 0.0)}
+    at, share = {n: k for k, n in enumerate(names)}, np.zeros((22, 22))
+    for a, b, n in edges:
+        share[at[a], at[b]] = n
+    got = {r.host: (r.trust, r.distrust) for r in urls.propagate(
+        spark.createDataFrame([(k, *v) for k, v in seeds.items()], "host string, trust double, distrust double"),
+        spark.createDataFrame(edges, "a string, b string, n long")).collect()}
+    for kind, m in enumerate((share, share.T)):
+        start = np.array([seeds.get(n, (0.0, 0.0))[kind] for n in names]) * (1 - urls.DAMPING)
+        total = m.sum(axis=1, keepdims=True)
+        exact = np.linalg.solve(np.eye(22) - urls.DAMPING * np.divide(m, total, where=total > 0, out=np.zeros_like(m)).T, start)
+        assert [got.get(n, (0, 0))[kind] for n in names] == pytest.approx(list(exact), rel=1e-5, abs=0)
+    assert got["h00"][1] > 0 and got["h00"][0] == 0  # 19 links before the blocked host
