@@ -9,6 +9,7 @@ work is done by built-in SQL functions.
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -135,6 +136,59 @@ TEXTS = [
     ("BSD-3-Clause", f"BSD 3-Clause License\n\nCopyright (c) the authors\n\n{BSD_TERMS}\n\n{BSD_NAMES}\n\n{BSD_DISCLAIMER}"),
 ]
 
+# The headings that a text goes by; it is known under each of them and under none.
+HEADINGS = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "ISC"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License", "0BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License",
+                     "Modified BSD License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+# Long texts are files of licence_texts; where the body of each begins, and where what may follow it does.
+FILES = {
+    "Apache-2.0": ("1. Definitions.", "END OF TERMS AND CONDITIONS"),
+    "GPL-2.0": ("Preamble", "END OF TERMS AND CONDITIONS"),
+    "GPL-3.0": ("Preamble", "END OF TERMS AND CONDITIONS"),
+    "LGPL-2.1": ("Preamble", "END OF TERMS AND CONDITIONS"),
+    "LGPL-3.0": ("This version of the GNU Lesser", None),
+    "MPL-2.0": ("1. Definitions", "Exhibit A - Source Code Form"),
+    "Unlicense": ("This is free and unencumbered", None),
+}
+# A text whose paragraphs are all in another's too: copies of the other are none of it.
+WITHIN = {"BSD-3-Clause": "BSD-2-Clause"}
+PARAGRAPHS = r"\n[ \t\r]*\n\s*"
+
+
+def bodies() -> list[tuple[str, str]]:
+    """(licence, text) of each whole licence, without heading, copyright lines on top, and appendix."""
+    out = [(name, text.split("\n\n", 2)[2]) for name, text in TEXTS]
+    granted, disclaimed = dict(out)["ISC"].split("\n\n")
+    out.append(("0BSD", granted[:granted.index(",\nprovided that")] + ".\n\n" + disclaimed))
+    for name, (first, end) in FILES.items():
+        text = _file(name)
+        out.append((name, text[text.index(first):text.rindex(end) if end else None].strip()))
+    return out
+
+
+def _file(name: str) -> str:
+    with open(os.path.join(os.path.dirname(__file__), "licence_texts", f"{name}.txt"), encoding="utf-8") as f:
+        return f.read()
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the whole licences in all their forms: with each heading and none, files with and without appendix."""
+    out = [(name, f"{heading}\n\n{text}") for name, text in bodies() for heading in ["", *HEADINGS.get(name, [])]]
+    for name, (_, end) in FILES.items():
+        text = _file(name)
+        out.append((name, text))
+        if end:
+            cut = text.rindex(end)
+            out += [(name, text[:cut]), (name, text[:cut] + (end if end.startswith("END") else ""))]
+    return out
+
+
 # Patterns of the canonical form, in the order they are applied to lower-case text.
 COPYRIGHT_LINE = r"(?m)^[ \t*#/;%>-]*(?:copyright|\(c\)|©)[^\n]*$"
 RESERVED_LINE = r"(?m)^[ \t*#/;%>-]*all rights reserved[ \t.]*$"
@@ -158,10 +212,32 @@ def canonical(text: Column) -> Column:
 
 def known_licences(spark: SparkSession) -> DataFrame:
     """licence, digest of the built-in texts and notices."""
-    known = spark.createDataFrame(NOTICES + TEXTS, "licence string, text string")
+    known = spark.createDataFrame(NOTICES + TEXTS + whole_texts(), "licence string, text string")
     return known.select("licence", F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("digest")).distinct()
 
 
+def known_bodies(spark: SparkSession) -> DataFrame:
+    """licence, digest, size: the paragraphs of each whole licence's body, and how many it has."""
+    known = spark.createDataFrame([*bodies()], "licence string, text string")
+    parts = known.select("licence", F.explode(F.split("text", PARAGRAPHS)).alias("unit"))
+    parts = parts.select("licence", canonical(F.col("unit")).alias("form")).where("form <> ''").select("licence", F.sha2(F.col("form").cast("binary"), 256).alias("digest")).distinct()
+    return parts.join(parts.groupBy("licence").agg(F.count("*").alias("size")), "licence")
+
+
+def _whole_bodies(digests: DataFrame) -> DataFrame:
+    """doc_id, licence, n: the paragraphs of licences whose bodies are there as a whole, n of them."""
+    same = digests.where("kind = 'paragraph'").join(F.broadcast(known_bodies(digests.sparkSession)), "digest")
+    same = same.groupBy("doc_id", "licence", "size", "digest").agg(F.count("*").alias("copies"))
+    whole = same.groupBy("doc_id", "licence", "size").agg(F.count("*").alias("found"), F.min("copies").alias("copies"))
+    whole = whole.where("found = size").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(  # of a few licences
+        F.struct("licence", F.struct("size", "copies")))).alias("whole"))
+    for outer, inner in WITHIN.items():
+        fewer = F.col(f"whole.`{inner}`.copies") - F.coalesce(F.col(f"whole.`{outer}`.copies"), F.lit(0))
+        whole = whole.withColumn("whole", F.map_filter("whole", lambda k, v: (k != inner) | (fewer > 0)))
+    return whole.select("doc_id", F.explode("whole").alias("licence", "v")).select(
+        "doc_id", "licence", (F.col("v.size") * F.col("v.copies")).alias("n"))
+
+
 def _hinted(text: Column, hints) -> Column:
     low = F.lower(text)
     return reduce(lambda a, b: a | b, [F.contains(low, F.lit(h)) for h in hints])
@@ -173,25 +249,35 @@ def scan(docs: DataFrame, known: DataFrame | None = None, hints: tuple[str, ...]
     Pass other ``known`` licences (licence, digest) with their own ``hints``: lower-case
     strings one of which every spelling of a known text holds (("",) for none).
     whole_text says that the document is nothing but that licence; the counts
-    say how many of its paragraphs and lines are. A document without any has no
+    say how many of its paragraphs and lines are. Where the body paragraphs of a
+    built-in licence are all in a document that holds more, they are counted as
+    its paragraphs. A document without any has no
     row, nor has a null or empty text. A null doc_id is carried, its rows are
     counted together; repeated rows add up. Other columns are ignored, whatever
     their names; an empty table gives an empty table.
     """
     # The built-in table has a fixed size, so each task gets a copy; another is joined as Spark finds best.
-    known = F.broadcast(known_licences(docs.sparkSession)) if known is None else known
+    own = known is None
+    known = F.broadcast(known_licences(docs.sparkSession)) if own else known
     units = docs.where(_hinted(F.col("text"), hints)).select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.concat(
         F.array(F.struct(F.lit("text").alias("kind"), F.col("text").alias("unit"))),
-        F.transform(F.split("text", r"\n[ \t\r]*\n\s*"), lambda p: F.struct(F.lit("paragraph").alias("kind"), p.alias("unit"))),
+        F.transform(F.split("text", PARAGRAPHS), lambda p: F.struct(F.lit("paragraph").alias("kind"), p.alias("unit"))),
         F.transform(F.split("text", "\n"), lambda p: F.struct(F.lit("line").alias("kind"), p.alias("unit"))),
-    )).alias("part")).where(_hinted(F.col("part.unit"), hints))
+    )).alias("part"))
+    # Paragraphs of a known body need hold none of the strings, only the document does.
+    hinted = _hinted(F.col("part.unit"), hints)
+    units = units.where(hinted | (F.col("part.kind") == "paragraph") if own else hinted)
     form = canonical(F.col("part.unit"))
     digests = units.select("doc_id", "part.kind", F.sha2(form.cast("binary"), 256).alias("digest"))
-    found = digests.join(known, "digest")
+    found = digests.join(known, "digest").select("doc_id", "licence", "kind", F.lit(1).cast("long").alias("n"))
+    if own:
+        found = found.unionByName(_whole_bodies(digests).select("doc_id", "licence", F.lit("body").alias("kind"), "n"))
+    whole = F.max(F.col("kind") == "text")
+    count = {k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).cast("long") for k in ("paragraph", "line", "body")}
     return found.groupBy("doc_id", "licence").agg(
-        F.max(F.col("kind") == "text").alias("whole_text"),
-        F.sum(F.when(F.col("kind") == "paragraph", 1).otherwise(0)).cast("long").alias("n_paragraphs"),
-        F.sum(F.when(F.col("kind") == "line", 1).otherwise(0)).cast("long").alias("n_lines"))
+        whole.alias("whole_text"),
+        (count["paragraph"] + F.when(whole, 0).otherwise(count["body"])).cast("long").alias("n_paragraphs"),
+        count["line"].alias("n_lines"))
 
 
 def _quoted(text: str) -> str:

@@ -35,6 +35,23 @@ def test_every_operator_has_one_query():
 # --- licences
 
 
+def test_whole_licences_in_all_forms_and_among_other_text(spark):
+    texts = dict(licenses.bodies())
+    rows = [(name, text) for name, text in licenses.whole_texts()]
+    docs = [(k, text, name) for k, (name, text) in enumerate(rows)]
+    docs += [(1000 + k, f"Readme\n\nCopyright 2020 x\n\n{text}\n\nContact us.", name) for k, (name, text) in enumerate(texts.items())]
+    docs += [(2000, texts["MIT"].replace("as is", "").rpartition("\n\n")[0], None), (2001, "x\n\n" + "\n\n".join(
+        [texts["BSD-3-Clause"], texts["BSD-2-Clause"], texts["MIT"]]), None)]
+    out = {}
+    for r in licenses.scan(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")).collect():
+        out.setdefault(r.doc_id, {})[r.licence] = (r.whole_text, r.n_paragraphs > 0)
+    for k, _, name in docs:
+        if k < 2000:
+            assert out[k] == {name: (k < 1000, k >= 1000)}, (k, name)
+    assert 2000 not in out and out[2001] == {n: (False, True) for n in ("BSD-3-Clause", "BSD-2-Clause", "MIT")}
+
+
+
 def test_licences(spark, docs, odd_docs, no_docs):
     mit = licenses.MIT.replace("the authors", "2020 Somebody & Co.").replace("sublicense", "sub-license").upper()
     rows = [(1, mit), (2, "Intro\n\nreleased under the  M.I.T... licence"), (3, "x\nReleased under the MIT licence!\n\ny"),
