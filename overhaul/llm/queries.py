@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from overhaul.llm import bpe, chat, html_text, licenses, near_dedup, packing, quality, search, substring_dedup, urls
+from overhaul.llm import (
+    bpe, bpe_sql, chat, html_text, licenses, merkle, near_dedup, packing, prefix_trie, quality, search, substring_dedup, urls,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +71,28 @@ def op10_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset", "sequence_length")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations")).drop("id", "parent_id")
+
+
+def op12_bpe_by_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    tokens = bpe_sql.decode(bpe_sql.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    return tokens.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proven = merkle.prove(merkle.with_leaves(table(spark, sf_dir, "documents")), "source", ["doc_id"])
+    return proven.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), merkle.fold("held").alias("folded_root"),
+    ).withColumn("verified", F.expr("folded_root = root"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -80,6 +104,9 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_license_scan": op9_license_scan,
     "op10_pack_windows": op10_pack_windows,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_bpe_by_queries": op12_bpe_by_queries,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 # The others cannot be expressed in SQL; tests/llm holds brute-force versions of them.
 ORACLES = {
@@ -87,4 +114,6 @@ ORACLES = {
     "op4_bm25_top10": search.ORACLE,
     "op7_near_dedup": near_dedup.ORACLE,
     "op9_license_scan": licenses.oracle(),
+    "op11_prefix_trie": prefix_trie.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }
