@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 
 from overhaul.llm.common import map_batches
 
-SLICE = 1 << 22  # characters (or ids) handled by one query, unless a single text is longer
+SLICE = 1 << 21  # characters (or ids) handled by one query, unless a single text is longer
 SHORT = 64  # bytes from which a word counts as long
-WORD_BYTES = 1 << 20  # bytes of new words in one recursive query, unless a single word is longer
-STEP_ROWS = 1 << 22  # token rows that the steps of one recursive query may keep
-KNOWN = 1_000_000  # words whose ids a task remembers
+WORD_BYTES = 1 << 19  # bytes of new words in one recursive query, unless a single word is longer
+STEP_ROWS = 1 << 21  # token rows that the steps of one recursive query may keep
+KNOWN = 300_000  # words whose ids a task remembers
 
 # A step contracts the leftmost pair of least rank of every unfinished word; places count a word's tokens.
 CONTRACT = """
@@ -110,13 +110,17 @@ class Coder:
 
         self.ranks, self.pattern = read_ranks(path), regex.compile(unicode_pattern(pattern))
         self.db = duckdb.connect(":memory:", config={"threads": 1, "temp_directory": ""})
+        self._table("vocabulary", id=np.array(list(self.ranks.values()), np.int32), bytes=pa.array(list(self.ranks), pa.binary()))
+        self.letters = None
+        self.forget()
+
+    def _prepare(self) -> None:
+        """What only encoding needs: the ids of single bytes, and the merge table."""
         self.letters = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(a << 32 | b, rank) for token, rank in self.ranks.items() for cut in range(1, len(token))
                  if (a := self.ranks.get(token[:cut])) is not None and (b := self.ranks.get(token[cut:])) is not None]
         keys, ranks = (np.array(x, np.int64) for x in (zip(*pairs) if pairs else ((), ())))
         self._table("merges", left_right=keys, rank=ranks.astype(np.int32))
-        self._table("vocabulary", id=np.array(list(self.ranks.values()), np.int32), bytes=pa.array(list(self.ranks), pa.binary()))
-        self.forget()
 
     def _table(self, name: str, **columns) -> None:
         self.db.register("given", pa.table(columns))
@@ -156,6 +160,8 @@ class Coder:
 
     def _merge(self, query: str, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word; every round of the loop goes on from the last step that the round before could keep."""
+        if self.letters is None:
+            self._prepare()
         length = np.array([len(w) for w in words])
         word = np.repeat(np.arange(len(words), dtype=np.int32), length)
         place = (np.arange(len(word)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)

@@ -33,6 +33,7 @@ def encoded(coder, texts):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
 def test_every_token_is_its_own_encoding(name):
     coder = bpe_sql.Coder(P.path(name), P.PATTERN)
+    coder._prepare()
     ranks, coder.ranks = coder.ranks, {}
     tokens = list(ranks)
     for query in (bpe_sql.CONTRACT, bpe_sql.CONTRACT_LONG):
