@@ -49,6 +49,22 @@ def in_days(col, begin=None, end=None) -> Column | None:
     return reduce(and_, preds) if preds else None
 
 
+def in_months(df: DataFrame, begin=None, end=None) -> DataFrame:
+    """``df`` cut to the months that [begin, end] touches, if it is laid out by ``month`` (199901); else ``df``.
+
+    The condition is on the partition column itself, so the files of other
+    months are neither listed for the scan nor opened.
+    """
+    if "month" not in df.columns:
+        return df
+    b, e = day_of(begin), day_of(end)
+    if b is not None:
+        df = df.where(F.col("month") >= b.year * 100 + b.month)
+    if e is not None:
+        df = df.where(F.col("month") <= e.year * 100 + e.month)
+    return df
+
+
 def before_day(col, day) -> Column:
     """date(col) < day."""
     d = day_of(day)

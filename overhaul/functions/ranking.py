@@ -24,9 +24,13 @@ from overhaul.functions.joins import split_join
 from overhaul.session import materialize
 
 
-def row_numbers(df: DataFrame, order: list[str | Column], out: str = "_row") -> DataFrame:
-    tagged = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order)
-                         .withColumn("_pid", F.spark_partition_id())
+def number_as_returned(df: DataFrame, out: str = "position") -> DataFrame:
+    """``df`` with each row's number (from 0) in the order in which ``df`` returns its rows.
+
+    No sort is added: what comes out of the partitions, one after the other, is
+    counted. So the numbers also show whether a sorted result really is sorted.
+    """
+    tagged = materialize(df.withColumn("_pid", F.spark_partition_id())
                          .withColumn("_mid", F.monotonically_increasing_id()), "rows")
     offsets = (tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
                .select("_pid", F.sum("_n").over(Window.orderBy("_pid")
@@ -37,6 +41,10 @@ def row_numbers(df: DataFrame, order: list[str | Column], out: str = "_row") ->
             .drop("_pid", "_mid", "_before"))
 
 
+def row_numbers(df: DataFrame, order: list[str | Column], out: str = "_row") -> DataFrame:
+    return number_as_returned(df.repartitionByRange(*order).sortWithinPartitions(*order), out)
+
+
 def positions_within(df: DataFrame, groups: list[str], order: list[str | Column],
                      out: str = "position") -> DataFrame:
     """0-based position of each row inside its group, in ``order``."""

@@ -33,7 +33,7 @@ def _row_ref(table: str) -> str:
     return "concat_ws(':', cast(order_id as string), cast(order_line as string))"
 
 
-def _money_too_large(df: DataFrame, name: str) -> str | None:
+def money_too_large(df: DataFrame, name: str) -> str | None:
     """numeric(10,2) test for one column; None when its type cannot violate."""
     dtype = df.schema[name].dataType
     if isinstance(dtype, T.DecimalType) and dtype.precision - dtype.scale <= MONEY.precision - MONEY.scale:
@@ -55,7 +55,7 @@ def row_violations(df: DataFrame, table: str) -> DataFrame | None:
         if not f.nullable:
             checks.append((f"{_q(f.name)} is null", "not_null", f.name))
         if f.dataType == MONEY:
-            bad = _money_too_large(df, f.name)
+            bad = money_too_large(df, f.name)
             if bad is not None:
                 checks.append((bad, "numeric_10_2", f.name))
     if not checks:

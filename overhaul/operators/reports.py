@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from overhaul.functions.filters import day_of, in_days, where_all
+from overhaul.functions.filters import day_of, in_days, in_months, where_all
 from overhaul.functions.idlists import summarize_with_id_lists
 from overhaul.functions.joins import split_join
 from overhaul.functions.money import (
@@ -32,9 +32,9 @@ def executed_works(t: Tables, begin=None, end=None) -> DataFrame:
     service is missing are kept (outer joins) unless a date filter removes
     them.
     """
-    lines = t["order_services"].select("order_id", "service_id", "price", "quantity")
+    lines = in_months(t["order_services"], begin, end).select("order_id", "service_id", "price", "quantity")
     days = in_days("order_date", begin, end)
-    orders = t["orders"].select(F.col("order_id").alias("o_order_id"), "order_date", "percent_off")
+    orders = in_months(t["orders"], begin, end).select(F.col("order_id").alias("o_order_id"), "order_date", "percent_off")
     services = t["services"].select("service_id", "service_name")
     joined = (lines.join(orders, lines["order_id"] == orders["o_order_id"], "left")
               .join(services, "service_id", "left"))
@@ -67,8 +67,8 @@ def executed_work_ids(t: Tables, begin=None, end=None) -> DataFrame:
 
     No group is gathered anywhere, whatever its size.
     """
-    lines = t["order_services"].select("order_id", "service_id")
-    orders = where_all(t["orders"], in_days("order_date", begin, end)).select("order_id")
+    lines = in_months(t["order_services"], begin, end).select("order_id", "service_id")
+    orders = where_all(in_months(t["orders"], begin, end), in_days("order_date", begin, end)).select("order_id")
     named = t["services"].select("service_id", "service_name")
     return (lines.join(orders, "order_id").join(named, "service_id", "left")
             .select("service_name", "order_id").distinct())
@@ -94,27 +94,39 @@ def materials_using(t: Tables, begin, end, only_available: bool = False) -> Data
     aggregation computes the four sums and both id lists per material, then
     a single full outer join attaches the catalogue. With ``only_available``
     only materials with a positive closing balance remain.
+
+    Tables of a store (``sources.store``) come with the sums of each month's
+    movements: then months before ``begin`` are read as sums, one row for each
+    material and part, and single movements from the first of that month on.
     """
     b, e = day_of(begin), day_of(end)
     if b is None or e is None:
         raise ValueError("materials_using needs both begin and end")
-    p = t["purchases"]
-    incoming = p.where(in_days("purchase_date", None, e)).select(
+    summed = "purchase_sums" in t
+    since = b.replace(day=1) if summed else None  # movements before it come as sums
+    p = in_months(t["purchases"], since, e)
+    incoming = p.where(in_days("purchase_date", since, e)).select(
         "material_id", F.col("purchase_date").alias("ts"), "quantity",
         F.lit(True).alias("is_in"), F.col("purchase_id").alias("ref_id"))
-    orders = t["orders"].where(in_days("order_date", None, e)).select("order_id", "order_date")
-    om = t["order_materials"].select("order_id", "material_id", "quantity")
+    orders = in_months(t["orders"], since, e).where(in_days("order_date", since, e)).select("order_id", "order_date")
+    om = in_months(t["order_materials"], since, e).select("order_id", "material_id", "quantity")
     outgoing = om.join(orders, "order_id").select(
         "material_id", F.col("order_date").alias("ts"), "quantity",
         F.lit(False).alias("is_in"), F.col("order_id").alias("ref_id"))
     moves = incoming.unionByName(outgoing)
+    if summed:
+        for name, is_in in (("purchase_sums", True), ("material_sums", False)):
+            before = t[name].where((F.col("month") > 0) & (F.col("month") < since.year * 100 + since.month))
+            moves = moves.unionByName(before.select(
+                "material_id", F.lit(dt.datetime(1, 1, 1)).cast("timestamp_ntz").alias("ts"), "quantity",
+                F.lit(is_in).alias("is_in"), F.lit(None).cast("long").alias("ref_id")))
 
     # Conditions on the movement kind and day, as SQL text for the aggregates.
     b_lit, e_next = f"timestamp_ntz'{b} 00:00:00'", f"timestamp_ntz'{e + dt.timedelta(days=1)} 00:00:00'"
     cond = {"in_before": f"is_in and ts < {b_lit}", "out_before": f"not is_in and ts < {b_lit}",
             "in_during": f"is_in and ts >= {b_lit} and ts < {e_next}",
             "out_during": f"not is_in and ts >= {b_lit} and ts < {e_next}"}
-    sums = summarize_with_id_lists(
+    totals = summarize_with_id_lists(
         moves, ["material_id"],
         [("incoming_sum_begin", "sum", f"case when {cond['in_before']} then quantity end"),
          ("outgoing_sum_begin", "sum", f"case when {cond['out_before']} then quantity end"),
@@ -128,7 +140,7 @@ def materials_using(t: Tables, begin, end, only_available: bool = False) -> Data
          "order_ids": f"case when {cond['out_during']} then ref_id end"},
     )
     mats = t["materials"].select("material_id", "material_name", F.lit(True).alias("_known"))
-    joined = mats.join(sums, "material_id", "full_outer")
+    joined = mats.join(totals, "material_id", "full_outer")
 
     # A material of the catalogue gets one row with all four parts. An id
     # missing from the catalogue (impossible under the foreign keys, reported
@@ -174,11 +186,11 @@ def salary_details(t: Tables, begin, end, coeff: int) -> DataFrame:
     """
     if day_of(begin) is None or day_of(end) is None:
         raise ValueError("salary needs both begin and end")
-    orders = t["orders"].where(in_days("order_date", begin, end)).select("order_id")
-    per_order = (split_join(t["order_services"].select("order_id", "price", "quantity"), orders, ["order_id"])
+    orders = in_months(t["orders"], begin, end).where(in_days("order_date", begin, end)).select("order_id")
+    per_order = (split_join(in_months(t["order_services"], begin, end).select("order_id", "price", "quantity"), orders, ["order_id"])
                  .groupBy("order_id")
                  .agg(F.sum(line_amount("quantity", "price")).alias("orders_sum")))
-    staff = t["order_staffers"].select("order_id", "staffer_id", "ktu").join(orders, "order_id")
+    staff = in_months(t["order_staffers"], begin, end).select("order_id", "staffer_id", "ktu").join(orders, "order_id")
     detail = split_join(staff, per_order, ["order_id"], "left")
     return detail.select(
         "order_id", "staffer_id", "ktu",

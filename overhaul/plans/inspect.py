@@ -66,3 +66,29 @@ def count_nodes(df: DataFrame, name: str) -> int:
 def forbidden_nodes(df: DataFrame) -> list[str]:
     tree = _initial_tree(df)
     return [n for n in PAIRWISE if n in tree]
+
+
+def scan_files(df: DataFrame) -> dict[str, int]:
+    """Run ``df`` and return the number of files that its scans opened, by the last folder of a table's path."""
+    query = df._jdf.queryExecution()
+    df.collect()
+    found: dict[str, int] = {}
+
+    def visit(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return visit(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return visit(node.plan())
+        if kind == "FileSourceScanExec":
+            roots = node.relation().location().rootPaths()
+            table = re.search(r"/data/([^/]+)/|([^/]+)$", roots.head().toString())
+            name = table.group(1) or table.group(2)
+            files = node.metrics().get("numFiles")
+            found[name] = found.get(name, 0) + (files.get().value() if files.isDefined() else 0)
+        children = node.children()
+        for k in range(children.size()):
+            visit(children.apply(k))
+
+    visit(query.executedPlan())
+    return found

@@ -797,3 +797,6 @@ f_services as (
 @register("integrity_violations", _integrity_sql())
 def q_integrity_violations(spark, d):
     return integrity.check_tables(faulty_tables(_t(spark, d)))
+
+
+from overhaul import store_queries  # noqa: E402,F401  (registers its queries here)
