@@ -73,13 +73,24 @@ def before_day(col, day) -> Column:
     return _c(col) < F.lit(d)
 
 
-def name_contains(col, text) -> Column | None:
-    """Case-insensitive substring test; '' or None means no filter."""
+def name_contains(col, text, collation: str | None = None) -> Column | None:
+    """Case-insensitive substring test; '' or None means no filter.
+
+    With a collation (one of Spark's, such as ``ru_CI`` or ``UNICODE_CI``) it
+    decides which letters are equal instead of the upper case of both sides.
+    """
     if text is None or text == "":
         return None
+    if collation:
+        return F.contains(F.collate(_c(col), collation), F.collate(F.lit(str(text)), collation))
     return F.upper(_c(col)).contains(F.upper(F.lit(str(text))))
 
 
+def by_name(col, collation: str | None = None) -> Column:
+    """Sort key of a name, NULLs last: by bytes, or as a collation orders text."""
+    return F.asc_nulls_last(F.collate(_c(col), collation) if collation else _c(col))
+
+
 def equals_unless(col, value, none_value) -> Column | None:
     """col = value, unless value is the "no filter" sentinel (None too)."""
     if value is None or value == none_value:

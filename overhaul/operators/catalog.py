@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from overhaul.functions.filters import equals_unless, name_contains, where_all
+from overhaul.functions.filters import by_name, equals_unless, name_contains, where_all
 
 Tables = dict[str, DataFrame]
 
@@ -19,24 +19,25 @@ Tables = dict[str, DataFrame]
 STAFFER_PUBLIC = ("staffer_id", "staffer_name", "role", "login")
 
 
-def material_list(t: Tables, name: str = "", part: bool | None = None) -> DataFrame:
+def material_list(t: Tables, name: str = "", part: bool | None = None, collation: str | None = None) -> DataFrame:
     """Materials whose name contains ``name`` (any case) and, if given, with
-    ``part`` equal to the flag; sorted by name."""
+    ``part`` equal to the flag; sorted by name. ``collation`` (here and below)
+    sorts and matches names as a database with that collation does."""
     m = t["materials"]
     part_pred = None if part is None else (F.col("part") == F.lit(bool(part)))
-    return where_all(m, name_contains("material_name", name), part_pred).orderBy(
-        F.asc_nulls_last("material_name"), "material_id")
+    return where_all(m, name_contains("material_name", name, collation), part_pred).orderBy(
+        by_name("material_name", collation), "material_id")
 
 
-def service_list(t: Tables, name: str = "") -> DataFrame:
-    return where_all(t["services"], name_contains("service_name", name)).orderBy(
-        F.asc_nulls_last("service_name"), "service_id")
+def service_list(t: Tables, name: str = "", collation: str | None = None) -> DataFrame:
+    return where_all(t["services"], name_contains("service_name", name, collation)).orderBy(
+        by_name("service_name", collation), "service_id")
 
 
-def staffer_list(t: Tables, role: str = "") -> DataFrame:
+def staffer_list(t: Tables, role: str = "", collation: str | None = None) -> DataFrame:
     s = t["staffers"].select(*STAFFER_PUBLIC)
     return where_all(s, equals_unless("role", role, "")).orderBy(
-        F.asc_nulls_last("staffer_name"), "staffer_id")
+        by_name("staffer_name", collation), "staffer_id")
 
 
 def card_list(t: Tables) -> DataFrame:

@@ -2,7 +2,8 @@
 
 All take the dict of shop tables (see ``overhaul.sources``) and scalar
 parameters and return a DataFrame sorted as the original service sorts it
-(PostgreSQL order: NULLs last).
+(PostgreSQL order: NULLs last). ``collation`` names a collation to sort names by;
+without one they sort by bytes.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from overhaul.functions.filters import day_of, in_days, in_months, where_all
+from overhaul.functions.filters import by_name, day_of, in_days, in_months, where_all
 from overhaul.functions.idlists import summarize_with_id_lists
 from overhaul.functions.joins import split_join
 from overhaul.functions.money import (
@@ -23,7 +24,7 @@ from overhaul.schema import KTU, TOTAL
 Tables = dict[str, DataFrame]
 
 
-def executed_works(t: Tables, begin=None, end=None) -> DataFrame:
+def executed_works(t: Tables, begin=None, end=None, collation: str | None = None) -> DataFrame:
     """Works performed, per service *name*, for orders dated in [begin, end].
 
     Columns: sum (gross), orders (number of service lines with an order),
@@ -59,7 +60,7 @@ def executed_works(t: Tables, begin=None, end=None) -> DataFrame:
         F.col("service_name"),
         F.col("order_ids"),
         F.coalesce(to_total("discount_sum"), zero).alias("discount_sum"),
-    ).orderBy(F.asc_nulls_last("service_name"))
+    ).orderBy(by_name("service_name", collation))
 
 
 def executed_work_ids(t: Tables, begin=None, end=None) -> DataFrame:
@@ -85,7 +86,7 @@ def material_move_ids(t: Tables, begin, end) -> DataFrame:
     return bought.unionByName(used).distinct()
 
 
-def materials_using(t: Tables, begin, end, only_available: bool = False) -> DataFrame:
+def materials_using(t: Tables, begin, end, only_available: bool = False, collation: str | None = None) -> DataFrame:
     """Material balance for the days [begin, end].
 
     One pass over all movements instead of four aggregates joined to the
@@ -174,7 +175,7 @@ def materials_using(t: Tables, begin, end, only_available: bool = False) -> Data
     )
     if only_available:
         out = out.where(F.col("balance_end") > 0)
-    return out.orderBy(F.asc_nulls_last("material_name"), F.asc_nulls_last("material_id")).drop("material_id")
+    return out.orderBy(by_name("material_name", collation), F.asc_nulls_last("material_id")).drop("material_id")
 
 
 def salary_details(t: Tables, begin, end, coeff: int) -> DataFrame:

@@ -28,6 +28,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,8 @@ SUMS_SCHEMA = T.StructType([
     T.StructField("material_id", T.LongType()), T.StructField("quantity", T.DecimalType(38, 2)), T.StructField("n", T.LongType())])
 ALL_SCHEMAS = {**SCHEMAS, **{name: SUMS_SCHEMA for name in SUMS}}
 
+WRITERS = 4  # tables that a commit writes at the same time
+
 _MANIFEST = re.compile(r"^(\d+)\.json$")
 
 
@@ -212,25 +215,27 @@ def commit(spark: SparkSession, snap: Snapshot, rows: dict[str, DataFrame], repl
     sets = {name: dict(parts) for name, parts in snap.sets.items()}
     old = {name: {token: list(parts) for token, parts in tokens.items()} for name, tokens in snap.replaced.items()}
 
-    def put(name, df, gone):
-        held = sets.setdefault(name, {})
-        for part in gone:
-            for token in held.pop(part, []):
-                old.setdefault(name, {}).setdefault(token, []).append(part)
-        token, parts = _write(spark, snap, name, df)
-        for part in parts:
-            held[part] = [*held.get(part, []), token]
-        return token, parts
-
-    for name, df in rows.items():
-        gone = replaced.get(name, [])
-        token, parts = put(name, df, gone)
+    def put(tables, gone):
+        for name, (token, parts) in tables.items():
+            held = sets.setdefault(name, {})
+            for part in gone.get(name, []):
+                for before in held.pop(part, []):
+                    old.setdefault(name, {}).setdefault(before, []).append(part)
+            for part in parts:
+                held[part] = [*held.get(part, []), token]
+
+    with ThreadPoolExecutor(WRITERS) as pool:
+        write = lambda tables: dict(zip(tables, pool.map(lambda n: _write(spark, snap, n, tables[n]), tables)))
+        written = write(rows)
+        put(written, replaced)
+        moved = {}
         for sums, source in SUMS.items():
-            if source == name:
-                new = Snapshot(snap.root, 0, snap.buckets, {name: {p: [token] for p in parts}})
-                moved = read(spark, new, name, cut=True).groupBy("material_id", *PART).agg(
+            if source in written:
+                token, parts = written[source]
+                new = Snapshot(snap.root, 0, snap.buckets, {source: {p: [token] for p in parts}})
+                moved[sums] = read(spark, new, source, cut=True).groupBy("material_id", *PART).agg(
                     F.sum("quantity").cast("decimal(38,2)").alias("quantity"), F.count("*").alias("n"))
-                put(sums, moved, gone)
+        put(write(moved), {sums: replaced.get(source, []) for sums, source in SUMS.items()})
     after = Snapshot(snap.root, snap.version + 1, snap.buckets, sets, {**snap.marks, **(marks or {})}, old)
     _publish(spark, after)
     return after

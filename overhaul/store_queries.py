@@ -25,7 +25,7 @@ from overhaul.suite import (
     order_saves, purchase_saves, register,
 )
 
-BUCKETS = 2
+BUCKETS = 1  # the test data are small; tests/test_store.py has more
 STORE_BALANCE_DAYS = ("1999-02-10", "1999-03-20")  # January's movements come as sums
 _SHARED: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
 
@@ -195,6 +195,21 @@ def q_catalog_order(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+@register("catalog_order_by_collation", "\nunion all\n".join(
+    _catalog_sql(kind, f"(select {key}, case when {key} % 2 = 0 then upper({column}) else {column} end as name from v_{kind})", key, "name collate en")
+    for kind, key, column in (("materials", "material_id", "material_name"), ("services", "service_id", "service_name"))))
+def q_catalog_order_by_collation(spark, d):
+    """Every other name in upper case, sorted as English text."""
+    t = dict(shop_tables(spark, d))
+    for name, key, column in (("materials", "material_id", "material_name"), ("services", "service_id", "service_name")):
+        t[name] = t[name].withColumn(column, F.when(F.col(key) % 2 == 0, F.upper(column)).otherwise(F.col(column)))
+    lists = {"materials": (catalog.material_list(t, collation="en"), "material_id"),
+             "services": (catalog.service_list(t, collation="en"), "service_id")}
+    parts = [number_as_returned(df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id")))
+             for kind, (df, key) in lists.items()]
+    return parts[0].unionByName(parts[1])
+
+
 @register("executed_works_order", f"""select service_name, row_number() over (order by service_name nulls last) - 1 as position
 from (select distinct s.service_name from v_order_services l
   left join {_blank_sql("v_services", "service_id", "service_name", 19)} s on s.service_id = l.service_id)""")

@@ -40,3 +40,16 @@ def test_bad_day_text_raises():
         with pytest.raises(ValueError):
             day_of(text)
     assert day_of("2024-01-05") == day_of(" 2024-01-05T23:59:59 ") == day_of("2024-01-05 10:00:00") == dt.date(2024, 1, 5)
+
+
+def test_names_by_collation(make_tables):
+    from overhaul.operators.catalog import material_list, service_list
+    names = ["яблоко", "Яма", "арбуз", "Ёлка", "ель", "Елка", "ZZ", "Straße"]
+    t = make_tables(materials=[(k, n, True, None, None) for k, n in enumerate(names, 1)], services=[(k, n, None) for k, n in enumerate(names, 1)])
+    listed = lambda **how: [r.material_name for r in material_list(t, **how).collect()]
+    assert listed() == sorted(names)
+    assert listed(collation="ru_CI") == ["арбуз", "Елка", "Ёлка", "ель", "яблоко", "Яма", "Straße", "ZZ"]
+    assert listed(collation="UNICODE") == ["Straße", "ZZ", "арбуз", "Елка", "Ёлка", "ель", "яблоко", "Яма"]
+    assert sorted(listed(name="ЕЛ")) == sorted(listed(name="ЕЛ", collation="ru_CI")) == ["Елка", "ель"]
+    assert listed(name="елка", collation="UNICODE_CI_AI") == ["Ёлка", "Елка"] and listed(name="елка") == ["Елка"]
+    assert [r.service_name for r in service_list(t, name="Я", collation="ru").collect()] == ["Яма"]
