@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from overhaul.llm.common import map_batches
+from overhaul.llm.hashing import letter_run_hashes
 
 CHUNK = 1 << 16
 CACHE = 50_000  # pieces in each of two generations
@@ -260,20 +261,25 @@ def pretoken_bounds(texts: list[str]):
 
 
 def _distinct(data: np.ndarray, begins: np.ndarray, ends: np.ndarray):
-    """One of each distinct run, and for every run which one it equals (by a 128-bit hash of bytes and length)."""
-    hashes = []
-    for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
-        powers = np.full(len(data), base, np.uint64)
-        powers[0] = 1
-        powers = np.cumprod(powers)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers)])
-        back = np.full(len(data), pow(base, -1, 1 << 64), np.uint64)
-        back[0] = 1
-        hashes.append((sums[ends] - sums[begins]) * np.cumprod(back)[begins] ^ (ends - begins).astype(np.uint64))
-    _, distinct, which = np.unique(hashes[0], return_index=True, return_inverse=True)
-    if (hashes[1][distinct][which] != hashes[1]).any():  # unequal runs share the first hash
-        pair = np.rec.fromarrays(hashes)
-        _, distinct, which = np.unique(pair, return_index=True, return_inverse=True)
+    """One of each distinct run, and for every run which one it equals: runs of equal hash are compared byte by byte."""
+    if not len(begins):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, distinct, which = np.unique(letter_run_hashes(data, begins, ends), return_index=True, return_inverse=True)
+    size, like = ends - begins, distinct[which]
+    same = size == size[like]
+    if same.all():
+        total = np.cumsum(size) - size
+        step = np.arange(int(size.sum()))
+        equal = data[np.repeat(begins - total, size) + step] == data[np.repeat(begins[like] - total, size) + step]
+        same = np.add.reduceat(~equal, total) == 0
+    if not same.all():
+        runs = [data[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist())]
+        first = {}
+        for k, run in enumerate(runs):
+            first.setdefault(run, k)
+        distinct = np.array(list(first.values()), np.int64)
+        number = {run: k for k, run in enumerate(first)}
+        which = np.array([number[run] for run in runs], np.int64)
     return distinct, which
 
 

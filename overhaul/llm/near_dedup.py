@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from overhaul.llm.common import join_apart, map_batches, stage
 from overhaul.llm.components import components
-from overhaul.llm.hashing import chunks, run_hashes, word_hashes
+from overhaul.llm.hashing import chunks, few_hashes, word_hashes
 
 SHINGLE = 5
 PERCENT = 85  # links have 100 * intersection >= PERCENT * union
@@ -52,7 +52,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
         starts = np.maximum(counts - SHINGLE + 1, (counts > 0).astype(np.int64))
         first = np.repeat(bounds[:-1] - (np.cumsum(starts) - starts), starts) + np.arange(starts.sum())
         last = np.minimum(first + SHINGLE, np.repeat(bounds[1:], starts))
-        hashes = run_hashes(words, first, last) if len(first) else np.zeros(0, np.uint64)
+        hashes = few_hashes(words, first, last, SHINGLE) if len(first) else np.zeros(0, np.uint64)
         out += [np.unique(h) for h in np.split(hashes, np.cumsum(starts)[:-1])]
     return out
 

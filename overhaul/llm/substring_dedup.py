@@ -46,7 +46,7 @@ def text_words(texts: list[str | None]):
 
 
 def text_key(words: np.ndarray) -> int:
-    """One number for a whole sequence of words."""
+    """One number for a whole sequence of words; texts count as copies only if they agree in text_rest, too."""
     return int(np.uint64(xxhash.xxh3_64_intdigest(words.tobytes())).astype(np.int64))
 
 
@@ -79,17 +79,19 @@ def _anchors(docs: DataFrame, where: bool) -> DataFrame:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_words of every row."""
+    """doc_id, text_key, text_rest, n_words of every row; text_rest is another 64 bits, of the words' own bytes."""
 
     def run(batches):
         for b in batches:
+            texts = b.column("text").to_pylist()
             keys, sizes = [], []
-            for words in text_words(b.column("text").to_pylist()):
+            for words in text_words(texts):
                 keys.append(text_key(words))
                 sizes.append(len(words))
-            yield {"doc_id": b.column("doc_id"), "text_key": keys, "n_words": sizes}
+            rest = [xxhash.xxh3_64_intdigest(b" ".join((t or "").encode().split())) - (1 << 63) for t in texts]
+            yield {"doc_id": b.column("doc_id"), "text_key": keys, "text_rest": rest, "n_words": sizes}
 
-    return map_batches(docs, run, "doc_id long, text_key long, n_words long")
+    return map_batches(docs, run, "doc_id long, text_key long, text_rest long, n_words long")
 
 
 def windows_around(words: np.ndarray, anchors: np.ndarray) -> np.ndarray:
@@ -129,9 +131,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     text repeats an earlier document's.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    texts = stage(_texts(docs).where(F.col("n_words") >= WINDOW).select("doc_id", "text_key"), "texts")
-    classes = texts.groupBy("text_key").agg(F.min("doc_id").alias("first_doc"))
-    copies = join_apart(texts, classes, ["text_key"]).where("doc_id > first_doc").select("doc_id", "text_key").distinct()
+    texts = stage(_texts(docs).where(F.col("n_words") >= WINDOW).drop("n_words"), "texts")
+    classes = texts.groupBy("text_key", "text_rest").agg(F.min("doc_id").alias("first_doc"))
+    copies = join_apart(texts, classes, ["text_key", "text_rest"]).where("doc_id > first_doc").select("doc_id", "text_key").distinct()
 
     shared = (_anchors(docs, where=False).groupBy("anchor").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"))
               .where("low < high").select("anchor"))
