@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from overhaul.functions.joins import split_join
+from overhaul.operators import changes
 from overhaul.operators.integrity import money_too_large
 from overhaul.schema import KEYS, MONEY, REFERENCES, SCHEMAS, not_null_columns
+from overhaul.session import materialize
 
 Tables = dict[str, DataFrame]
 
@@ -60,3 +62,10 @@ def valid(checked: DataFrame) -> DataFrame:
 def rejected(checked: DataFrame) -> DataFrame:
     """One row for each rule that a request breaks: its columns, rule, column_name."""
     return checked.select(*[c for c in checked.columns if c != "faults"], F.inline("faults"))
+
+
+def save_checked(t: Tables, name: str, requests: DataFrame, seq: str = "seq", start: int | None = None):
+    """``changes.apply_saves`` of the requests that break no rule. Returns (new table, refused requests with rule
+    and column). A refused request changes nothing; of several for one key the last one that is left wins."""
+    checked = materialize(judged(t, name, requests), "judged")
+    return changes.apply_saves(t[name], valid(checked), KEYS[name], seq, start, written_columns(name)), rejected(checked)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from overhaul.functions.ranking import number_as_returned
 from overhaul.operators import catalog, orders, purchases, reports, stored
 from overhaul.operators import changes as ch
-from overhaul.operators.requests import judged, rejected
+from overhaul.operators.requests import judged, rejected, save_checked
 from overhaul.session import ensure_checkpoint_dir
 from overhaul.sources import store
 from overhaul.sources.testdata import shop_tables
@@ -118,13 +118,27 @@ def q_save_purchases_rejected(spark, d):
     """Errors sent with an unknown material and, like clicks, without a date: of three requests one for an
     existing purchase, one for an unknown purchase (which changes nothing and breaks no rule), one for a new one."""
     t = shop_tables(spark, d)
-    p = t["purchases"]
-    asked = p.select(
+    return rejected(judged(t, "purchases", faulty_purchases(t["purchases"]))).select("seq", "rule", "column_name")
+
+
+def faulty_purchases(p: DataFrame) -> DataFrame:
+    return p.select(
         F.expr("case purchase_id % 3 when 0 then purchase_id when 1 then purchase_id + 1000000000 end").alias("purchase_id"),
         F.when(~F.col("trader").isin("error", "click"), F.col("purchase_date")).alias("purchase_date"), "trader",
         (F.col("material_id") + F.when(F.col("trader") == "error", 1000000).otherwise(0)).alias("material_id"),
         "price", "quantity", "sum", F.col("purchase_id").alias("seq"))
-    return rejected(judged(t, "purchases", asked)).select("seq", "rule", "column_name")
+
+
+@register("save_purchases_checked", """with good as (select * from v_purchases where trader not in ('error', 'click'))
+select p.purchase_id, p.purchase_date, p.trader, p.material_id, p.price, p.quantity, p.sum from v_purchases p
+union all
+select (select max(purchase_id) from v_purchases) + row_number() over (order by purchase_id), purchase_date, trader, material_id,
+  price, quantity, cast(null as decimal(10,2)) from good where purchase_id % 3 = 2""")
+def q_save_purchases_checked(spark, d):
+    """The same requests applied: the refused ones change nothing, the others write what is there or add a copy."""
+    t = shop_tables(spark, d)
+    table, _refused = save_checked(t, "purchases", faulty_purchases(t["purchases"]))
+    return table
 
 
 @register("save_services_rejected", """select service_id as seq, 'not_null' as rule, 'service_name' as column_name

@@ -234,6 +234,21 @@ def q_order_documents(spark, d):
     return orders.flatten_documents(orders.order_documents(_t(spark, d), *DOCUMENT_DAYS))
 
 
+_DOC_BY_KEYS_SQL = _DOC_SQL.replace(
+    "where cast(order_date as date) between date '{b}' and date '{e}'",
+    "where order_id in (select order_id from v_order_materials where quantity >= 49)")
+
+
+@register("order_documents_by_keys", _DOC_BY_KEYS_SQL.format(
+    parts="\nunion all\n".join(_DOC_PART.format(kind=k, cte=c) for k, c in
+                               (("service", "svc"), ("material", "mat"), ("staffer", "stf")))))
+def q_order_documents_by_keys(spark, d):
+    """The documents of all orders that use much of a material; an order is named once for each such line."""
+    t = _t(spark, d)
+    keys = t["order_materials"].where(F.col("quantity") >= 49).select("order_id")
+    return orders.flatten_documents(orders.order_documents(t, keys=keys))
+
+
 @register("order_document_lines", _DOC_SQL.format(
     b=DOCUMENT_DAYS[0], e=DOCUMENT_DAYS[1],
     parts="\nunion all\n".join(_DOC_PART.format(kind=k, cte=c) for k, c in
