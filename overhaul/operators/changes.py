@@ -201,12 +201,26 @@ def faulty_documents(t: Tables, docs: DataFrame) -> DataFrame:
         if r.child in CHILD_TABLES and r.parent != "orders":
             lines = _order_lines(docs, r.child, ["_doc"])
             nulls = [F.col(c).isNull() for c in not_null_columns(r.child) if c != "order_id"]
-            parents = t[r.parent].select(F.col(KEYS[r.parent]).alias(r.column))
-            bad = bad.unionByName(lines.where(reduce(lambda x, y: x | y, nulls)).select("_doc"))
-            bad = bad.unionByName(lines.select("_doc", r.column).join(parents, r.column, "left_anti").select("_doc"))
+            parents = t[r.parent].select(F.col(KEYS[r.parent]).alias(r.column), F.lit(True).alias("_known"))
+            joined = split_join(lines, parents, [r.column], "left")
+            bad = bad.unionByName(joined.where(reduce(lambda x, y: x | y, nulls, F.col("_known").isNull())).select("_doc"))
     return bad.distinct()
 
 
+def _passed(t: Tables, docs: DataFrame, seq: str):
+    """Of numbered documents without faults: those for new orders, and those for orders that exist."""
+    small = docs.select("_doc", "order_id", seq).join(faulty_documents(t, docs), "_doc", "left_anti")
+    known = small.where(~_is_new("order_id")).join(t["orders"].select("order_id"), "order_id", "left_semi")
+    return small.where(_is_new("order_id")).select("_doc", seq), known
+
+
+def rejected_orders(t: Tables, docs: DataFrame, seq: str = "seq") -> DataFrame:
+    """The documents that ``save_orders`` rejects, without working out what it saves."""
+    docs = materialize(docs.withColumn("_doc", F.monotonically_increasing_id()), "order-requests")
+    new, known = _passed(t, docs, seq)
+    return docs.join(new.select("_doc").unionByName(known.select("_doc")), "_doc", "left_anti").drop("_doc")
+
+
 def save_orders(t: Tables, docs: DataFrame, seq: str = "seq", start: int | None = None):
     """Save whole order documents. Returns (tables, rejected documents).
 
@@ -223,10 +237,8 @@ def save_orders(t: Tables, docs: DataFrame, seq: str = "seq", start: int | None
     # A fixed snapshot of the request batch, then a small frame of what becomes
     # of each document; the four tables are all driven by these two.
     docs = materialize(docs.withColumn("_doc", F.monotonically_increasing_id()), "order-requests")
-    small = docs.select("_doc", "order_id", seq).join(faulty_documents(t, docs), "_doc", "left_anti")
-    created = assign_ids(small.where(_is_new("order_id")).select("_doc", seq), "new_id",
-                         max_key(orders, "order_id") if start is None else start, seq)
-    known = small.where(~_is_new("order_id")).join(orders.select("order_id"), "order_id", "left_semi")
+    new, known = _passed(t, docs, seq)
+    created = assign_ids(new, "new_id", max_key(orders, "order_id") if start is None else start, seq)
     last = known.groupBy("order_id").agg(F.max(F.struct(F.col(seq), "_doc")).alias("_last"))
     fates = materialize(
         created.select("_doc", F.col("new_id").alias("saved_id"), F.lit(False).alias("replaces"))

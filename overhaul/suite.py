@@ -727,8 +727,7 @@ select order_id, order_id * 2 from v_orders
 where {_in_days_sql('order_date', 'faulty')} and order_id in (select order_id from v_order_services)""")
 def q_save_orders_rejected(spark, d):
     t = _t(spark, d)
-    _tables, rejected = ch.save_orders(t, order_saves(t))
-    return rejected.select("order_id", "seq")
+    return ch.rejected_orders(t, order_saves(t)).select("order_id", "seq")
 
 
 def faulty_tables(t):

@@ -100,3 +100,13 @@ def test_integrity_finds_each_rule(make_tables, spark):
     assert ("services", "not_null", "service_name", "1") in got
     assert ("services", "numeric_10_2", "price", "1") in got
     assert len(got) == 4
+
+
+def test_rejected_orders_are_those_that_a_save_rejects(spark):
+    from overhaul.sources.testdata import shop_tables
+    from overhaul.suite import order_saves
+    t = shop_tables(spark, "/root/testdata/sf0.001")
+    _, rejected = ch.save_orders(t, order_saves(t))
+    alone = ch.rejected_orders(t, order_saves(t))
+    assert alone.columns == rejected.columns
+    assert sorted(map(str, alone.collect())) == sorted(map(str, rejected.collect())) != []
