@@ -190,7 +190,12 @@ def whole_texts() -> list[tuple[str, str]]:
 
 
 # Patterns of the canonical form, in the order they are applied to lower-case text.
-COPYRIGHT_LINE = r"(?m)^[ \t*#/;%>-]*(?:copyright|\(c\)|©)[^\n]*$"
+# A copyright line names a sign, a year or "by" after the word, or ends with a year; a line of running text that
+# a wrapping begins with the word ("copyright holders be liable") does not, nor does an item (c) of a list.
+COPYRIGHT_LINE = (
+    r"(?m)^[ \t*#/;%>-]*(?:copyright[ \t]*(?:\(c\)|©|:|[12][0-9][0-9][0-9]\b|by\b)[^\n]*"
+    r"|copyright[ \t][^\n]{1,80}[ ,][12][0-9][0-9][0-9][ \t.]*\r?"
+    r"|\(c\)[ \t]*(?:copyright\b|[12][0-9][0-9][0-9]\b)[^\n]*|©[^\n]*)$")
 RESERVED_LINE = r"(?m)^[ \t*#/;%>-]*all rights reserved[ \t.]*$"
 PUNCTUATION = r"[^\p{L}\p{N}]+"
 
