@@ -50,27 +50,50 @@ MARKS = re.compile(
     r"|cookies|disqus|footer|header|masthead|menu|menus|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|pager"
     r"|popup|promo|promoted|recommended|related|reply|replies|respond|share|sharing|sidebar|sidebars|social|sponsor|sponsored"
     r"|subscribe|toolbar|widget|widgets)(?:$|[-_ ])", re.I)
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+# Where markup may begin, and a tag; its quoted values may hold ">". Possessive: a tag that fails does so in one pass.
+START = re.compile(r"<!--|<[!?]|</?[a-zA-Z]")
+TAG = re.compile(r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+PLAIN_TAG = re.compile(r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>[^>]*+)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 WHITE = re.compile(r"\s+")
 
 
 def _tags(page: str):
-    """Matches of TOKEN outside raw elements, and where the text goes on after each."""
-    at, unclosed = 0, set()
-    while m := TOKEN.search(page, at):
-        at, name = m.end(), (m["name"] or "").lower()
-        if name in RAW and not m["end"] and not m["rest"].endswith("/") and name not in unclosed:
-            if end := RAW_END[name].search(page, at):
-                at = end.end()
-            elif name in RAW_TO_END:
-                at = len(page)
-            else:
-                unclosed.add(name)
-        yield m, at
+    """Start, tag (None for comments and declarations) and where the text goes on, for all markup outside raw elements.
+
+    Linear in the page: a tag whose quotes do not close before the page ends is taken to its first ">" like all tags
+    after it, and where no ">" follows no markup does.
+    """
+    at, unclosed, tag = 0, set(), TAG
+    while begun := START.search(page, at):
+        start = begun.start()
+        if begun[0] == "<!--":
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            yield start, None, at
+            continue
+        if begun[0][-1] in "!?":
+            m, end = None, page.find(">", start)
+        else:
+            m = tag.match(page, start)
+            if not m and tag is TAG:
+                tag = PLAIN_TAG
+                m = tag.match(page, start)
+            end = m.end() - 1 if m else -1
+        if end < 0:
+            return
+        at = end + 1
+        if m:
+            name = m["name"].lower()
+            if name in RAW and not m["end"] and not m["rest"].endswith("/") and name not in unclosed:
+                if (close := RAW_END[name].search(page, at)) and (end := page.find(">", close.end())) >= 0:
+                    at = end + 1
+                elif name in RAW_TO_END:
+                    at = len(page)
+                else:
+                    unclosed.add(name)
+        yield start, m, at
 
 
 @lru_cache(maxsize=4096)
@@ -135,14 +158,13 @@ def blocks(page: str):
         marked.append([path, False, out == "hint"])
         return (*marks, len(marked) - 1)
 
-    for m, then in _tags(page):
-        if m.start() > at:
-            add(page[at:m.start()])
+    for start, m, then in _tags(page):
+        if start > at:
+            add(page[at:start])
         at = then
-        name = m["name"]
-        if name is None:
+        if m is None:
             continue
-        name = name.lower()
+        name = m["name"].lower()
         if name in RAW and not m["end"] and (then > m.end() or name in RAW_TO_END or m["rest"].endswith("/")):
             add(" ")
             continue
@@ -157,7 +179,7 @@ def blocks(page: str):
                 label, out = _element(name, m["rest"])
                 if out:
                     path = stack[-1][1] if stack else ""
-                    stack.append((name, path, marks_of(f"{path}/{label}", out)))
+                    stack.append((name, path, marks_of(_below(path, label), out)))
             continue
         if m["end"]:
             for k in range(len(stack) - 1, -1, -1):
@@ -175,7 +197,7 @@ def blocks(page: str):
         if name in VOID:
             continue
         label, out = _element(name, m["rest"])
-        path = f"{stack[-1][1]}/{label}" if stack else label
+        path = _below(stack[-1][1], label) if stack else label
         counts[path] = counts.get(path, 0) + 1
         if name in ("article", "main") and stack:
             for k in stack[-1][2] or ():
@@ -192,6 +214,11 @@ def _words(parts) -> str:
     return WHITE.sub(" ", html.unescape("".join(text for _, text in parts))).strip()
 
 
+def _below(path: str, label: str) -> str:
+    """The path of an element: its own label after a hash of all that it lies in, so depth does not make it longer."""
+    return f"{_hash(path):x}/{label}"
+
+
 def _sizes(found, counts, marked) -> tuple[int, dict[str, int]]:
     """The text of a page without article and main, and the text in each path that only a hint speaks against."""
     if any(re.match(r"(article|main)\b", path.rpartition("/")[2]) for path in counts):
