@@ -37,10 +37,26 @@ _TYPES = {"string": str, "object": dict, "array": list, "boolean": bool, "null":
 
 def _is(value, kind: str) -> bool:
     if kind in ("integer", "number"):
-        return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
+        return isinstance(value, (int, float)) and not isinstance(value, bool) and (
+            kind == "number" or isinstance(value, int) or value.is_integer())
     return isinstance(value, _TYPES[kind])
 
 
+# The words of JSON schemas that are checked, and those that state nothing to check.
+CHECKED = {"type", "enum", "required", "properties", "additionalProperties", "items", "minLength", "maxLength", "minimum", "maximum"}
+REMARKS = {"title", "description", "default", "examples", "$comment"}
+
+
+def check_schema(schema: dict) -> None:
+    """Raise ValueError if a schema has words that ``violations`` would pass over."""
+    if unknown := set(schema) - CHECKED - REMARKS:
+        raise ValueError(f"schema words that are not checked: {', '.join(sorted(unknown))}")
+    if not isinstance(schema.get("additionalProperties", True), bool):
+        raise ValueError("additionalProperties must be true or false")
+    for part in [*schema.get("properties", {}).values(), *([schema["items"]] if "items" in schema else [])]:
+        check_schema(part)
+
+
 def violations(value, schema: dict, at: str = "$") -> list[str]:
     """Where a value breaks a JSON schema (type, enum, required, properties, additionalProperties, items, bounds)."""
     if isinstance(value, dict) and set(value) == {"$result"}:
@@ -50,7 +66,7 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     if kinds and not any(_is(value, k) for k in kinds):
         return [f"{at}: not {'/'.join(kinds)}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical_json(value) not in map(canonical_json, schema["enum"]):
         out.append(f"{at}: not in enum")
     if isinstance(value, str):
         out += [f"{at}: too short"] * (len(value) < schema.get("minLength", 0))
@@ -88,6 +104,7 @@ def _checked(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
             return None, ["$: unknown tool"], []
         try:
             value = json.loads(text or "")
+            canonical_json(value).encode()  # half of a surrogate pair is no text
             return canonical_json(value), violations(value, schemas[name]), named_calls(value)
         except (ValueError, RecursionError):
             return None, ["$: not JSON"], []
@@ -137,6 +154,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     not JSON. Other columns are ignored, whatever their names; empty tables give
     an empty table.
     """
+    for schema in schemas.values():
+        check_schema(schema)
     first = F.min(F.struct("turn", "name", "arguments")).alias("call")
     calls = (calls.where("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(first)
              .select("conv_id", "call_id", "call.*"))
