@@ -13,8 +13,8 @@ stops after as many as ``STEP_ROWS`` rows allow and the next one goes on from
 there; memory is a slice, the found words (about ``KNOWN``, then the task starts
 anew) and some hundred bytes for each byte of the longest word.
 
-Decoding joins the id rows with the vocabulary's bytes and puts them together by
-an ordered aggregation for each text.
+Decoding joins the id rows with the vocabulary's bytes; put in the order of their
+places these are one buffer, which is cut into the texts.
 
 Nulls are empty texts; every input row gives one output row, so repeated and null
 keys stay; other columns are left out. No state leaves a task: one that is lost
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -79,7 +79,7 @@ SELECT * FROM step
 """
 
 DECODE = """
-SELECT i.text, list(v.bytes ORDER BY i.place) AS parts FROM ids i JOIN vocabulary v USING (id) GROUP BY i.text
+SELECT i.place, v.bytes FROM ids i JOIN vocabulary v USING (id)
 """
 
 
@@ -146,16 +146,20 @@ class Coder:
 
     def _learn(self, words: list[bytes]) -> None:
         """Remember the ids of words: a word that is a token is that token, the others are contracted."""
-        ids = [np.array([k], np.int32) if (k := self.ranks.get(w)) is not None else None for w in words]
-        for query, some in (
-                (CONTRACT, [k for k, x in enumerate(ids) if x is None and len(words[k]) <= SHORT]),
-                (CONTRACT_LONG, [k for k, x in enumerate(ids) if x is None and len(words[k]) > SHORT])):
-            for part in _slices([len(words[k]) for k in some], WORD_BYTES):
-                merged = self._merge(query, [words[k] for k in some[part]])
-                for k, x in zip(some[part], merged):
-                    ids[k] = x
-        self.flat = np.concatenate([self.flat, *ids])
-        self.size = np.concatenate([self.size, np.array([len(x) for x in ids], np.int64)])
+        known = np.fromiter(map(self.ranks.get, words, repeat(-1)), np.int32, len(words))
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        size = np.ones(len(words), np.int64)
+        where, found = [np.flatnonzero(known >= 0)], [known[known >= 0]]
+        for query, some in ((CONTRACT, (known < 0) & (length <= SHORT)), (CONTRACT_LONG, (known < 0) & (length > SHORT))):
+            some = np.flatnonzero(some)
+            for part in _slices(length[some].tolist(), WORD_BYTES):
+                merged = self._merge(query, [words[k] for k in some[part].tolist()])
+                size[some[part]] = [len(x) for x in merged]
+                where.append(np.repeat(some[part], size[some[part]]))
+                found += merged
+        order = np.argsort(np.concatenate(where), kind="stable")
+        self.flat = np.concatenate([self.flat, np.concatenate(found)[order]])
+        self.size = np.concatenate([self.size, size])
         self.first = np.cumsum(self.size) - self.size
 
     def _merge(self, query: str, words: list[bytes]) -> list[np.ndarray]:
@@ -183,34 +187,25 @@ class Coder:
             word, place, token = word[final], place[final], token[final]
         word, token = (np.concatenate(x) for x in zip(*done))
         token = token[np.argsort(word, kind="stable")]
-        return np.split(token, np.cumsum(np.bincount(word, minlength=len(words)))[:-1])
+        ends = np.cumsum(np.bincount(word, minlength=len(words))).tolist()
+        return [token[a:b] for a, b in zip([0, *ends], ends)]
 
     def decode(self, ids: np.ndarray, begins: np.ndarray) -> list[bytes]:
         """The bytes of each text, whose ids are ``ids[begins[k]:begins[k + 1]]``."""
-        sizes = np.diff(begins)
-        self.db.register("ids", pa.table({
-            "text": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), "id": ids[begins[0]:begins[-1]],
-            "place": np.arange(begins[-1] - begins[0], dtype=np.int32)}))
-        out = self.db.sql(DECODE).to_arrow_table()
+        n = int(begins[-1] - begins[0])
+        self.db.register("ids", pa.table({"id": ids[begins[0]:begins[-1]], "place": np.arange(n, dtype=np.int32)}))
+        out = self.db.sql(DECODE).to_arrow_table().combine_chunks()
         self.db.unregister("ids")
-        texts = [b""] * len(sizes)
-        found = 0
-        for text, parts, n in _joined(out["text"], out["parts"]):
-            texts[text], found = parts, found + n
-        if found < sizes.sum():
-            raise ValueError(f"{sizes.sum() - found} ids are not in the vocabulary")
-        return texts
-
-
-def _joined(texts: pa.ChunkedArray, lists: pa.ChunkedArray):
-    """Each text's number, its binary values' concatenation (a part of their common buffer) and their count."""
-    for text, chunk in zip(texts.chunks, lists.chunks):
-        values, cuts = chunk.flatten(), np.asarray(chunk.offsets)
-        _, offsets, data = values.buffers()
-        at = np.frombuffer(offsets, np.int32 if pa.types.is_binary(values.type) else np.int64)[values.offset:]
-        ends, raw = at[cuts - cuts[0]], memoryview(data) if data else b""
-        for k, a, b, n in zip(text.to_pylist(), ends[:-1], ends[1:], np.diff(cuts).tolist()):
-            yield k, bytes(raw[a:b]), n
+        if out.num_rows < n:
+            raise ValueError(f"{n - out.num_rows} ids are not in the vocabulary")
+        place = out["place"].to_numpy()
+        if (place[1:] < place[:-1]).any():
+            out = out.take(pa.array(np.argsort(place)))
+        parts = out["bytes"].combine_chunks().cast(pa.large_binary())
+        _, offsets, data = parts.buffers()
+        at = np.frombuffer(offsets, np.int64)[parts.offset:][begins - begins[0]] if n else np.zeros(len(begins), np.int64)
+        raw = memoryview(data) if data else b""
+        return [bytes(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 def _slices(sizes: list[int], room: int):

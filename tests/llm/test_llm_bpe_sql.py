@@ -73,6 +73,14 @@ def test_words_are_forgotten_but_results_stay(own, monkeypatch):
         assert encoded(own, texts[k:k + 7]) == [library(PATH).encode_ordinary(t) for t in texts[k:k + 7]]
 
 
+def test_decode_orders_what_the_join_returns(own, monkeypatch):
+    """The join's rows are put in the order of their places, whichever order the database returns them in."""
+    texts = ["", "some words", "", "漢字 wörds", " " * 40, ""]
+    ids, at = own.encode(texts)
+    monkeypatch.setattr(bpe_sql, "DECODE", bpe_sql.DECODE + " ORDER BY i.place DESC")
+    assert own.decode(ids, at) == [t.encode() for t in texts]
+
+
 def test_unknown_ids_are_an_error(own):
     import numpy as np
 
