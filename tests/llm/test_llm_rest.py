@@ -198,6 +198,32 @@ def test_pruned_top_equals_full_scores():
         search.BLOCK = search_block
 
 
+@pytest.mark.parametrize("dense, cells, meetings", [(512, 1 << 23, 1 << 21), (0, 1 << 23, 7), (3, 60, 1 << 21), (1 << 30, 1 << 23, 5)])
+def test_queries_scored_together_equal_full_scores(monkeypatch, dense, cells, meetings):
+    for name, value in (("BLOCK", 8), ("DENSE", dense), ("CELLS", cells), ("MEETINGS", meetings), ("COLUMNS", 7)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(8)
+    asked = [np.unique(rng.integers(0, 70, n).astype(np.uint64)) for n in (1, 5, 40, 0, 3, 60, 12)]
+    weights = [rng.random(len(t)) * 5 for t in asked]
+    owner = np.repeat(np.arange(len(asked)), [len(t) for t in asked])
+    best, everything = search.Best(len(asked), 7), [[] for _ in asked]
+    for first_id, n in ((0, 300), (900, 90), (5000, 1)):
+        terms = [np.unique(rng.integers(0, 60, rng.integers(0, 25)).astype(np.uint64)) for _ in range(n)]
+        terms[n // 2:n // 2 + 20] = [terms[0]] * len(terms[n // 2:n // 2 + 20])  # copies: ties by doc_id
+        row = search.build_shard(list(range(first_id, first_id + n)), terms, [rng.integers(1, 2, len(t)) for t in terms])
+        shard = search.Shard({k: v.tobytes() for k, v in row.items()}, 20.0)
+        found = shard.find(np.concatenate(asked))
+        search.score_shard(shard, best, 0, owner[found >= 0], found[found >= 0], np.concatenate(weights)[found >= 0], len(asked))
+        for q, (t, w) in enumerate(zip(asked, weights)):
+            at = shard.find(t)
+            full = np.round(shard.scores(at[at >= 0], w[at >= 0]), search.DIGITS)
+            everything[q] += [(-s, d) for s, d in zip(full.tolist(), shard.docs.tolist()) if s > 0]
+    for q, rows in enumerate(everything):
+        rows = sorted(rows)[:7]
+        assert best.docs[q, :len(rows)].tolist() == [d for _, d in rows]
+        assert np.allclose(best.scores[q, :len(rows)], [-s for s, _ in rows], atol=2e-6) and not best.scores[q, len(rows):].any()
+
+
 # --- pipeline
 
 
