@@ -53,6 +53,7 @@ SUMS_SCHEMA = T.StructType([
 ALL_SCHEMAS = {**SCHEMAS, **{name: SUMS_SCHEMA for name in SUMS}}
 
 WRITERS = 4  # tables that a commit writes at the same time
+SPREAD_ROWS = 4_000_000  # a new store's order lines beyond this are written where the join with their orders leaves them
 
 _MANIFEST = re.compile(r"^(\d+)\.json$")
 
@@ -174,46 +175,60 @@ def read_all(spark: SparkSession, snap: Snapshot, cut: bool = False) -> dict[str
 
 
 def with_parts(tables: dict[str, DataFrame], buckets: int) -> dict[str, DataFrame]:
-    """The tables with month and bucket. Order lines take their month from ``tables["orders"]``."""
+    """The tables with month and bucket. Order lines take their month from ``tables["orders"]``.
+
+    Orders grow with their lines: they are never sent whole to every task.
+    """
     out = {}
     for name, df in tables.items():
         bucket = bucket_of(CUT_BY[name], buckets)
         if name in CHILD_TABLES:
-            dated = tables["orders"].select("order_id", month_of("order_date").alias("month"))
+            dated = tables["orders"].select("order_id", month_of("order_date").alias("month")).hint("merge")
             out[name] = df.join(dated, "order_id", "left").withColumns({"month": F.coalesce("month", F.lit(0)), "bucket": bucket})
         else:
             out[name] = df.withColumns({"month": month_of(DATES[name]) if name in DATES else F.lit(0), "bucket": bucket})
     return out
 
 
-def _write(spark: SparkSession, snap: Snapshot, name: str, df: DataFrame) -> tuple[str, list[str]]:
-    """Write rows (with month and bucket) as a new set; returns its name and parts.
+def _laid_out(spark: SparkSession, name: str, df: DataFrame, gather: bool = True) -> DataFrame:
+    """Rows (with month and bucket) as the tasks write them.
 
-    Spark cuts a part that holds very many rows into several tasks and files, and puts small parts together.
+    Gathered by part, a part that holds very many rows is cut by Spark into several tasks and files, and small parts
+    are put together. Else rows stay in the tasks that they are in, each of which writes a file for every part that
+    it has rows of: order lines are not shuffled a second time after the join with their orders.
     """
-    token = uuid.uuid4().hex
     names = ALL_SCHEMAS[name].names
     if name in SCHEMAS:
         typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields]
         df = df.select(*typed, *PART)
-    balanced = spark.sql("SELECT /*+ REBALANCE(month, bucket) */ * FROM {rows}", rows=df.select(*names, *PART))
+    df = df.select(*names, *PART)
+    if gather:
+        df = spark.sql("SELECT /*+ REBALANCE(month, bucket) */ * FROM {rows}", rows=df)
+    return df.sortWithinPartitions(*PART, names[0])
+
+
+def _write(spark: SparkSession, snap: Snapshot, name: str, df: DataFrame, gather: bool = True) -> tuple[str, list[str]]:
+    """Write rows (with month and bucket) as a new set; returns its name and parts."""
+    token = uuid.uuid4().hex
     path = f"{snap.root}/data/{name}/set={token}"
-    balanced.sortWithinPartitions(*PART, names[0]).write.partitionBy(*PART).parquet(path)
+    _laid_out(spark, name, df, gather).write.partitionBy(*PART).parquet(path)
     parts = [f"{m}/{b}" for m in _listed(spark, path) if m.startswith("month=")
              for b in _listed(spark, f"{path}/{m}") if b.startswith("bucket=")]
     return token, parts
 
 
 def commit(spark: SparkSession, snap: Snapshot, rows: dict[str, DataFrame], replaced: dict[str, list[str]],
-           marks: dict[str, int] | None = None) -> Snapshot:
+           marks: dict[str, int] | None = None, spread: frozenset[str] = frozenset()) -> Snapshot:
     """The next snapshot: in each table of ``rows`` the ``replaced`` parts hold what ``rows`` (with month and
     bucket) has for them and nothing else, other parts get the rows added; all else is carried over.
 
+    The rows of the tables in ``spread`` and their sums are not gathered by part.
     Movement sums follow their tables: of the written rows only. Raises ``Conflict`` if the snapshot after
     ``snap`` exists by then; nothing is changed in that case, nor by a failure at any earlier point.
     """
     sets = {name: dict(parts) for name, parts in snap.sets.items()}
     old = {name: {token: list(parts) for token, parts in tokens.items()} for name, tokens in snap.replaced.items()}
+    gather = lambda name: SUMS.get(name, name) not in spread
 
     def put(tables, gone):
         for name, (token, parts) in tables.items():
@@ -225,7 +240,7 @@ def commit(spark: SparkSession, snap: Snapshot, rows: dict[str, DataFrame], repl
                 held[part] = [*held.get(part, []), token]
 
     with ThreadPoolExecutor(WRITERS) as pool:
-        write = lambda tables: dict(zip(tables, pool.map(lambda n: _write(spark, snap, n, tables[n]), tables)))
+        write = lambda tables: dict(zip(tables, pool.map(lambda n: _write(spark, snap, n, tables[n], gather(n)), tables)))
         written = write(rows)
         put(written, replaced)
         moved = {}
@@ -246,5 +261,6 @@ def create(spark: SparkSession, root: str, tables: dict[str, DataFrame], buckets
     largest key of each table."""
     empty = Snapshot(root.rstrip("/"), 0, buckets, {})
     largest = {name: tables[name].agg(F.max(KEYS[name])).first()[0] or 0 for name in MARKED if name in tables}
+    spread = frozenset(name for name in CHILD_TABLES if name in tables and tables[name].count() > SPREAD_ROWS)
     conformed = {name: conform(df, name) for name, df in tables.items()}
-    return commit(spark, empty, with_parts(conformed, buckets), {}, largest)
+    return commit(spark, empty, with_parts(conformed, buckets), {}, largest, spread)
