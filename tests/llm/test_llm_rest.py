@@ -224,6 +224,45 @@ def test_queries_scored_together_equal_full_scores(monkeypatch, dense, cells, me
         assert np.allclose(best.scores[q, :len(rows)], [-s for s, _ in rows], atol=2e-6) and not best.scores[q, len(rows):].any()
 
 
+@pytest.mark.parametrize("wide, dense", [(1, 512), (1 << 30, 512), (20, 0), (20, 1 << 30), (20, 10)])
+def test_parts_scored_without_bounds_give_the_best(monkeypatch, wide, dense):
+    """The whole of each part, copies at the k-th score among it; few pairs are scored twice."""
+    for name, value in (("BLOCK", 8), ("PART", 150), ("WIDE", wide), ("MEETINGS", 50), ("DENSE", dense), ("EXACT", 64), ("SHARE", -1.0), ("SAMPLE", 3)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(11)
+    terms = [np.unique(rng.integers(a, a + 90, rng.integers(0, 40)).astype(np.uint64)) for a in (rng.integers(0, 3, 700) * 60).tolist()]
+    terms[300:330] = [terms[5]] * 30
+    row = search.build_shard(list(range(700)), terms, [rng.integers(1, 5, len(t)) for t in terms])
+    shard = search.Shard({k: v.tobytes() for k, v in row.items()}, 20.0)
+    assert sorted(shard.docs.tolist()) == list(range(700)) and [len(p.docs) for p in shard.parts()] == [140] * 5
+    asked = [*terms[:40], np.zeros(0, np.uint64), np.array([3, 1000], np.uint64)]
+    weights = [rng.random(len(t)) * 5 for t in asked]
+    owner = np.repeat(np.arange(len(asked)), [len(t) for t in asked])
+    found, flat = shard.find(np.concatenate(asked)), np.concatenate(weights)
+    here = found >= 0
+    columns = search.Columns(shard.parts()[0], owner[here], found[here], flat[here], len(asked))
+    again = columns.candidates(np.zeros(len(asked)), 7)[0]
+    assert 0 < len(again) < 140 * len(asked) / 2
+    best = search.Best(len(asked), 7)
+    search.score_shard(shard, best, 0, owner[here], found[here], flat[here], len(asked))
+    for q, (t, w) in enumerate(zip(asked, weights)):
+        at = shard.find(t)
+        full = np.round(shard.scores(at[at >= 0], w[at >= 0]), search.DIGITS)
+        rows = [(s, d) for s, d in sorted(zip((-full).tolist(), shard.docs.tolist())) if s < 0][:7]
+        assert best.docs[q, :len(rows)].tolist() == [d for _, d in rows]
+        assert np.allclose(best.scores[q, :len(rows)], [-s for s, _ in rows], atol=2e-6) and not best.scores[q, len(rows):].any()
+
+
+def test_like_texts_lie_together():
+    rng = np.random.default_rng(12)
+    terms = [np.unique(rng.integers(a, a + 200, 60)).astype(np.uint64) for a in [0, 1000] * 400]  # two vocabularies take turns
+    order = search.alike(terms)
+    assert sorted(order.tolist()) == list(range(800)) and (np.diff(order % 2) != 0).sum() == 1
+    assert search.alike([]).tolist() == []
+    for same in (terms[0], np.zeros(0, np.uint64)):
+        assert sorted(search.alike([same] * 500).tolist()) == list(range(500))
+
+
 # --- pipeline
 
 
