@@ -253,6 +253,65 @@ def test_parts_scored_without_bounds_give_the_best(monkeypatch, wide, dense):
         assert np.allclose(best.scores[q, :len(rows)], [-s for s, _ in rows], atol=2e-6) and not best.scores[q, len(rows):].any()
 
 
+@pytest.mark.parametrize("share", [-1.0, 1.0])
+def test_floors_leave_out_what_does_not_reach_them(monkeypatch, share):
+    """Short documents and unlike queries are not scored; what reaches a floor is found, at the floor too."""
+    for name, value in (("BLOCK", 8), ("SHARE", share), ("SAMPLE", 3), ("ROWS", 4), ("MEETINGS", 50)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(13)
+    terms = [np.unique(rng.integers(0, 90, n).astype(np.uint64)) for n in [40] * 200 + [3] * 300]
+    row = search.build_shard(list(range(500)), terms, [rng.integers(1, 5, len(t)) for t in terms])
+    shard = search.Shard({k: v.tobytes() for k, v in row.items()}, 20.0)
+    asked = [*terms[:20], *(np.append(t[:1], 1000 + t) for t in terms[20:40])]  # half share one term with the documents
+    weight = rng.random(2000) * 5
+    owner = np.repeat(np.arange(len(asked)), [len(t) for t in asked])
+    found = shard.find(np.concatenate(asked))
+    here = found >= 0
+    flat = weight[np.concatenate(asked).astype(np.int64)]
+    full = [np.round(shard.scores(a[a >= 0], weight[t[a >= 0].astype(np.int64)]), search.DIGITS) for t in asked for a in [shard.find(t)]]
+    floor = np.array([np.sort(s)[-4] for s in full[:20]] + [1e3] * 20)
+    size = []
+    candidates = search.Columns.candidates
+    monkeypatch.setattr(search.Columns, "candidates", lambda c, f, k: size.append((c.n, c._reach(f.min()))) or candidates(c, f, k))
+    best = search.Best(len(asked), 7, floor)
+    search.score_shard(shard, best, 0, owner[here], found[here], flat[here], len(asked))
+    assert all(n == (40 if share < 0 else 20) and docs <= 200 for n, docs in size)
+    for q, s in enumerate(full):
+        rows = [(-v, d) for v, d in sorted(zip((-s).tolist(), shard.docs.tolist())) if -v >= floor[q]][:7]
+        assert best.docs[q, :len(rows)].tolist() == [d for _, d in rows] and not best.scores[q, len(rows):].any()
+        assert best.floor[q] >= floor[q]
+
+
+def test_rows_of_all_tasks_grow_with_the_queries_only(spark, monkeypatch):
+    made = []
+
+    def counted(df, label):
+        out = stage(df, label)
+        made.extend([out.count()] if label == "found" else [])
+        return out
+
+    stage = search.stage
+    monkeypatch.setattr(search, "stage", counted)
+    monkeypatch.setattr(search, "FIRST", 4)
+    rng = np.random.default_rng(14)
+    rows = [(i, " ".join(f"w{int(w)}" for w in rng.zipf(1.3, 30) % 500)) for i in range(600)]
+    queries = rows[::60]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 40), "doc_id long, text string")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(name) for name in names]
+    try:
+        for name in names:  # a task for each shard
+            spark.conf.set(name, str(1 << 16))
+        found = search.search(docs, spark.createDataFrame(queries, "query_id long, text string")).orderBy("query_id", "rank").collect()
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+    assert sum(made) < 40 * 10 * len(queries) / 2
+    expected = brute_search(rows, queries, 10)
+    for q, _ in queries:
+        assert [r.doc_id for r in found if r.query_id == q] == [d for _, d in expected[q]]
+
+
 def test_like_texts_lie_together():
     rng = np.random.default_rng(12)
     terms = [np.unique(rng.integers(a, a + 200, 60)).astype(np.uint64) for a in [0, 1000] * 400]  # two vocabularies take turns
